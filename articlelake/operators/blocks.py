@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from articlelake.functions import patterns as P
 from articlelake.functions.text import compact, word_count
+from articlelake.operators.projection import with_settled
 
 
 def cut_page(html: Column) -> Column:
@@ -61,7 +62,7 @@ def blocks(cut: Column) -> Column:
 
 def page_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add `blocks` to pages. No shuffle."""
-    return pages.withColumn("blocks", blocks(cut_page(F.col(html))))
+    return with_settled(pages, "blocks", blocks(cut_page(F.col(html))))
 
 
 def explode_blocks(with_blocks: DataFrame, *keep: str) -> DataFrame:

@@ -11,6 +11,7 @@ from articlelake.functions import dictionaries as D, patterns as P
 from articlelake.functions.text import compact, plain_text, trimmed, word_count
 from articlelake.functions.urls import display_host, host, resolve
 from articlelake.operators.blocks import blocks, cut_page
+from articlelake.operators.projection import evaluated_once, with_settled
 
 WALL_WORDS = 150
 STUB_CHARS = 40
@@ -114,20 +115,11 @@ def with_content_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
                 lambda z: density_rule(z["prev"], z["m"], z["next"]),
             ),
         )
-        .withColumn("content", between(F.col("blocks"), F.col("reads")))
+        .transform(with_settled, "content", between(F.col("blocks"), F.col("reads")))
         .drop("chunk", "m", "n", "reads", "blocks")
     )
 
 
-def evaluated_once(df: DataFrame, *columns: Column) -> DataFrame:
-    """Select costly columns so that later filters use the results.
-
-    A filter on a plain projection is pushed below it and evaluates the expression behind
-    every column it names once more. Nothing is pushed through a generator.
-    """
-    return df.select(F.inline(F.array(F.struct(*columns))))
-
-
 def between(items: Column, wanted: Column) -> Column:
     """The items from the first to the last one whose flag is true, everything in between included."""
     first = F.array_position(wanted, True).cast("int")
@@ -137,11 +129,8 @@ def between(items: Column, wanted: Column) -> Column:
 
 def trim_edges(df: DataFrame, column: str = "content") -> DataFrame:
     """Cut furniture from both ends of a block array, never from inside."""
-    return (
-        df.withColumn("_keep", F.transform(column, lambda b: ~is_furniture(b)))
-        .withColumn(column, between(F.col(column), F.col("_keep")))
-        .drop("_keep")
-    )
+    judged = df.withColumn("_keep", F.transform(column, lambda b: ~is_furniture(b)))
+    return with_settled(judged, column, between(F.col(column), F.col("_keep"))).drop("_keep")
 
 
 # ------------------------------------------------------------------ the head of a page

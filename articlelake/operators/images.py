@@ -11,6 +11,7 @@ from articlelake.functions import dictionaries as D, patterns as P
 from articlelake.functions.text import compact
 from articlelake.functions.urls import content_key, is_web
 from articlelake.operators.extraction import attribute
+from articlelake.operators.projection import with_settled
 from articlelake.operators.statistics import upper_median
 
 # Bytes per picture, bytes per article, pictures per article.
@@ -173,12 +174,23 @@ def mark_stored(articles: DataFrame, decided: DataFrame, html: str = "content_ht
     kept = decided.where(F.col("decision") != "skipped").groupBy("id").agg(
         F.sort_array(F.collect_list("url")).alias("_urls")  # at most forty
     )
-    source = lambda u: F.concat(F.lit('src="'), u, F.lit('"'))
-    marked = lambda u: F.concat(source(u), F.lit(f' {KEY_ATTRIBUTE}="'), content_key(u), F.lit('"'))
-    rewritten = F.aggregate(
-        "_urls", F.col(html), lambda h, u: F.replace(F.replace(h, marked(u), source(u)), source(u), marked(u))
+    # The markup is cut in front of every picture, so one pass rewrites all of them.
+    pieces = F.transform(
+        F.split(F.col(html), r"(?i)(?=<img\b)"),
+        lambda piece: F.struct(piece.alias("text"), attribute(F.regexp_extract(piece, P.IMG, 0), "src").alias("src")),
     )
-    joined = articles.join(kept, "id").withColumn("_new", rewritten)
+    rewritten = F.transform(
+        pieces,
+        lambda piece: F.when(
+            F.array_contains("_urls", piece["src"]),
+            F.regexp_replace(
+                F.regexp_replace(piece["text"], rf'(?is)^(<img\b[^>]*?)\s{KEY_ATTRIBUTE}="[^"]*"', "$1"),
+                F.lit(r"(?is)^(<img\b[^>]*?\ssrc\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))"),
+                F.concat(F.lit(f'$1 {KEY_ATTRIBUTE}="'), content_key(piece["src"]), F.lit('"')),
+            ),
+        ).otherwise(piece["text"]),
+    )
+    joined = with_settled(articles.join(kept, "id"), "_new", F.array_join(rewritten, ""))
     return joined.where(F.col("_new") != F.col(html)).withColumn(html, F.col("_new")).select(*articles.columns)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from articlelake.functions import dictionaries as D, patterns as P
 from articlelake.functions.text import plain_text, word_count
+from articlelake.operators.projection import with_settled
 
 MIN_CHARS = 3
 WORDS_PER_MINUTE = 150
@@ -41,7 +42,8 @@ def heading_stop(text: Column, kind: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut after `.`, `!`, `?` or `…`, but not after an abbreviation, an initial or an ordinal."""
-    short = r"((?:\b(?:" + "|".join(D.ABBREVIATIONS) + r")|(?<![\p{L}\p{N}])\p{Lu}|(?<!\S)\d{1,4})\.)\s+"
+    word = "|".join(D.ABBREVIATIONS)
+    short = rf"((?:(?<![\p{{L}}\p{{N}}])(?:{word}|\p{{Lu}})|(?<!\S)\d{{1,4}})\.)\s+"
     held = F.regexp_replace(text, short, "$1" + _HOLD)
     return F.transform(F.split(held, r"(?<=[.!?…])\s+"), lambda s: F.translate(s, _HOLD, " "))
 
@@ -71,7 +73,7 @@ def spoken_blocks(html: Column) -> Column:
 
 def narrate(articles: DataFrame, html: str = "content_html") -> DataFrame:
     """Add the array `spoken` to articles."""
-    return articles.withColumn("spoken", spoken_blocks(F.col(html)))
+    return with_settled(articles, "spoken", spoken_blocks(F.col(html)))
 
 
 # Fixed checks: name and condition on a spoken block.
@@ -128,11 +130,12 @@ def kind_histogram(blocks: DataFrame, *keys: str) -> DataFrame:
 
 def kind_map(articles: DataFrame) -> DataFrame:
     """The kind histogram of each article as a map, from its own row."""
-    counts = [
-        F.struct(F.lit(k).alias("k"), F.size(F.filter("spoken", lambda b, k=k: b["kind"] == k)).alias("n"))
-        for k in D.GAP_BEFORE
-    ]
-    return articles.withColumn("kinds", F.map_from_entries(F.filter(F.array(*counts), lambda p: p["n"] > 0)))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spoken", lambda b: b["kind"] == kind))
+
+    counts = F.array(*(F.struct(F.lit(k).alias("kind"), count(k).alias("blocks")) for k in D.GAP_BEFORE))
+    return articles.withColumn("kinds", F.map_from_entries(F.filter(counts, lambda c: c["blocks"] > 0)))
 
 
 def spoken_words(spoken: Column) -> Column:
@@ -175,7 +178,7 @@ def timeline(articles: DataFrame, pace: str = "natural") -> DataFrame:
         lambda s: s["starts"],
     )
     placed = F.zip_with("_timed", starts, lambda b, at: b.withField("start_ms", at))
-    return with_time.withColumn("timeline", placed).drop("_timed")
+    return with_settled(with_time, "timeline", placed).drop("_timed")
 
 
 def last_positions(positions: DataFrame) -> DataFrame:

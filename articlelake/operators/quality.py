@@ -9,6 +9,7 @@ from articlelake.functions import dictionaries as D, patterns as P
 from articlelake.functions.text import compact
 from articlelake.operators.extraction import attribute, is_link_list
 from articlelake.operators.images import images_in
+from articlelake.operators.projection import with_settled
 from articlelake.operators.statistics import upper_median
 
 _LEFTOVER = r"(?i)<(?:script|style|iframe|object|embed|form|link|meta)\b"
@@ -192,7 +193,7 @@ def measure(parsed: DataFrame, source_html: str | None = None) -> DataFrame:
             "last_text": F.substring("last.text", 1, 90),
         }
     )
-    flagged = measured.withColumn("flags", F.when(F.col("outcome") == "ok", article_flags()))
+    flagged = with_settled(measured, "flags", F.when(F.col("outcome") == "ok", article_flags()))
     return flagged.select(
         "id", "url", "outcome", "title", "author", "lang", "word_count", "html_bytes", "blocks",
         "first_tag", "first_text", "last_tag", "last_text", "paragraphs", "empty_paragraphs", "headings", "figures",

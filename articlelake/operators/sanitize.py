@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from articlelake.functions import dictionaries as D, patterns as P
 from articlelake.functions.urls import is_safe
@@ -79,7 +80,7 @@ def _scrub(html: str | None) -> str | None:
     return "".join(parser.out) + "".join(f"</{tag}>" for tag in reversed(parser.open))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def scrub(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Allowlist pass over whole Arrow batches."""
     for html in batches:

@@ -31,23 +31,28 @@ def postings(articles: DataFrame, html: str = "content_html") -> DataFrame:
     return articles.select(F.explode(terms).alias("term"), "id")
 
 
-def write_index(index: DataFrame, path: str, segment: int = 0) -> None:
-    """Write one index segment sorted by term, so a lookup reads few row groups.
+def write_index(index: DataFrame, path: str, segment: int | None = None) -> None:
+    """Write an index sorted by term, so a lookup reads few row groups.
 
     Rows are ranged over term and id together: a term that every article has is
-    spread over many files instead of filling one.
+    spread over many files instead of filling one. A numbered segment joins those
+    already there; without a number the table is whole.
     """
-    (
-        index.repartitionByRange("term", "id")
-        .sortWithinPartitions("term", "id")
-        .write.mode("overwrite")
-        .parquet(f"{path}/segment={segment}")
-    )
+    target = path if segment is None else f"{path}/segment={segment}"
+    index.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(target)
+
+
+def compact_index(spark, path: str, target: str) -> None:
+    """Rewrite the live postings of all segments as one sorted table."""
+    live = read_index(spark, path)
+    live.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(target)
 
 
 def read_index(spark, path: str) -> DataFrame:
     """The live postings: of an article indexed more than once, those of its last segment."""
-    stored = spark.read.schema("term string, id string, segment int").parquet(path)
+    stored = spark.read.parquet(path)
+    if "segment" not in stored.columns:
+        return stored
     newest = stored.groupBy("id").agg(F.max("segment").alias("segment"))
     return stored.join(newest, ["id", "segment"], "left_semi").select("term", "id")
 
