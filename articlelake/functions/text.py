@@ -19,7 +19,13 @@ def compact(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words separated by white space."""
-    return F.regexp_count(text, F.lit(f"{P.NOT_WS}+"))
+    # Words shrink to one letter each and the rest goes, which is cheaper than listing them.
+    return F.length(F.regexp_replace(F.regexp_replace(text, f"{P.NOT_WS}+", "x"), f"{P.WS}+", ""))
+
+
+def compact_word_count(text: Column) -> Column:
+    """The same for text that is already compact: its spaces, plus one."""
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + F.when(text == "", 0).otherwise(1)
 
 
 def reading_minutes(words: Column, per_minute: int = 220) -> Column:

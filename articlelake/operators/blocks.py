@@ -12,7 +12,7 @@ one block each.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from articlelake.functions import patterns as P
-from articlelake.functions.text import compact, word_count
+from articlelake.functions.text import compact, compact_word_count
 from articlelake.operators.projection import with_settled
 
 
@@ -52,7 +52,7 @@ def blocks(cut: Column) -> Column:
             b["tag"].alias("tag"),
             b["inner"].alias("inner"),
             b["text"].alias("text"),
-            word_count(b["text"]).alias("n_words"),
+            compact_word_count(b["text"]).alias("n_words"),
             b["n_links"].alias("n_links"),
             F.length(compact(F.regexp_replace(b["anchors"], P.ANY_TAG, ""))).alias("link_chars"),
             b["has_media"].alias("has_media"),

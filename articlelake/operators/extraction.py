@@ -8,7 +8,7 @@ published decision tree over words and links of a block and its neighbours
 from pyspark.sql import Column, DataFrame, functions as F
 
 from articlelake.functions import dictionaries as D, patterns as P
-from articlelake.functions.text import compact, plain_text, trimmed, word_count
+from articlelake.functions.text import compact, compact_word_count, plain_text, trimmed
 from articlelake.functions.urls import display_host, host, resolve
 from articlelake.operators.blocks import blocks, cut_page
 from articlelake.operators.projection import evaluated_once, with_settled
@@ -83,13 +83,13 @@ _NO_BLOCK = "named_struct('words', 0, 'links', 0.0D, 'chrome', false)"
 
 
 def with_article_chunk(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add `chunk`: the container with the most words outside links and navigation."""
+    """Add `chunk`: the container with the most text outside links and navigation."""
     chunks = F.transform(
         F.split(cut_page(F.col(html)), P.CONTAINER_EDGE),
         lambda c, i: F.struct(
-            word_count(
-                F.regexp_replace(F.regexp_replace(F.regexp_replace(c, P.CHROME_REGION, " "), P.ANCHOR, " "), P.ANY_TAG + "|" + P.MARK, " ")
-            ).alias("words"),
+            F.length(
+                F.regexp_replace(F.regexp_replace(F.regexp_replace(c, P.CHROME_REGION, ""), P.ANCHOR, ""), f"{P.ANY_TAG}|{P.MARK}|{P.WS}+", "")
+            ).alias("chars"),
             (-i).alias("order"),
             c.alias("chunk"),
         ),
@@ -261,7 +261,7 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url: str = "url"
     """Pages `(id, url, html)` to parse results with an `outcome`. One pass, no shuffle."""
     cleaned = trim_edges(with_content_blocks(pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))))
     text = cleaned.withColumn("text", F.array_join(F.transform("content", lambda b: b["text"]), " "))
-    counted = text.withColumn("word_count", word_count(F.col("text")))
+    counted = text.withColumn("word_count", compact_word_count(F.col("text")))
     page, address = F.col("html"), F.col("url")
     return evaluated_once(
         counted,

@@ -7,7 +7,7 @@ them needs no shuffle.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from articlelake.functions import dictionaries as D, patterns as P
-from articlelake.functions.text import plain_text, word_count
+from articlelake.functions.text import compact_word_count, plain_text
 from articlelake.operators.projection import with_settled
 
 MIN_CHARS = 3
@@ -139,7 +139,7 @@ def kind_map(articles: DataFrame) -> DataFrame:
 
 
 def spoken_words(spoken: Column) -> Column:
-    return F.aggregate(spoken, F.lit(0), lambda n, b: n + word_count(b["text"]))
+    return F.aggregate(spoken, F.lit(0), lambda n, b: n + compact_word_count(b["text"]))
 
 
 def spoken_minutes(spoken: Column) -> Column:
@@ -164,7 +164,7 @@ def timeline(articles: DataFrame, pace: str = "natural") -> DataFrame:
             b["index"].alias("index"),
             b["kind"].alias("kind"),
             pause_before(b["kind"], b["index"] == 0, pace).alias("pause_ms"),
-            (word_count(b["text"]) * per_word + (F.size(b["parts"]) - 1) * breath).alias("speech_ms"),
+            (compact_word_count(b["text"]) * per_word + (F.size(b["parts"]) - 1) * breath).alias("speech_ms"),
         ),
     )
     with_time = articles.withColumn("_timed", timed)

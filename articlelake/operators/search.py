@@ -126,17 +126,76 @@ def _starts(words: DataFrame, prefixes: DataFrame) -> DataFrame:
     return cut.join(prefixes.select("word").distinct(), "word", "left_semi").drop("lengths", "n")
 
 
+FEW_SLOTS = 1000
+DIRECT_COST = 50_000_000
+
+
 def index_matches(planned: DataFrame, index: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """`(qid, id)` of the articles that hold every finished term and a word with the prefix.
 
-    Every query is driven by its rarest slot: those ids alone are candidates, and the
-    other slots are checked on `(word, id)`, a key no frequent word can crowd.
     `words` is the stored vocabulary of the index; without it the counts are taken anew.
+    A small batch whose postings are few is answered in one pass over the index, with its
+    words as a filter on the scan. Any other batch goes through `_rarest_first`.
     """
     slots = _slots(planned.where(~F.col("scan_only")))
-    finished, prefixes = slots.where(~F.col("is_prefix")), slots.where("is_prefix")
     words = vocabulary(index) if words is None else words
+    few = slots.select("qid", "needs", "word", "is_prefix").limit(FEW_SLOTS + 1).collect()
+    if not few:
+        return slots.select("qid").join(index.select("id")).where(F.lit(False))
+    if len(few) <= FEW_SLOTS and max(s.needs for s in few) < 60:
+        wanted, lengths = _wanted(few), sorted({len(s.word) for s in few if s.is_prefix})
+        local = F.broadcast(_bits(index.sparkSession, few))  # at most FEW_SLOTS rows
+        narrowed = lambda df: df if wanted is None else df.where(wanted)
+        read = _keyed(narrowed(words), lengths).join(local, ["word", "is_prefix"]).agg(F.sum("df")).first()[0] or 0
+        if read <= DIRECT_COST:
+            return _one_pass(_keyed(narrowed(index), lengths).join(local, ["word", "is_prefix"]))
+    return _rarest_first(slots, index, words)
+
+
+def _wanted(slots: list) -> Column | None:
+    """The slots as a filter the scan can use, while it is short enough to pay."""
+    if len({(s.word, s.is_prefix) for s in slots}) > 32:
+        return None
+    exact = sorted({s.word for s in slots if not s.is_prefix})
+    wanted = F.col("term").isin(exact) if exact else F.lit(False)
+    for start in sorted({s.word for s in slots if s.is_prefix}):
+        wanted = wanted | F.col("term").startswith(start)
+    return wanted
+
+
+def _bits(spark, slots: list) -> DataFrame:
+    """`(qid, word, is_prefix, bit, all)`: one bit per slot of a query."""
+    seen: dict = {}
+    rows = []
+    for s in slots:
+        bit = seen[s.qid] = seen.get(s.qid, -1) + 1
+        rows.append((s.qid, s.word, s.is_prefix, 1 << bit, (1 << s.needs) - 1))
+    qid = "bigint" if isinstance(rows[0][0], int) else "string"
+    return spark.createDataFrame(rows, f"qid {qid}, word string, is_prefix boolean, bit bigint, all bigint")
+
+
+def _keyed(terms: DataFrame, lengths: list[int]) -> DataFrame:
+    """Each row under its term and under the term's first letters at the given lengths."""
+    whole = F.struct(F.col("term").alias("word"), F.lit(False).alias("is_prefix"))
+    cuts = [F.struct(F.substring("term", 1, n).alias("word"), F.lit(True).alias("is_prefix")) for n in lengths]
+    # A term shorter than a cut stands under itself, and no prefix of that length equals it.
+    return terms.select("*", F.inline(F.array(whole, *cuts)))
+
+
+def _one_pass(filled: DataFrame) -> DataFrame:
+    """The articles whose bits are all set."""
+    return (
+        filled.groupBy("qid", "id", "all")
+        .agg(F.bit_or("bit").alias("bits"))
+        .where(F.col("bits") == F.col("all"))
+        .select("qid", "id")
+    )
+
 
+def _rarest_first(slots: DataFrame, index: DataFrame, words: DataFrame) -> DataFrame:
+    """Every query is driven by its rarest slot: those ids alone are candidates, and the other
+    slots are checked on `(word, id)`, a key no frequent word can crowd."""
+    finished, prefixes = slots.where(~F.col("is_prefix")), slots.where("is_prefix")
     costs = (
         words.withColumnRenamed("term", "word").join(finished.select("word").distinct(), "word", "left_semi")
         .select("word", F.lit(False).alias("is_prefix"), F.col("df").alias("cost"))
@@ -176,20 +235,21 @@ def _needle() -> Column:
 
 
 def scan_matches(queries: DataFrame, articles: DataFrame, body: Column, per_pass: int = 2000) -> DataFrame:
-    """`(qid, id, where_found)` by reading every article once for up to `per_pass` needles.
+    """`(qid, id, where_found, added_at)` by reading every article once for up to `per_pass` needles.
 
     Needles are literals found anywhere, metadata before body. They travel as one row, so a
     larger batch takes further passes; articles are never paired with queries that miss.
     """
     wanted = queries.select("qid", _needle().alias("needle"))
     passes = max(1, -(-wanted.count() // per_pass))
-    text = articles.select("id", metadata().alias("meta"), F.lower(body).alias("body"))
+    text = articles.select("id", "added_at", metadata().alias("meta"), F.lower(body).alias("body"))
     found = None
     for number in range(passes):
         group = wanted.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == number)
         needles = group.agg(F.collect_list(F.struct("qid", "needle")).alias("needles"))
         hits = text.join(F.broadcast(needles)).select(
             "id",
+            "added_at",
             F.inline(
                 F.filter(
                     F.transform(
@@ -206,7 +266,7 @@ def scan_matches(queries: DataFrame, articles: DataFrame, body: Column, per_pass
             ),
         )
         found = hits if found is None else found.unionByName(hits)
-    return found.select("qid", "id", "where_found")
+    return found.select("qid", "id", "where_found", "added_at")
 
 
 def where_found(meta: Column, text: Column, terms: Column) -> Column:
@@ -224,6 +284,7 @@ def search(
     articles: DataFrame,
     index: DataFrame,
     words: DataFrame | None = None,
+    known: DataFrame | None = None,
     html: str = "content_html",
     raw_scan: bool = False,
 ) -> DataFrame:
@@ -231,23 +292,30 @@ def search(
 
     Words go through the index. What no index can answer (a lone letter, punctuation) and
     articles the index has not seen are scanned; an empty query is the whole live library.
+    `words` and `known` are the stored vocabulary and article ids of the index. Branches
+    nothing asks for are left out of the plan.
     """
     planned = plan_queries(queries)
     live = articles.where(~F.col("deleted"))
     body = F.col(html) if raw_scan else text_of(F.col(html))
+    asked = planned.where(F.trim("text") != "")
+    scans, empties = planned.select(F.count_if("scan_only"), F.count_if(F.trim("text") == "")).first()
 
     matched = index_matches(planned, index, words).join(planned.select("qid", "text", "terms"), "qid")
-    through_index = matched.join(live.select("id", metadata().alias("meta")), "id").select(
-        "qid", "id", where_found(F.col("meta"), F.col("text"), F.col("terms")).alias("where_found")
+    hits = matched.join(live.select("id", "added_at", metadata().alias("meta")), "id").select(
+        "qid", "id", where_found(F.col("meta"), F.col("text"), F.col("terms")).alias("where_found"), "added_at"
     )
-    asked = planned.where(F.trim("text") != "")
-    scanned = scan_matches(planned.where("scan_only"), live, body)
-    unseen = scan_matches(asked.where(~F.col("scan_only")), not_indexed(live, index), body)
-    everything = live.select("id", F.lit("meta").alias("where_found")).join(
-        F.broadcast(planned.where(F.trim("text") == "").agg(F.collect_list("qid").alias("qids")))
-    ).select(F.explode("qids").alias("qid"), "id", "where_found")
-    hits = through_index.unionByName(scanned).unionByName(unseen).unionByName(everything)
-    return hits.join(live.select("id", "added_at"), "id").select("qid", "id", "where_found", "added_at")
+    if scans:
+        hits = hits.unionByName(scan_matches(planned.where("scan_only"), live, body))
+    ids = indexed_ids(index) if known is None else known
+    unseen = live.join(ids, "id", "left_anti")
+    if not live.select("id").join(ids, "id", "left_anti").isEmpty():
+        hits = hits.unionByName(scan_matches(asked.where(~F.col("scan_only")), unseen, body))
+    if empties:
+        qids = planned.where(F.trim("text") == "").agg(F.collect_list("qid").alias("qids"))
+        everything = live.select("id", "added_at").join(F.broadcast(qids))
+        hits = hits.unionByName(everything.select(F.explode("qids").alias("qid"), "id", F.lit("meta").alias("where_found"), "added_at"))
+    return hits
 
 
 def newest_first(hits: DataFrame) -> DataFrame:

@@ -150,15 +150,14 @@ IS_FURNITURE = (
     f"((text = '' AND NOT has_media) OR {FURNITURE} OR tag IN {_CHROME} OR {LINK_LIST}"
     " OR (text <> '' AND length(text) < 40 AND NOT has_media))"
 )
-_bare_words = words(
-    f"regexp_replace(regexp_replace(regexp_replace(c, {re(P.CHROME_REGION)}, ' ', 'g'), {re(P.ANCHOR)}, ' ', 'g'), {re(P.ANY_TAG + '|' + P.MARK)}, ' ', 'g')"
-)
+_bare = f"regexp_replace(regexp_replace(c, {re(P.CHROME_REGION)}, '', 'g'), {re(P.ANCHOR)}, '', 'g')"
+_bare_chars = f"length(regexp_replace({_bare}, {re(f'{P.ANY_TAG}|{P.MARK}|{WS}+')}, '', 'g'))"
 CONTENT = f"""{CUT}, chunks AS (
   SELECT page_id, unnest(regexp_split_to_array(cut, {re(P.CONTAINER_EDGE)})) AS c,
     unnest(range(len(regexp_split_to_array(cut, {re(P.CONTAINER_EDGE)})))) AS o FROM cut
 ), best AS (
   SELECT page_id, c AS chunk FROM (
-    SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {_bare_words} DESC, o) AS r FROM chunks) WHERE r = 1
+    SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {_bare_chars} DESC, o) AS r FROM chunks) WHERE r = 1
 ), {_block_list('best', 'chunk', 'inside')}, density AS (
   SELECT *, CASE WHEN length(text) > 0 THEN link_chars / length(text)::DOUBLE ELSE 0 END AS links, tag IN {_CHROME} AS chrome FROM inside
 ), around AS (
