@@ -94,19 +94,26 @@ def _character(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(F.coalesce(code.try_cast("long"), F.lit(0)) % 65536), 4, "0")), "UTF-16BE")
 
 
-def plain_text(fragment: Column) -> Column:
-    """Readable text of an HTML fragment: tags out, entities decoded, punctuation tightened."""
-    text = F.regexp_replace(fragment, P.ANY_TAG, " ")
+def decode_entities(text: Column) -> Column:
+    """The five named entities a sanitizer leaves behind, and decimal references."""
     for entity, char in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')):
         text = F.regexp_replace(text, f"(?i)&{entity};", char)
-    text = decode_decimal_entities(text)
+    return decode_decimal_entities(text)
+
+
+def tidy(text: Column) -> Column:
+    """Single spaces, and punctuation pulled to its word where its side is certain."""
     text = F.regexp_replace(text, f"{P.WS}+", " ")
-    # Only marks with one fixed side are pulled to their word.
     text = F.regexp_replace(text, r" +([.,;:!?…)\]”])", "$1")
     text = F.regexp_replace(text, r"([(\[„]) +", "$1")
     return F.trim(text)
 
 
+def plain_text(fragment: Column) -> Column:
+    """Readable text of an HTML fragment: tags out, entities decoded, punctuation tightened."""
+    return tidy(decode_entities(F.regexp_replace(fragment, P.ANY_TAG, " ")))
+
+
 def highlight(text: Column, needle: str, opening: str = "<mark>", closing: str = "</mark>") -> Column:
     """Mark every occurrence of a literal needle, ignoring case."""
     wanted = needle.strip()

@@ -156,6 +156,16 @@ def not_yet_saved(incoming: DataFrame, articles: DataFrame, address: str) -> Dat
     return incoming.join(known, F.col(address) == F.col("_known"), "left_anti")
 
 
+def small_not_yet_saved(incoming: DataFrame, articles: DataFrame, address: str) -> DataFrame:
+    """The same for a batch much smaller than the library, which is then scanned but not shuffled.
+
+    The batch is read twice; Spark broadcasts it, or what it hit, where its size allows.
+    """
+    asked = incoming.select(F.col(address).alias("address"))
+    hit = known_addresses(articles).join(asked, "address", "left_semi").distinct().withColumnRenamed("address", "_known")
+    return incoming.join(hit, F.col(address) == F.col("_known"), "left_anti")
+
+
 def first_per_address(rows: DataFrame, address: str, *order: str) -> DataFrame:
     """One row per address, the first in order. Copies collapse before the shuffle."""
     others = [c for c in rows.columns if c != address]

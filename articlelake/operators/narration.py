@@ -7,12 +7,13 @@ them needs no shuffle.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from articlelake.functions import dictionaries as D, patterns as P
-from articlelake.functions.text import compact_word_count, plain_text
+from articlelake.functions.text import compact_word_count, decode_entities, tidy
 from articlelake.operators.projection import with_settled
 
 MIN_CHARS = 3
 WORDS_PER_MINUTE = 150
 _HOLD = "\x01"
+_FOR_THE_EYE = r"\[|(?i:http|www)|^[•·▪◦‣●○*+–—-]"
 
 
 def kind_of(tag: Column) -> Column:
@@ -43,22 +44,35 @@ def heading_stop(text: Column, kind: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Cut after `.`, `!`, `?` or `…`, but not after an abbreviation, an initial or an ordinal."""
     word = "|".join(D.ABBREVIATIONS)
-    short = rf"((?:(?<![\p{{L}}\p{{N}}])(?:{word}|\p{{Lu}})|(?<!\S)\d{{1,4}})\.)\s+"
-    held = F.regexp_replace(text, short, "$1" + _HOLD)
+    # Looked at from the full stop backwards, so text without one costs nothing.
+    short = rf"\.(?<=(?<![\p{{L}}\p{{N}}])(?:{word}|\p{{Lu}})\.|(?<!\S)\d{{1,4}}\.)\s+"
+    held = F.regexp_replace(text, short, "." + _HOLD)
     return F.transform(F.split(held, r"(?<=[.!?…])\s+"), lambda s: F.translate(s, _HOLD, " "))
 
 
 def spoken_blocks(html: Column) -> Column:
     """Array of `(index, kind, text, parts)`; outermost elements only, three characters or more."""
-    plain = F.transform(
+    # Each step names its result, so the rarer rewrites can be skipped by a plain substring test.
+    stripped = F.transform(
         F.regexp_extract_all(html, F.lit(P.SPOKEN), F.lit(0)),
         lambda m: F.struct(
-            kind_of(F.lower(F.regexp_extract(m, r"^<([a-zA-Z0-9]+)", 1))).alias("kind"), plain_text(m).alias("plain")
+            kind_of(F.lower(F.regexp_extract(m, r"^<([a-zA-Z0-9]+)", 1))).alias("kind"),
+            F.regexp_replace(m, P.ANY_TAG, " ").alias("text"),
+        ),
+    )
+    plain = F.transform(
+        stripped,
+        lambda b: F.struct(
+            b["kind"].alias("kind"),
+            tidy(F.when(F.contains(b["text"], F.lit("&")), decode_entities(b["text"])).otherwise(b["text"])).alias("plain"),
         ),
     )
     heard = F.transform(
         F.filter(plain, lambda b: F.length(b["plain"]) >= MIN_CHARS),
-        lambda b: F.struct(b["kind"].alias("kind"), for_the_ear(b["plain"]).alias("text")),
+        lambda b: F.struct(
+            b["kind"].alias("kind"),
+            F.when(b["plain"].rlike(_FOR_THE_EYE), for_the_ear(b["plain"])).otherwise(b["plain"]).alias("text"),
+        ),
     )
     stopped = F.transform(
         heard, lambda b: F.struct(b["kind"].alias("kind"), heading_stop(b["text"], b["kind"]).alias("text"))

@@ -351,3 +351,50 @@ def manifest_and_snapshots(spark, folder):
     n = F.col("page_id").cast("string")
     manifest = p.select("url", F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("gone-"), n)).otherwise(F.concat(F.lit("slug-"), n)).alias("slug"))
     return QF.with_snapshots(manifest, p.select(F.concat(F.lit("slug-"), n).alias("slug"), "html")).select("url", "slug", "error")
+
+
+@query(
+    "EXT-06",
+    """WITH s AS (SELECT p_partkey, p_size * 10 AS w, (p_partkey * 7) % 400 AS h FROM part)
+    SELECT p_partkey, (w = 0 AND h = 0) OR (w BETWEEN 1 AND 199) OR (h BETWEEN 1 AND 199) AS one_image,
+      CASE WHEN p_partkey % 3 = 0 THEN false ELSE (w = 0 AND h = 0) OR (w BETWEEN 1 AND 199) OR (h BETWEEN 1 AND 199) END AS with_more FROM s""",
+)
+def decorative_media(spark, folder):
+    w, h = (F.col("p_size") * 10).cast("string"), ((F.col("p_partkey") * 7) % 400).cast("string")
+    one = F.concat(F.lit('<img src="a.png" width="'), w, F.lit("\" height='"), h, F.lit("'>"))
+    more = F.concat(one, F.lit('<img src="unsized.png">'), F.when(F.col("p_partkey") % 3 == 0, "<video></video>").otherwise("text"))
+    return T.table(spark, folder, "part").select("p_partkey", X.small_images_only(one).alias("one_image"), X.small_images_only(more).alias("with_more"))
+
+
+@query(
+    "QF-03 QF-06 QF-07",
+    """WITH d AS (SELECT doc_id AS id, len(string_split(text, chr(10))) AS n FROM documents),
+      m AS (SELECT *, doc_id_table AS has_table FROM (SELECT *, id % 5 <> 0 AS doc_id_table FROM d))
+    SELECT id, n AS images, CAST((n + 2) // 3 AS BIGINT) AS img_in_figure, CAST(n - (n + 2) // 3 AS BIGINT) AS img_no_alt, CAST((n + 1) // 3 AS BIGINT) AS img_src_relative,
+      CAST(n // 3 AS BIGINT) AS img_src_missing, CASE WHEN has_table THEN 1 ELSE 0 END AS tables, id % 7 AS source_tables,
+      array_to_string(list_filter([CASE WHEN n // 3 > 0 THEN 'img-without-src' END, CASE WHEN n > 1 THEN 'img-relative-src' END,
+        CASE WHEN has_table AND 1 + n % 5 > 3 THEN 'wide-table' END, CASE WHEN has_table AND n * 10 > 120 THEN 'long-cell' END,
+        CASE WHEN has_table AND id % 2 = 0 THEN 'table-wrapped' END, CASE WHEN NOT has_table AND id % 7 >= 3 THEN 'tables-lost' END,
+        CASE WHEN n > 40 THEN 'image-flood' END], lambda f: f IS NOT NULL), ',') AS flags FROM m""",
+)
+def media_measurements(spark, folder):
+    lines = F.split("text", "\n")
+    n = F.size(lines)
+    picture = lambda l, i: F.when(i % 3 == 0, F.concat(F.lit('<figure><img alt="p" src="https://img.example.com/'), i.cast("string"), F.lit('"></figure>'))).when(
+        i % 3 == 1, F.concat(F.lit('<img src="/rel'), i.cast("string"), F.lit('">'))
+    ).otherwise('<img alt=" ">')
+    table = F.concat(
+        F.when(F.col("doc_id") % 2 == 0, "<div>").otherwise("<p>t</p>"), F.lit("<table><tr>"), F.repeat(F.lit("<td>x</td>"), 1 + n % 5), F.lit("</tr><tr><td>"),
+        F.repeat(F.lit("y"), n * 10), F.lit("</td></tr></table>"),
+    )
+    html = F.concat(F.array_join(F.transform(lines, picture), ""), F.when(F.col("doc_id") % 5 != 0, table).otherwise(""))
+    offered = F.repeat(F.lit("<table><tr><td>a</td></tr><tr><td>b</td></tr></table>"), (F.col("doc_id") % 7).cast("int"))
+    rows = T.spread(T.table(spark, folder, "documents")).select(
+        F.col("doc_id").alias("id"), F.lit("").alias("url"), F.lit("ok").alias("outcome"), F.lit("t").alias("title"), F.lit("A").alias("author"), "lang",
+        F.lit(500).alias("word_count"), html.alias("content_html"), F.lit("").alias("text"), offered.alias("source"),
+    )
+    parsed = rows.withColumn("content", F.array(F.expr("named_struct('pos', 0, 'tag', 'p', 'inner', '', 'text', repeat('Long enough. ', 9), 'n_words', 18, 'n_links', 0, 'link_chars', 0, 'has_media', false)")))
+    measured = QF.measure(parsed, "source")
+    return measured.select(
+        "id", "images", "img_in_figure", "img_no_alt", "img_src_relative", "img_src_missing", F.size("tables").alias("tables"), "source_tables", F.array_join("flags", ",").alias("flags")
+    )

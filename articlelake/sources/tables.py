@@ -11,11 +11,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Let every core work on an input that comes in fewer pieces than there are cores.
+    """Let the cores share a small input that comes in only a few pieces.
 
-    Large inputs already come in many pieces and are passed on as they are.
+    An input of 64 pieces (8 GB at the default split size) or more is passed on as it is,
+    whatever the size of the cluster, so nothing large is ever moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, 64)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from articlelake.functions.urls import fetch_verdict, first_link
-from articlelake.operators.library import not_yet_saved
+from articlelake.operators.library import small_not_yet_saved
 from articlelake.operators.search import postings
 
 
@@ -24,7 +24,9 @@ def save_new_links(path: str, library: Callable[[], DataFrame]):
     """A batch writer that leaves out what the library already has."""
 
     def write(batch: DataFrame, number: int) -> None:
-        not_yet_saved(batch, library(), "url").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.persist()
+        small_not_yet_saved(batch, library(), "url").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
 
     return write
 
