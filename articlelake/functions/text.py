@@ -1,5 +1,6 @@
 """Text columns: whitespace, words, tokens, escaping and entity decoding."""
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -172,11 +173,9 @@ def tags_or_dash(tags: Column) -> Column:
 
 def matched_tier(fields: list[Column], needle: str) -> Column:
     """0 for an equal field, 1 for a prefix, 2 for a fragment, null for no match."""
-    import functools
-
     wanted = fold_accents(F.lit(needle))
     tiers = [
         F.when(f == wanted, 0).when(F.startswith(f, wanted), 1).when(F.contains(f, wanted), 2)
         for f in map(fold_accents, fields)
     ]
-    return functools.reduce(lambda a, b: F.least(a, b), tiers) if len(tiers) > 1 else tiers[0]
+    return functools.reduce(F.least, tiers)

@@ -5,7 +5,7 @@ only the at most forty picks of an article are brought together again, so no gro
 grows with the data.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from articlelake.functions import dictionaries as D, patterns as P
 from articlelake.functions.text import compact
@@ -49,8 +49,6 @@ def edges_from_rows(rows: DataFrame, limit: int = MAX_IMAGES) -> DataFrame:
 
     The rank is cut at `limit`, so every task sends on at most that many rows per article.
     """
-    from pyspark.sql import Window
-
     once = rows.groupBy("id", "url").agg(F.min("pos").alias("pos"))
     order = Window.partitionBy("id").orderBy("pos", "url")
     ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

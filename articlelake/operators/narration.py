@@ -28,16 +28,14 @@ def kind_of(tag: Column) -> Column:
 
 def for_the_ear(text: Column) -> Column:
     """Drop what only the eye needs: footnote marks, address tails, bullets."""
-    spoken = F.regexp_replace(text, r"(?i)\s*\[(?:\d{1,3}|[a-z]|Bearbeiten[^\]]*|edit)\]", "")
-    spoken = F.regexp_replace(spoken, r"(?i)\bhttps?://(?:www\.)?([^\s/]+)\S*", "$1")
-    spoken = F.regexp_replace(spoken, r"(?i)\bwww\.([^\s/]+)\S*", "$1")
-    spoken = F.regexp_replace(spoken, r"^[•·▪◦‣●○*+–—-]\s+", "")
-    return F.trim(F.regexp_replace(spoken, r"\s{2,}", " "))
+    for pattern, by in P.NOT_SPOKEN:
+        text = F.regexp_replace(text, pattern, by)
+    return F.trim(text)
 
 
 def heading_stop(text: Column, kind: Column) -> Column:
     """A heading without closing punctuation gets a full stop."""
-    open_end = (kind == "heading") & (text != "") & ~text.rlike(r"""[.!?…:;]["'»”’\]]*$""")
+    open_end = (kind == "heading") & (text != "") & ~text.rlike(P.CLOSED_HEADING)
     return F.when(open_end, F.concat(text, F.lit("."))).otherwise(text)
 
 
@@ -90,25 +88,16 @@ def narrate(articles: DataFrame, html: str = "content_html") -> DataFrame:
     return with_settled(articles, "spoken", spoken_blocks(F.col(html)))
 
 
-# Fixed checks: name and condition on a spoken block.
-def _checks(b: Column) -> dict[str, Column]:
-    text = b["text"]
+def _checks(b) -> dict[str, Column]:
+    """Every check by name, as a condition on a spoken block."""
     return {
-        "heading-without-stop": (b["kind"] == "heading") & ~text.rlike(r"""[.!?…:;][")'»”’\]]*$"""),
-        "glued-quote": text.rlike(r"”[A-Za-zÄÖÜäöü]|[A-Za-zÄÖÜäöü]„"),
-        "leading-marker": text.rlike(r"^[•·▪◦‣●○*+\-–—]\s|^\d+[.)]\s"),
-        "orphan-punctuation": text.rlike(r"\s[.,;:!?]"),
-        "spoken-url": text.rlike(r"(?i)https?://|\bwww\.[a-z0-9_]"),
-        "footnote-marker": text.rlike(r"(?i)\[\d{1,3}\]|\[(?:Bearbeiten|edit)\b"),
-        "shouty": text.rlike(r"\b[A-ZÄÖÜ]{6,}\b"),
-        "run-on-utterance": F.exists(b["parts"], lambda p: F.length(p) > 400),
+        "heading-without-stop": (b["kind"] == "heading") & ~b["text"].rlike(P.ENDS_SENTENCE),
+        **{name: b["text"].rlike(pattern) for name, pattern in P.TEXT_CHECKS.items()},
+        "run-on-utterance": F.exists(b["parts"], lambda part: F.length(part) > 400),
     }
 
 
-CHECK_NAMES = [
-    "heading-without-stop", "glued-quote", "leading-marker", "orphan-punctuation",
-    "spoken-url", "footnote-marker", "shouty", "run-on-utterance",
-]
+CHECK_NAMES = ["heading-without-stop", *P.TEXT_CHECKS, "run-on-utterance"]
 
 
 def block_checks(blocks: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from articlelake.operators.images import images_in
 from articlelake.operators.projection import with_settled
 from articlelake.operators.statistics import upper_median
 
-_LEFTOVER = r"(?i)<(?:script|style|iframe|object|embed|form|link|meta)\b"
 _HANDLER = r"(?is)<[a-z][^>]*\son[a-z]+\s*="
 _TABLE = r"(?is)<table\b.*?</table\s*>"
 
@@ -50,7 +49,7 @@ def link_health(html: Column) -> Column:
 
 
 def leftovers(html: Column) -> Column:
-    return F.regexp_count(html, F.lit(_LEFTOVER))
+    return F.regexp_count(html, F.lit(P.LEFTOVER))
 
 
 def inline_handlers(html: Column) -> Column:
@@ -132,15 +131,9 @@ def table_cells(articles: DataFrame, html: str = "content_html") -> DataFrame:
     )
 
 
-# The units a numeric cell may end in.
-_UNIT = (
-    r"%|‰|°|[kmcµnp]?m|[km]?g|[km]?l|[km]?w|[km]?wh|hz|[km]?bit|[kmgt]?b|[km]?bps|[a-z]{1,4}/h|[€$£¥]"
-)
-
-
 def is_numeric_cell(text: Column) -> Column:
     """A number with optional sign, separators and a unit or currency."""
-    return text.rlike(rf"(?i)^[+\-−]?\s*\d[\d\s.,'’]*(?:\s*(?:{_UNIT}))?$")
+    return text.rlike(P.NUMERIC_CELL)
 
 
 def measure(parsed: DataFrame, source_html: str | None = None) -> DataFrame:

@@ -141,7 +141,7 @@ def index_matches(planned: DataFrame, index: DataFrame, words: DataFrame | None
     words = vocabulary(index) if words is None else words
     few = slots.select("qid", "needs", "word", "is_prefix").limit(FEW_SLOTS + 1).collect()
     if not few:
-        return slots.select("qid").join(index.select("id")).where(F.lit(False))
+        return slots.select("qid", F.lit(None).cast("string").alias("id")).where(F.lit(False))
     if len(few) <= FEW_SLOTS and max(s.needs for s in few) < 60:
         wanted, lengths = _wanted(few), sorted({len(s.word) for s in few if s.is_prefix})
         local = F.broadcast(_bits(index.sparkSession, few))  # at most FEW_SLOTS rows

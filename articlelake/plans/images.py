@@ -12,7 +12,6 @@ from articlelake.sources import tables as T
 
 # Documents whose words became pictures: one per word, repeated words repeat, every seventh is inline data.
 _WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
-_SIZE = "100 + (length(w) * 37) % 250"
 
 
 def _pictures(spark, folder):

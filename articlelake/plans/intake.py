@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from articlelake.functions import patterns as P, text as X, urls as U
+from articlelake.functions import text as X, urls as U
 from articlelake.functions.languages import base_code, speech_language
 from articlelake.operators import library as L, search as S
 from articlelake.plans import sqltext as Q
@@ -169,7 +169,6 @@ def first_pages_per_site(spark, folder):
 def shared_links(spark, folder):
     rows = T.table(spark, folder, "pages").select("page_id", "url")
     texts = rows.withColumn("text", F.concat(F.lit("Worth reading: "), "url", F.lit(" (found today)")))
-    query_url = F.concat(F.lit("https://app.example.com/?tab=inbox&add=&url="), F.url_encode(F.concat(F.lit("see "), "url")))
     return I.shared_texts(texts.withColumnRenamed("url", "original")).select(
         "page_id", F.col("url").alias("from_text"),
         U.shared_link(F.concat(F.lit("https://app.example.com/?tab=inbox&add=&url="), F.url_encode(F.concat(F.lit("see "), "original")))).alias("from_query"),

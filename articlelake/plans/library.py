@@ -3,11 +3,9 @@
 from pyspark.sql import functions as F
 
 from articlelake.functions.languages import LANGUAGES, with_language
-from articlelake.functions.urls import content_key
 from articlelake.operators import library as L
 from articlelake.operators.names import best_first, search_names
 from articlelake.plans import sqltext as Q
-from articlelake.plans.intake import _ARTICLE_FIELDS, _flat
 from articlelake.plans.registry import query
 from articlelake.sources import tables as T
 

@@ -1,5 +1,6 @@
 """Session settings and the shared folder for checkpoints and intermediate tables."""
 
+import functools
 import tempfile
 import uuid
 
@@ -25,6 +26,11 @@ def local_session(cores: str = "*", partitions: int = 8, **extra: str) -> SparkS
     return spark
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder the cluster shares, for checkpoints and written tables.
 
@@ -35,6 +41,5 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

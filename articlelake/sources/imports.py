@@ -1,7 +1,8 @@
 """Reading lists and link sources: CSV, bookmark HTML, feeds, manifests, snapshots, shares."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from articlelake.functions import patterns as P
 from articlelake.functions.text import epoch_millis, plain_text, trimmed
 from articlelake.functions.urls import first_link, host, slug
 from articlelake.operators.extraction import attribute
@@ -77,12 +78,7 @@ def feed_links(feeds: DataFrame) -> DataFrame:
 
     Three link shapes, query and fragment cut, each once, on the site's host, shaped like an article.
     """
-    shapes = [
-        r"(?i)<link>\s*(?:<!\[CDATA\[)?\s*(https?://[^\s<\]]+)",
-        r"(?i)<link[^>]+rel=[\"']alternate[\"'][^>]*href=[\"'](https?://[^\"']+)[\"']",
-        r"(?i)<link[^>]+href=[\"'](https?://[^\"']+)[\"'][^>]*/>",
-    ]
-    found = F.concat(*(F.regexp_extract_all("xml", F.lit(s), F.lit(1)) for s in shapes))
+    found = F.concat(*(F.regexp_extract_all("xml", F.lit(shape), F.lit(1)) for shape in P.FEED_LINKS))
     links = feeds.select("site", "feed_url", F.posexplode(found).alias("pos", "raw"))
     clean = F.regexp_replace(F.replace("raw", F.lit("&amp;"), F.lit("&")), r"[?#].*$", "")
     rows = links.withColumn("url", clean).groupBy("site", "feed_url", "url").agg(F.min("pos").alias("pos"))
@@ -105,8 +101,6 @@ def first_per_site(links: DataFrame, take: DataFrame | int, fixed: DataFrame | N
 
     The rank is cut, so each task sends on only the leading rows of a site, however many it has.
     """
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("site").orderBy(order, "url"))
     if isinstance(take, int):
         taken = links.withColumn("rank", rank).where(F.col("rank") <= take)

@@ -82,7 +82,7 @@ def main():
     }
     print(
         json.dumps(
-            {"metric": "total_query_time", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(FOLDER).removeprefix("sf"),
+            {"metric": "total_query_time", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": float(os.path.basename(FOLDER.rstrip("/")).removeprefix("sf") or 0),
              "counts": counts, "rates": rates}
         )
     )
