@@ -149,14 +149,19 @@ def download_label(size: Column) -> Column:
     return F.when(size >= 10 * 1024 * 1024, large).otherwise(bytes_label(size))
 
 
+def _utc(millis: Column) -> Column:
+    """The timestamp that shows the UTC wall clock, whatever the session's time zone."""
+    return F.to_utc_timestamp(F.timestamp_millis(millis), F.current_timezone())
+
+
 def iso_date(millis: Column) -> Column:
     """The UTC calendar day of an epoch in milliseconds."""
-    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd")
+    return F.date_format(_utc(millis), "yyyy-MM-dd")
 
 
 def iso_instant(millis: Column) -> Column:
     """The UTC instant of an epoch in milliseconds, ISO 8601 with milliseconds."""
-    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.date_format(_utc(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def epoch_millis(seconds: Column, now_ms: Column) -> Column:

@@ -89,6 +89,11 @@ def test_epochs(spark):
     assert got == [12000, 1500, 77, 77, 77, 77]
     assert value(spark, X.iso_date(F.col("m")), m=1_700_000_000_000) == "2023-11-14"
     assert value(spark, X.iso_instant(F.col("m")), m=1_700_000_000_123) == "2023-11-14T22:13:20.123Z"
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert value(spark, X.iso_instant(F.col("m")), m=1_700_000_000_123) == "2023-11-14T22:13:20.123Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_reading_minutes(spark):
