@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from articlelake.llm import decontamination, packing, quality, toxicity, urls
+from articlelake.llm import decontamination, packing, quality, similarity_join, toxicity, urls
 from articlelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity_join.near_duplicates(table(spark, folder, "documents"), size=4, percent=85)
