@@ -1,6 +1,7 @@
 """Packing documents into sequences of bounded length: best fit with certified bounds."""
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,25 +18,34 @@ class _Units(dict):
     """Token ids, as bytes, of a word with the white space before it.
 
     The vocabulary's splitting rule never crosses from a word into the white space behind
-    it, so a text's ids are those of its units one after the other.
+    it, nor from letters into marks, so a text's ids are those of its units one after the
+    other, and those of "word," are those of "word" and ",".
     """
 
-    LIMIT = 500_000
+    LIMIT, MARKS = 1_000_000, ".,;:!?#*$%&|<>"
 
     def __init__(self, path: str):
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-        value = np.array(ids, dtype="<u4").tobytes()
-        if len(unit) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[unit] = value
-        return value
+    def learn(self, units: set[str]) -> None:
+        """Look up the units that are new, all at once."""
+        if len(self) + len(units) > self.LIMIT:
+            self.clear()
+        fresh = [unit for unit in units if unit not in self]
+        stems = {unit: unit.rstrip(self.MARKS) for unit in fresh if unit[-1] in self.MARKS}
+        stems = {unit: stem for unit, stem in stems.items() if stem[-1:].isalpha()}
+        parts = [unit for unit in fresh if unit not in stems]
+        parts += {part for unit, stem in stems.items() for part in (stem, unit[len(stem) :]) if part not in self}.difference(parts)
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            self[part] = array("I", found.ids).tobytes()
+        for unit, stem in stems.items():
+            self[unit] = self[stem] + self[unit[len(stem) :]]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -52,10 +62,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
 
         units, unit = _Units(tokenizer), re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = b"".join(map(units.__getitem__, unit.findall(text or ""))) + end
+            texts = [unit.findall(text or "") for text in batch["text"].to_pylist()]
+            units.learn(set().union(*texts))
+            for doc, text in zip(batch["doc_id"].to_pylist(), texts):
+                ids = b"".join(map(units.__getitem__, text)) + end
                 total = len(ids) // 4
                 start, piece = 0, 0
                 length = (total - 1) % capacity + 1
