@@ -92,7 +92,6 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 def fences(sketch: DataFrame) -> DataFrame:
     """Bounds per language and source: `lang, source, <metric>_low, <metric>_high`."""
-    groups = sketch.select("lang", "source").distinct()
 
     def quartiles(keys: list[str]) -> DataFrame:
         merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
@@ -101,7 +100,7 @@ def fences(sketch: DataFrame) -> DataFrame:
         at = [F.min(F.when(F.col("upto") * 4 >= F.col("rows") * q, F.col("bucket"))).alias(f"q{q}") for q in (1, 2, 3)]
         return ranked.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), *at)
 
-    found = groups.crossJoin(F.broadcast(groups.sparkSession.createDataFrame([(m,) for m in METRICS], "metric string")))
+    found = sketch.select("lang", "source").distinct().withColumn("metric", F.explode(F.array(*map(F.lit, METRICS))))
     for level, keys in enumerate((["lang", "source"], ["lang"], [])):
         own = quartiles(keys).select(F.struct("rows", "q1", "q2", "q3").alias(f"level{level}"), F.col("metric").alias("m"), *[F.col(k).alias(f"k_{k}") for k in keys])
         same = F.col("metric") == F.col("m")
