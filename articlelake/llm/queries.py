@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from articlelake.llm import decontamination, packing, quality, similarity_join, toxicity, urls
+from articlelake.llm import decontamination, lines, packing, quality, similarity_join, substrings, toxicity, urls
 from articlelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,16 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontamination.benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, folder, "documents"), length=50).drop("kept")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(table(spark, folder, "documents"))
+
+
 @query
 def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """The list to block holds the addresses that were captured more than once."""
