@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from articlelake.llm import decontamination, lines, packing, quality, similarity_join, substrings, toxicity, urls
+from articlelake.llm import decontamination, licenses, lines, packing, quality, similarity_join, substrings, toxicity, urls
 from articlelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeated(table(spark, folder, "documents"), length=50).drop("kept")
 
 
+@query
+def op6_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_matches(table(spark, folder, "documents"), licenses.TEMPLATES)
+
+
 @query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(table(spark, folder, "documents"))
