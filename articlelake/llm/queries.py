@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from articlelake.llm import decontamination, licenses, lines, packing, quality, similarity_join, substrings, toxicity, urls
+from articlelake.llm import decontamination, licenses, lines, packing, quality, similarity_join, substrings, toxicity, urls, warc
 from articlelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"))
 
 
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, folder, "pages"), date="2024-01-01T00:00:00Z").drop("payload")
+
+
 @query
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
