@@ -129,7 +129,7 @@ def pack(pieces: DataFrame, capacity: int, per_shard: int = 200_000, rounds: int
     `per_shard` pieces, so no source or document can crowd one, and each shard runs best-fit
     decreasing. A shard whose number of sequences equals its lower bound is certified and
     final. From the other shards, the pieces of sequences with a gap are dealt anew to fewer
-    shards and packed again, until all are certified, nothing is gained, or `rounds` is
+    shards, of twice the size each time, and packed again, until all are certified, nothing is gained, or `rounds` is
     reached. A round that would need more sequences than before is not taken.
     """
     own = F.col("length") >= capacity
@@ -155,7 +155,7 @@ def pack(pieces: DataFrame, capacity: int, per_shard: int = 200_000, rounds: int
         count = kept.count()
         if not count:
             break
-        shards = -(-count // per_shard)
+        shards = -(-count // (per_shard << round_no))
         key = F.pmod(F.xxhash64("doc_id", "piece", "length", F.lit(round_no)), F.lit(shards)).alias("shard")
         packed = kept.select(*PIECES.replace(",", "").split()[::2], key)
         packed = stored(packed.groupBy("shard").applyInPandas(fill(round_no), schema), "packed")
