@@ -105,8 +105,8 @@ def decode_entities(text: Column) -> Column:
 def tidy(text: Column) -> Column:
     """Single spaces, and punctuation pulled to its word where its side is certain."""
     text = F.regexp_replace(text, f"{P.WS}+", " ")
-    text = F.regexp_replace(text, r" +([.,;:!?…)\]”])", "$1")
-    text = F.regexp_replace(text, r"([(\[„]) +", "$1")
+    text = F.regexp_replace(text, rf" +({P.TO_THE_LEFT})", "$1")
+    text = F.regexp_replace(text, rf"({P.TO_THE_RIGHT}) +", "$1")
     return F.trim(text)
 
 

@@ -212,7 +212,7 @@ def import_articles(rows: DataFrame, articles: DataFrame, parsed: DataFrame, now
         F.when(ok, F.col("page_title")).otherwise(F.col("title")).alias("title"),
         "author",
         F.when(ok, F.col("site_name")).otherwise(display_host(F.col("url"))).alias("site_name"),
-        F.when(ok, F.col("excerpt")).otherwise("(content could not be downloaded — open the original)").alias("excerpt"),
+        F.when(ok, F.col("excerpt")).otherwise("The page could not be fetched; read it at its source.").alias("excerpt"),
         F.coalesce("content_html", F.lit("")).alias("content_html"),
         F.coalesce("word_count", F.lit(0)).alias("word_count"),
         F.when(ok, reading_minutes(F.col("word_count"))).otherwise(1).alias("reading_min"),

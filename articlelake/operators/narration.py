@@ -35,7 +35,7 @@ def for_the_ear(text: Column) -> Column:
 
 def heading_stop(text: Column, kind: Column) -> Column:
     """A heading without closing punctuation gets a full stop."""
-    open_end = (kind == "heading") & (text != "") & ~text.rlike(P.CLOSED_HEADING)
+    open_end = (kind == "heading") & (text != "") & ~text.rlike(P.STOPPED)
     return F.when(open_end, F.concat(text, F.lit("."))).otherwise(text)
 
 
@@ -91,7 +91,7 @@ def narrate(articles: DataFrame, html: str = "content_html") -> DataFrame:
 def _checks(b) -> dict[str, Column]:
     """Every check by name, as a condition on a spoken block."""
     return {
-        "heading-without-stop": (b["kind"] == "heading") & ~b["text"].rlike(P.ENDS_SENTENCE),
+        "heading-without-stop": (b["kind"] == "heading") & ~b["text"].rlike(P.STOPPED),
         **{name: b["text"].rlike(pattern) for name, pattern in P.TEXT_CHECKS.items()},
         "run-on-utterance": F.exists(b["parts"], lambda part: F.length(part) > 400),
     }

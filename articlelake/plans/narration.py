@@ -48,7 +48,7 @@ SPOKEN = f"""WITH lines AS (SELECT doc_id AS id, unnest(string_split(text, chr(1
   plain AS (SELECT id, o, lower(regexp_extract(m, '^<([a-zA-Z0-9]+)', 1)) AS tag, {Q.plain_text('m')} AS plain FROM found),
   heard AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS index, CASE WHEN tag LIKE 'h_' THEN 'heading' WHEN tag = 'li' THEN 'item'
     WHEN tag = 'blockquote' THEN 'quote' WHEN tag = 'figcaption' THEN 'caption' ELSE 'paragraph' END AS kind, trim({_EAR}) AS ear FROM plain b WHERE length(plain) >= 3),
-  spoken AS (SELECT id, index, kind, CASE WHEN kind = 'heading' AND ear <> '' AND NOT regexp_matches(ear, '[.!?…:;]["''»”’\\]]*$') THEN ear || '.' ELSE ear END AS text FROM heard),
+  spoken AS (SELECT id, index, kind, CASE WHEN kind = 'heading' AND ear <> '' AND NOT coalesce(contains('.:;!?…', nullif(right(rtrim(ear, ')]}}»”’"' || chr(39)), 1), '')), false) THEN ear || '.' ELSE ear END AS text FROM heard),
   parted AS (SELECT *, list_transform(string_split({_PARTS}, chr(2)), lambda s: replace(s, chr(1), ' ')) AS parts FROM spoken)"""
 
 
@@ -62,13 +62,15 @@ def narration_texts(spark, folder):
     return T.pages(spark, folder).select(F.col("page_id").cast("bigint").alias("page_id"), X.plain_text(F.col("html")).alias("text"))
 
 
-_CHECKS = """kind = 'heading' AND NOT regexp_matches(text, '[.!?…:;][")''»”’\\]]*$') AS heading_without_stop,
-  regexp_matches(text, '”[A-Za-zÄÖÜäöü]|[A-Za-zÄÖÜäöü]„') AS glued_quote,
-  regexp_matches(text, '^[•·▪◦‣●○*+\\-–—]\\s|^\\d+[.)]\\s') AS leading_marker,
-  regexp_matches(text, '\\s[.,;:!?]') AS orphan_punctuation,
-  regexp_matches(text, '(?i)https?://|\\bwww\\.[a-z0-9_]') AS spoken_url,
-  regexp_matches(text, '(?i)\\[\\d{1,3}\\]|\\[(?:Bearbeiten|edit)\\b') AS footnote_marker,
-  regexp_matches(text, '\\b[A-ZÄÖÜ]{6,}\\b') AS shouty,
+# The checks once more, by other means: last and neighbouring characters instead of patterns.
+_BARE = "rtrim(text, ')]}»”’\"' || chr(39))"
+_CHECKS = rf"""kind = 'heading' AND NOT coalesce(contains('.:;!?…', nullif(right({_BARE}, 1), '')), false) AS heading_without_stop,
+  len(list_filter(string_split(text, '”')[2:], lambda x: regexp_matches(x, '^\p{{L}}'))) > 0 OR len(list_filter(string_split(text, '„')[:-2], lambda x: regexp_matches(x, '\p{{L}}$'))) > 0 AS glued_quote,
+  regexp_matches(text, '^([-–—*+•‣·▪▫●○◦]|[0-9]+[.)])\s') AS leading_marker,
+  len(list_filter(['.', ',', ':', ';', '!', '?'], lambda m: contains(replace(replace(text, chr(10), ' '), chr(9), ' '), ' ' || m))) > 0 AS orphan_punctuation,
+  regexp_matches(lower(text), '(^|[^a-z0-9_])(https?://|www\.[a-z0-9])') AS spoken_url,
+  len(list_filter(string_split(text, '[')[2:], lambda x: contains(x, ']') AND regexp_full_match(string_split(x, ']')[1], '[0-9]{{1,3}}|\p{{L}}|(?i:edit|bearbeiten|modifier|editar)(\s.*)?'))) > 0 AS footnote_marker,
+  len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: regexp_matches(x, '^\p{{Lu}}{{6}}'))) > 0 AS shouty,
   len(list_filter(parts, lambda p: length(p) > 400)) > 0 AS run_on_utterance"""
 # Conversation turns are checked as they stand, one block each, with their role as the kind.
 _TURNS = f"""turns AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'heading' ELSE 'paragraph' END AS kind, text, [text] AS parts FROM conversations),

@@ -36,8 +36,8 @@ def plain_text(fragment: str) -> str:
     for entity, char in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')):
         text = f"regexp_replace({text}, '(?i)&{entity};', '{char}', 'g')"
     text = f"regexp_replace({text}, {re(WS + '+')}, ' ', 'g')"
-    text = f"regexp_replace({text}, {re(r' +([.,;:!?…)' + chr(92) + ']”])')}, '\\1', 'g')"
-    text = f"regexp_replace({text}, {re(r'([(' + chr(92) + '[„]) +')}, '\\1', 'g')"
+    text = f"regexp_replace({text}, {re(r' +([.,:;!?…”]|\p{Pe})')}, '\\1', 'g')"
+    text = f"regexp_replace({text}, {re(r'(\p{Ps}) +')}, '\\1', 'g')"
     return f"trim({text})"
 
 

@@ -142,7 +142,7 @@ def test_every_flag_can_be_seen(spark):
     assert "last-empty" in flags_of(spark, [block(0, "p", PROSE), block(1, "p", "")])
     assert "first-chrome-x-bar" in flags_of(spark, [block(0, "x-bar", PROSE), block(1, "p", PROSE)])
     assert "empty-paragraphs" in flags_of(spark, [block(0, "p", PROSE), block(1, "p", ""), block(2, "p", PROSE)])
-    furniture = [block(0, "p", PROSE)] + [block(i, "p", "Related stories of the day") for i in (1, 2, 3)] + [block(4, "p", PROSE)]
+    furniture = [block(0, "p", PROSE)] + [block(i, "p", "Share this with everyone today") for i in (1, 2, 3)] + [block(4, "p", PROSE)]
     assert flags_of(spark, furniture) == ["furniture-inside"]
     assert flags_of(spark, html="<img alt='x'>") == ["img-without-src"]
     assert flags_of(spark, html="<img src='/x.png'>") == ["img-relative-src"]
