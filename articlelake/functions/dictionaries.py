@@ -116,10 +116,14 @@ def _listed(labels: dict[str, list[str]]) -> list[str]:
     return [_quoted(label) for language in labels.values() for label in language]
 
 
-def furniture_pattern() -> str:
-    """Matches text that begins with a furniture label or only says what someone does for the press."""
+def furniture_pattern(anywhere: bool = False) -> str:
+    """Matches text that begins with a furniture label or only says what someone does for the press.
+
+    `anywhere`, it matches text that holds such words at any place.
+    """
+    start = r"(?:^|[^\p{L}\p{N}])" if anywhere else "^"
     staff = r"\p{L}[^\s]*(?:\s\p{L}[^\s]*){1,3}\sis\san?\s(?:\p{L}+\s){0,2}(?:" + "|".join(OCCUPATIONS) + ")"
-    return "(?i)^(?:" + "|".join([*_listed(FURNITURE_LABELS), *FURNITURE_SIGNS, staff]) + r")(?:[^\p{L}\p{N}]|$)"
+    return "(?i)" + start + "(?:" + "|".join([*_listed(FURNITURE_LABELS), *FURNITURE_SIGNS, staff]) + r")(?:[^\p{L}\p{N}]|$)"
 
 
 def wall_pattern() -> str:

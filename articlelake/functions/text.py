@@ -78,21 +78,34 @@ def text_of(html: Column) -> Column:
 
 
 def decode_decimal_entities(text: Column) -> Column:
-    """Replace decimal character references by the characters they name."""
-    return F.array_join(
-        F.transform(
-            F.split(text, r"&#(?=\d+;)"),
-            lambda piece, i: F.when(i == 0, piece).otherwise(
-                F.concat(_character(F.regexp_extract(piece, r"^0*(\d{1,9})", 1)), F.regexp_replace(piece, r"^\d+;", ""))
-            ),
-        ),
-        "",
-    )
+    """Replace decimal character references by the characters they name.
+
+    Two references that are halves of a surrogate pair name one character. Numbers that name
+    none, a lone half among them, become the replacement character.
+    """
+    pieces = F.split(text, r"&#(?=\d+;)")
+    code = lambda piece: F.regexp_extract(piece, r"^(\d+);", 1).try_cast("long")
+    high = lambda piece: code(piece).between(0xD800, 0xDBFF) & piece.rlike(r"^\d+;$")
+    low = lambda piece: code(piece).between(0xDC00, 0xDFFF)
+
+    def decoded(piece: Column, i: Column) -> Column:
+        rest, own = F.regexp_replace(piece, r"^\d+;", ""), code(piece)
+        behind, before = F.try_element_at(pieces, i + 2), F.try_element_at(pieces, F.greatest(i, F.lit(1)))
+        pair = 0x10000 + (own - 0xD800) * 0x400 + (code(behind) - 0xDC00)
+        return (
+            F.when(i == 0, piece)
+            .when(high(piece) & low(behind), _character(pair))
+            .when((i > 1) & low(piece) & high(before), rest)
+            .otherwise(F.concat(_character(own), rest))
+        )
+
+    return F.when(F.size(pieces) > 1, F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
 
 
 def _character(code: Column) -> Column:
-    """The 16-bit character with this decimal number."""
-    return F.decode(F.unhex(F.lpad(F.hex(F.coalesce(code.try_cast("long"), F.lit(0)) % 65536), 4, "0")), "UTF-16BE")
+    """The character with this number, U+FFFD if there is none."""
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
 def decode_entities(text: Column) -> Column:
@@ -168,7 +181,7 @@ def epoch_millis(seconds: Column, now_ms: Column) -> Column:
     """Epoch seconds written as text to milliseconds; anything that is not a number is `now`."""
     value = F.trim(seconds).try_cast("double")
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
-    return F.when(finite & (seconds != ""), (value * 1000).cast("long")).otherwise(now_ms)
+    return F.when(finite & (seconds != ""), F.coalesce((value * 1000).try_cast("long"), now_ms)).otherwise(now_ms)
 
 
 def tags_or_dash(tags: Column) -> Column:

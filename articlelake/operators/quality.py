@@ -24,7 +24,7 @@ def edge_flags(b: Column, where: str) -> Column:
         F.array(
             F.when(b.isNull(), f"missing-{where}"),
             F.when(chrome, F.concat(F.lit(f"{where}-chrome-"), b["tag"])),
-            F.when(F.substring(text, 1, 300).rlike(D.furniture_pattern()), f"{where}-furniture"),
+            F.when(F.substring(text, 1, 300).rlike(D.furniture_pattern(anywhere=True)), f"{where}-furniture"),
             F.when((text != "") & (F.length(text) < 40) & ~b["has_media"], f"{where}-stub"),
             F.when(is_link_list(b), f"{where}-link-list"),
             F.when((text == "") & ~b["has_media"], f"{where}-empty"),
@@ -152,7 +152,7 @@ def measure(parsed: DataFrame, source_html: str | None = None) -> DataFrame:
             "paragraphs": F.size(F.filter("content", lambda b: b["tag"] == "p")),
             "empty_paragraphs": F.size(F.filter("content", lambda b: (b["tag"] == "p") & (b["text"] == "") & ~b["has_media"])),
             "furniture_blocks": F.size(
-                F.filter("content", lambda b: F.substring(b["text"], 1, 200).rlike(D.furniture_pattern()))
+                F.filter("content", lambda b: F.substring(b["text"], 1, 200).rlike(D.furniture_pattern(anywhere=True)))
             ),
             "headings": F.regexp_count(html, F.lit(r"(?i)<h[1-4][\s>]")),
             "figures": F.regexp_count(html, F.lit(r"(?i)<figure[\s>]")),

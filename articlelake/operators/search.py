@@ -31,15 +31,20 @@ def postings(articles: DataFrame, html: str = "content_html") -> DataFrame:
     return articles.select(F.explode(terms).alias("term"), "id")
 
 
-def write_index(index: DataFrame, path: str, segment: int | None = None) -> None:
+def write_index(index: DataFrame, path: str, segment: int | None = None, ids: DataFrame | None = None) -> None:
     """Write an index sorted by term, so a lookup reads few row groups.
 
     Rows are ranged over term and id together: a term that every article has is
     spread over many files instead of filling one. A numbered segment joins those
-    already there; without a number the table is whole.
+    already there; without a number the table is whole. Beside a segment stands a small
+    table of the ids it speaks for: `ids`, or those that have postings in it. An article
+    that lost all its terms is in `ids` alone.
     """
     target = path if segment is None else f"{path}/segment={segment}"
     index.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(target)
+    if segment is not None:
+        seen = index.select("id") if ids is None else ids.select("id")
+        seen.distinct().write.mode("overwrite").parquet(f"{path}-ids/segment={segment}")
 
 
 def compact_index(spark, path: str, target: str) -> None:
@@ -53,7 +58,7 @@ def read_index(spark, path: str) -> DataFrame:
     stored = spark.read.parquet(path)
     if "segment" not in stored.columns:
         return stored
-    newest = stored.groupBy("id").agg(F.max("segment").alias("segment"))
+    newest = spark.read.parquet(f"{path}-ids").groupBy("id").agg(F.max("segment").alias("segment"))
     return stored.join(newest, ["id", "segment"], "left_semi").select("term", "id")
 
 
@@ -126,75 +131,21 @@ def _starts(words: DataFrame, prefixes: DataFrame) -> DataFrame:
     return cut.join(prefixes.select("word").distinct(), "word", "left_semi").drop("lengths", "n")
 
 
-FEW_SLOTS = 1000
-DIRECT_COST = 50_000_000
-
-
 def index_matches(planned: DataFrame, index: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """`(qid, id)` of the articles that hold every finished term and a word with the prefix.
 
     `words` is the stored vocabulary of the index; without it the counts are taken anew.
-    A small batch whose postings are few is answered in one pass over the index, with its
-    words as a filter on the scan. Any other batch goes through `_rarest_first`.
+    They only choose which word of a query is looked up first, so a vocabulary that lags
+    behind the index changes no answer.
     """
-    slots = _slots(planned.where(~F.col("scan_only")))
     words = vocabulary(index) if words is None else words
-    few = slots.select("qid", "needs", "word", "is_prefix").limit(FEW_SLOTS + 1).collect()
-    if not few:
-        return slots.select("qid", F.lit(None).cast("string").alias("id")).where(F.lit(False))
-    if len(few) <= FEW_SLOTS and max(s.needs for s in few) < 60:
-        wanted, lengths = _wanted(few), sorted({len(s.word) for s in few if s.is_prefix})
-        local = F.broadcast(_bits(index.sparkSession, few))  # at most FEW_SLOTS rows
-        narrowed = lambda df: df if wanted is None else df.where(wanted)
-        read = _keyed(narrowed(words), lengths).join(local, ["word", "is_prefix"]).agg(F.sum("df")).first()[0] or 0
-        if read <= DIRECT_COST:
-            return _one_pass(_keyed(narrowed(index), lengths).join(local, ["word", "is_prefix"]))
-    return _rarest_first(slots, index, words)
-
-
-def _wanted(slots: list) -> Column | None:
-    """The slots as a filter the scan can use, while it is short enough to pay."""
-    if len({(s.word, s.is_prefix) for s in slots}) > 32:
-        return None
-    exact = sorted({s.word for s in slots if not s.is_prefix})
-    wanted = F.col("term").isin(exact) if exact else F.lit(False)
-    for start in sorted({s.word for s in slots if s.is_prefix}):
-        wanted = wanted | F.col("term").startswith(start)
-    return wanted
-
-
-def _bits(spark, slots: list) -> DataFrame:
-    """`(qid, word, is_prefix, bit, all)`: one bit per slot of a query."""
-    seen: dict = {}
-    rows = []
-    for s in slots:
-        bit = seen[s.qid] = seen.get(s.qid, -1) + 1
-        rows.append((s.qid, s.word, s.is_prefix, 1 << bit, (1 << s.needs) - 1))
-    qid = "bigint" if isinstance(rows[0][0], int) else "string"
-    return spark.createDataFrame(rows, f"qid {qid}, word string, is_prefix boolean, bit bigint, all bigint")
-
-
-def _keyed(terms: DataFrame, lengths: list[int]) -> DataFrame:
-    """Each row under its term and under the term's first letters at the given lengths."""
-    whole = F.struct(F.col("term").alias("word"), F.lit(False).alias("is_prefix"))
-    cuts = [F.struct(F.substring("term", 1, n).alias("word"), F.lit(True).alias("is_prefix")) for n in lengths]
-    # A term shorter than a cut stands under itself, and no prefix of that length equals it.
-    return terms.select("*", F.inline(F.array(whole, *cuts)))
-
-
-def _one_pass(filled: DataFrame) -> DataFrame:
-    """The articles whose bits are all set."""
-    return (
-        filled.groupBy("qid", "id", "all")
-        .agg(F.bit_or("bit").alias("bits"))
-        .where(F.col("bits") == F.col("all"))
-        .select("qid", "id")
-    )
+    return _rarest_first(_slots(planned.where(~F.col("scan_only"))), index, words)
 
 
 def _rarest_first(slots: DataFrame, index: DataFrame, words: DataFrame) -> DataFrame:
     """Every query is driven by its rarest slot: those ids alone are candidates, and the other
-    slots are checked on `(word, id)`, a key no frequent word can crowd."""
+    slots are checked on `(word, id)`, a key no frequent word can crowd. A word without a
+    count is taken for the rarest."""
     finished, prefixes = slots.where(~F.col("is_prefix")), slots.where("is_prefix")
     costs = (
         words.withColumnRenamed("term", "word").join(finished.select("word").distinct(), "word", "left_semi")
@@ -204,10 +155,9 @@ def _rarest_first(slots: DataFrame, index: DataFrame, words: DataFrame) -> DataF
         )
     )
     drivers = (
-        slots.join(costs, ["word", "is_prefix"])
+        slots.join(costs, ["word", "is_prefix"], "left")
         .groupBy("qid", "needs")
-        .agg(F.count("*").alias("filled"), F.min(F.struct("cost", "word", "is_prefix")).alias("best"))
-        .where(F.col("filled") == F.col("needs"))
+        .agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "word", "is_prefix")).alias("best"))
         .select("qid", "needs", "best.word", "best.is_prefix")
     )
     held = (

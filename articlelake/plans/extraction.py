@@ -254,7 +254,7 @@ def link_health(spark, folder):
 _EDGE = lambda where: f"""list_filter([
     CASE WHEN {where}_tag IS NULL THEN 'missing-{where}' END,
     CASE WHEN {where}_tag IN {Q._CHROME} OR contains({where}_tag, '-') THEN '{where}-chrome-' || {where}_tag END,
-    CASE WHEN regexp_matches(substring({where}_text, 1, 300), {re(Q.D.furniture_pattern())}) THEN '{where}-furniture' END,
+    CASE WHEN regexp_matches(substring({where}_text, 1, 300), {re(Q.D.furniture_pattern(anywhere=True))}) THEN '{where}-furniture' END,
     CASE WHEN {where}_text <> '' AND length({where}_text) < 40 THEN '{where}-stub' END,
     CASE WHEN {where}_list THEN '{where}-link-list' END,
     CASE WHEN {where}_text = '' THEN '{where}-empty' END], lambda f: f IS NOT NULL)"""
@@ -326,8 +326,8 @@ def report_lines(spark, folder):
 
 @query(
     "QF-12",
-    """WITH e AS (SELECT user_id AS k, event_type AS f, event_id FROM events), b AS (SELECT k, list_sort(list_distinct(list(f))) AS flags, count(*) AS words FROM e WHERE event_id < 300 GROUP BY k),
-      a AS (SELECT k + 20 AS k, list_sort(list_distinct(list(f))) AS flags, count(*) AS words FROM e WHERE event_id >= 300 AND event_id < 500 GROUP BY k)
+    """WITH e AS (SELECT user_id AS k, event_type AS f, event_id FROM events), b AS (SELECT k, list_sort(list_distinct(list(f))) AS flags, count(*) AS words FROM e WHERE event_id % 2 = 0 GROUP BY k),
+      a AS (SELECT k + 20 AS k, list_sort(list_distinct(list(f))) AS flags, count(*) AS words FROM e WHERE event_id % 2 = 1 GROUP BY k)
     SELECT coalesce(b.k, a.k) AS url, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' ELSE 'both' END AS present,
       array_to_string(list_filter(coalesce(a.flags, []), lambda x: NOT list_contains(coalesce(b.flags, []), x)), ',') AS gained,
       array_to_string(list_filter(coalesce(b.flags, []), lambda x: NOT list_contains(coalesce(a.flags, []), x)), ',') AS lost, a.words - b.words AS word_change
@@ -336,8 +336,8 @@ def report_lines(spark, folder):
 def report_diff(spark, folder):
     e = T.table(spark, folder, "events")
     side = lambda rows, k: rows.groupBy(k.alias("url")).agg(F.sort_array(F.collect_set("event_type")).alias("flags"), F.count("*").alias("word_count"))
-    before = side(e.where(F.col("event_id") < 300), F.col("user_id"))
-    after = side(e.where((F.col("event_id") >= 300) & (F.col("event_id") < 500)), F.col("user_id") + 20)
+    before = side(e.where(F.col("event_id") % 2 == 0), F.col("user_id"))
+    after = side(e.where(F.col("event_id") % 2 == 1), F.col("user_id") + 20)
     return QF.report_diff(before, after).withColumns({"gained": F.array_join("gained", ","), "lost": F.array_join("lost", ",")})
 
 

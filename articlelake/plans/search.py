@@ -119,10 +119,10 @@ def search_batch(spark, folder):
 
 
 @query("JOI-05 SRCH-07", f"{MATCHES} SELECT qid, id FROM matched")
-def index_matches_rarest_first(spark, folder):
-    # The plan for batches too large or too frequent for one pass.
+def index_matches_stale_words(spark, folder):
+    # With a vocabulary that lags behind: it knows no word with an "a".
     index, words, _ = _stored(spark, T.articles(spark, folder))
-    return S._rarest_first(S._slots(S.plan_queries(T.query_texts(spark, folder)).where(~F.col("scan_only"))), index, words)
+    return S.index_matches(S.plan_queries(T.query_texts(spark, folder)), index, words.where(~F.col("term").contains("a")))
 
 
 @query("SRCH-07 SRCH-10", f"{MATCHES} SELECT m.qid, a.id, {_LABEL} AS where_found, a.added_at FROM matched m JOIN planned p ON p.qid = m.qid JOIN live a ON a.id = m.id")
@@ -170,14 +170,16 @@ def empty_and_mark_queries(spark, folder):
 @query(
     "SRCH-09",
     f"""{INDEX}, changed AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events),
-      again AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(title), {re(Q.P.TERM)})) AS term FROM articles WHERE id IN (SELECT id FROM changed) AND NOT deleted)
-    SELECT term, id FROM postings WHERE id NOT IN (SELECT id FROM changed) UNION ALL SELECT term, id FROM again""",
+      again AS (SELECT id FROM articles WHERE id IN (SELECT id FROM changed) AND NOT deleted)
+    SELECT term, id FROM postings WHERE id NOT IN (SELECT id FROM changed)
+    UNION (SELECT term, id FROM postings WHERE id IN (SELECT id FROM again) UNION SELECT 'rewritten', id FROM again)""",
 )
 def replaced_postings(spark, folder):
     library = T.articles(spark, folder)
     changed = T.table(spark, folder, "events").select(F.col("user_id").cast("string").alias("id")).distinct()
-    again = library.where(~F.col("deleted")).join(changed, "id", "left_semi").select("id", F.explode(F.array_distinct(X.tokenize(F.col("title")))).alias("term"))
-    return S.replace_postings(S.postings(library), changed, again)
+    # Changed articles got a word more and are indexed again as a whole; deleted ones lose their rows.
+    again = library.where(~F.col("deleted")).join(changed, "id", "left_semi").withColumn("content_html", F.concat("content_html", F.lit(" rewritten")))
+    return S.replace_postings(S.postings(library), changed, S.postings(again))
 
 
 @query(

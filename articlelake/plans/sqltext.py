@@ -184,7 +184,7 @@ PARSED = f"""{CONTENT}, assembled AS (
     count(*) AS blocks, arg_min(tag, pos) AS first_tag, arg_min(text, pos) AS first_text, arg_max(tag, pos) AS last_tag,
     arg_max(text, pos) AS last_text, arg_min({LINK_LIST}, pos) AS first_list, arg_max({LINK_LIST}, pos) AS last_list,
     CAST(count_if(tag = 'p') AS BIGINT) AS paragraphs, CAST(count_if(tag = 'p' AND text = '' AND NOT has_media) AS BIGINT) AS empty_paragraphs,
-    CAST(count_if(regexp_matches(substring(text, 1, 200), {re(D.furniture_pattern())})) AS BIGINT) AS furniture_blocks
+    CAST(count_if(regexp_matches(substring(text, 1, 200), {re(D.furniture_pattern(anywhere=True))})) AS BIGINT) AS furniture_blocks
   FROM trimmed GROUP BY page_id
 ), parsed AS (
   SELECT cut.page_id AS id, url, html,

@@ -62,7 +62,7 @@ def bookmark_rows(files: DataFrame, now_ms: Column, text: str = "value") -> Data
         F.coalesce(F.nullif(trimmed(plain_text(F.col("a"))), F.lit("")), url).alias("title"),
         _split_tags(attribute(F.col("tag"), "tags"), ",").alias("tags"),
         F.col("heading").rlike(r"\b(?:archived?|read)\b").alias("archived"),
-        F.coalesce(F.nullif((added * 1000).cast("long"), F.lit(0).cast("long")), now_ms).alias("added_at"),
+        F.coalesce(F.nullif((added * 1000).try_cast("long"), F.lit(0).cast("long")), now_ms).alias("added_at"),
     ).where(F.col("url").rlike(_WEB))
 
 

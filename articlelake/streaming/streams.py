@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from articlelake.functions.urls import fetch_verdict, first_link
 from articlelake.operators.library import small_not_yet_saved
-from articlelake.operators.search import postings
+from articlelake.operators.search import postings, write_index
 
 
 def intake(shared: DataFrame, text: str = "text", at: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -31,11 +31,12 @@ def save_new_links(path: str, library: Callable[[], DataFrame]):
     return write
 
 
-def settled_progress(events: DataFrame, quiet: str, late: str = "0 seconds") -> DataFrame:
+def settled_progress(events: DataFrame, quiet: str, late: str) -> DataFrame:
     """Reading positions once a reader has been quiet for a while: the last one of each session.
 
     The same plan serves a table and a stream; a stream emits a session when the watermark
-    has passed its end.
+    has passed its end. `late` is how far behind the newest row a row may lie and still count:
+    the caller weighs it against how long a session waits.
     """
     sessions = events.withWatermark("ts", late) if events.isStreaming else events
     return (
@@ -45,14 +46,18 @@ def settled_progress(events: DataFrame, quiet: str, late: str = "0 seconds") ->
     )
 
 
-def index_batches(path: str, html: str = "content_html"):
-    """A batch writer that indexes saved or changed articles as the next segment of an index."""
+def index_batches(path: str, html: str = "content_html", version: str = "modified_at"):
+    """A batch writer that indexes saved or changed articles as the next segment of an index.
+
+    Of an article that a batch holds more than once, the row with the largest `version`
+    counts, if there is such a column.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = postings(batch, html)
-        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(
-            f"{path}/segment={number + 1}"
-        )
+        if version in batch.columns:
+            newest = batch.groupBy("id").agg(F.max(version).alias(version))
+            batch = batch.join(newest, ["id", version], "left_semi").dropDuplicates(["id"])
+        write_index(postings(batch, html), path, segment=number + 1, ids=batch)
 
     return write
 

@@ -208,6 +208,8 @@ def test_index_segments(spark, tmp_path):
     terms = {(r["id"], r["term"]) for r in live.collect()}
     assert ("1", "new") in terms and ("1", "old") not in terms and ("2", "other") in terms
     S.compact_index(spark, path, str(tmp_path / "whole"))
+    empty = library(spark, {"title": ""}).where("false")
+    S.write_index(S.postings(empty), path, 2, ids=library(spark, {"title": "x"}))
     assert {(r["id"], r["term"]) for r in S.read_index(spark, str(tmp_path / "whole")).collect()} == terms
 
 
@@ -289,13 +291,13 @@ def test_a_late_event_closes_every_session(spark, tmp_path):
     source = str(tmp_path / "in")
     typed(events).coalesce(1).write.parquet(source)
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
-    run = lambda: R.run_available(R.settled_progress(spark.readStream.schema(schema).parquet(source), "30 minutes"), check, path=out)
+    run = lambda: R.run_available(R.settled_progress(spark.readStream.schema(schema).parquet(source), "30 minutes", late="0 seconds"), check, path=out)
     run()
     typed(flush).coalesce(1).write.mode("append").parquet(source)
     run()
     columns = ["id", "progress", "writes"]
     streamed = sorted(map(tuple, spark.read.parquet(out).select(*columns).collect()))
-    batch = sorted(map(tuple, R.settled_progress(typed(events), "30 minutes").select(*columns).collect()))
+    batch = sorted(map(tuple, R.settled_progress(typed(events), "30 minutes", late="0 seconds").select(*columns).collect()))
     assert streamed == batch == [("a", 0.4, 2), ("a", 0.9, 1), ("b", 0.2, 1)]
 
 

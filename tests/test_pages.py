@@ -153,7 +153,7 @@ def test_every_flag_can_be_seen(spark):
     assert flags_of(spark, html="<div><table><tr><td>" + "y" * 121 + "</td></tr></table></div>") == ["long-cell", "table-wrapped"]
     assert flags_of(spark, source="<table><tr><td>a</td></tr><tr><td>b</td></tr></table>" * 3) == ["tables-lost"]
     assert flags_of(spark, html="<img src='https://a.test/x' alt='a'>" * 41) == ["image-flood"]
-    assert flags_of(spark, text="please accept cookies to continue reading", words=499) == ["wall-not-article"]
+    assert flags_of(spark, text="please enable cookies, then verify you are human", words=499) == ["wall-not-article"]
     assert flags_of(spark, words=199, author=None, lang=None) == ["suspiciously-short", "no-author", "no-lang"]
 
 
