@@ -30,8 +30,9 @@ def rows_of(df: DataFrame, *names: str) -> DataFrame:
 
 def binary_texts(column: pa.Array) -> Iterator[bytes]:
     """The values of a string column as UTF-8 bytes; null is empty."""
-    for value in column.cast(pa.large_binary()).to_pylist():
-        yield value or b""
+    for start in range(0, len(column), 256):
+        for value in column.slice(start, 256).cast(pa.large_binary()).to_pylist():
+            yield value or b""
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -77,3 +78,45 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def signed(values: np.ndarray) -> np.ndarray:
     """Spark has no unsigned numbers."""
     return values.view(np.int64)
+
+
+#: Size of a key filter, in bits, and the slices that tasks make it in. Past its capacity a
+#: filter lets more through; whatever it lets through is decided exactly behind it.
+FILTER_BITS, FILTER_SLICES = 1 << 26, 64
+
+
+def _filter_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mixed = mix(keys.view(np.uint64))
+    return (mixed % np.uint64(FILTER_SLICES)).astype(np.int64), (mixed // np.uint64(FILTER_SLICES) % np.uint64(FILTER_BITS // FILTER_SLICES)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A filter of fixed size over the whole numbers in the column `key`, for a broadcast."""
+    size = FILTER_BITS // FILTER_SLICES // 8
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, _ = _filter_places(batch["key"].to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch["key"]], names=["part", "key"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, slice_no = np.zeros(size, np.uint8), None
+        for batch in batches:
+            if batch.num_rows:
+                slice_no = batch["part"][0].as_py()
+                _, place = _filter_places(batch["key"].to_numpy(zero_copy_only=False))
+                np.bitwise_or.at(made, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+        if slice_no is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([slice_no], pa.int32()), pa.array([made.tobytes()], pa.binary())], names=["part", "bits"])
+
+    dealt = keys.select("key").mapInArrow(slices, "part int, key long").repartitionById(FILTER_SLICES, F.col("part"))
+    table = np.zeros((FILTER_SLICES, size), np.uint8)
+    for row in dealt.mapInArrow(mark, "part int, bits binary").toLocalIterator():
+        table[row["part"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return table
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys the filter may hold; it holds all that it was made of."""
+    part, place = _filter_places(keys)
+    return (table[part, place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1

@@ -6,17 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from articlelake.llm.common import rows_of, stored
+from articlelake.llm.common import key_filter, may_hold, rows_of, stored
 from articlelake.llm.components import components
 
 #: Lines of fewer characters are left alone: within two edits, short lines say other things.
 LEAST_CHARS = 20
 #: About so many segment entries meet in one task when they are matched.
-ENTRIES_PER_TASK = 4_000_000
-#: Size of the filter that picks lines whose text is needed, in bits. Past its capacity it
-#: lets more lines through; the join behind it is exact.
-FILTER_BITS = 1 << 26
-WORD = (1 << 64) - 1
+ENTRIES_PER_TASK = 2_000_000
 
 
 def line_key(line: str) -> int:
@@ -221,21 +217,7 @@ def line_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     for. `parity` has a bit for whether a class of characters occurs an odd number of times;
     an edit changes two of them at most.
     """
-    bits = FILTER_BITS
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            h = batch["key"].to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)
-            np.bitwise_or.at(made, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
-        used = np.flatnonzero(made)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(made[used].astype(np.int64))], names=["byte", "bits"])
-
-    marks = keys.select("key").mapInArrow(mark, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
-    places = marks.toPandas()  # FILTER_BITS / 8 rows at most
-    table = np.zeros(bits // 8, np.uint8)
-    table[places["byte"].to_numpy(np.int64)] = places["bits"].to_numpy().astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(keys))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -243,10 +225,9 @@ def line_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
             found = {}
             for text in batch["text"].to_pylist():
                 for _, line in lines_of(text):
-                    key = line_key(line)
-                    place = (key & WORD) % bits
-                    if table[place >> 3] >> (place & 7) & 1:
-                        found[key] = line
+                    found[line_key(line)] = line
+            keys = np.array(list(found), np.int64)
+            found = {k: found[k] for k in keys[may_hold(table, keys)].tolist()}
             odd = []
             for line in found.values():
                 value = 0

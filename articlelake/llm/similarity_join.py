@@ -10,7 +10,7 @@ from articlelake.llm.common import WordHashes, binary_texts, rows_of, shingle_ha
 from articlelake.llm.components import components
 
 #: About so many n-grams meet in one task when they are counted; it fits into a worker.
-NGRAMS_PER_TASK = 4_000_000
+NGRAMS_PER_TASK = 1_500_000
 #: Fragments that the global order is cut into where overlaps are counted.
 FRAGMENTS = 8
 #: Document frequency that stands for all n-grams of a hundredth of the documents or more.
