@@ -73,7 +73,12 @@ _LIST_ROWS = f"""SELECT * FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN 'ftp' ELSE
 @query("SRC-03 SCL-06", _LIST_ROWS)
 def csv_reading_list(spark, folder):
     path = shared_folder(spark, "csv-list")
-    _list_columns(T.table(spark, folder, "documents")).drop("doc_id").write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    # Two exports in one folder, with their columns in different orders.
+    rows = _list_columns(T.table(spark, folder, "documents"))
+    columns = [c for c in rows.columns if c != "doc_id"]
+    for rest, order in enumerate((columns, columns[::-1])):
+        part = rows.where(F.col("doc_id") % 2 == rest).select(*order)
+        part.write.mode("append").csv(path, header=True, quote='"', escape='"', quoteAll=True)
     return I.read_csv_list(spark, path, _now()).withColumn("tags", F.array_join("tags", ","))
 
 
@@ -108,12 +113,8 @@ def reading_lists_by_suffix(spark, folder):
     documents = T.table(spark, folder, "documents")
     _list_columns(documents).drop("doc_id").write.mode("append").csv(f"{path}/csv", header=True, quote='"', escape='"', quoteAll=True)
     _bookmark_file(documents).write.option("maxRecordsPerFile", 1000).mode("append").text(f"{path}/html")
-    # The text writer names its parts .txt, so the folder of pages is read as pages here.
-    csv = I.import_rows_from_columns(
-        spark.read.csv(f"{path}/csv", header=True, multiLine=True, quote='"', escape='"', pathGlobFilter="*.csv"), _now()
-    )
-    html = I.read_bookmarks(spark, f"{path}/html", _now())
-    return csv.unionByName(html).withColumn("tags", F.array_join("tags", ","))
+    # The text writer names its parts .txt.
+    return I.read_lists(spark, path, _now(), pages="*.txt").withColumn("tags", F.array_join("tags", ","))
 
 
 @query(

@@ -1,5 +1,7 @@
 """Reading lists and link sources: CSV, bookmark HTML, feeds, manifests, snapshots, shares."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from articlelake.functions import patterns as P
@@ -32,12 +34,25 @@ def import_rows_from_columns(raw: DataFrame, now_ms: Column) -> DataFrame:
     ).where(F.col("url").rlike(_WEB))
 
 
-def read_csv_list(spark: SparkSession, path: str, now_ms: Column) -> DataFrame:
-    """A CSV reading list. Quoted fields may hold line breaks and doubled quotes."""
-    raw = spark.read.csv(
-        path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+def read_csv_list(spark: SparkSession, path: str, now_ms: Column, **options: str) -> DataFrame:
+    """CSV reading lists, one file or a folder. Quoted fields may hold line breaks and doubled quotes.
+
+    Every file's columns go by its own header: files are grouped by their first line, and
+    each group is read by itself. A folder with a thousand exports has a few headers.
+    """
+    heads = spark.read.text(path, wholetext=True, **options).select(
+        F.input_file_name().alias("file"), F.regexp_extract("value", r"^\x{feff}?([^\r\n]*)", 1).alias("head")
     )
+    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    raw = None
+    for group in groups:
+        part = spark.read.csv(
+            [unquote(f) for f in group["files"]], header=True, multiLine=True, quote='"', escape='"', inferSchema=False,
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    if raw is None:
+        raw = spark.createDataFrame([], "url string")
     return import_rows_from_columns(raw, now_ms)
 
 
@@ -66,11 +81,11 @@ def bookmark_rows(files: DataFrame, now_ms: Column, text: str = "value") -> Data
     ).where(F.col("url").rlike(_WEB))
 
 
-def read_lists(spark: SparkSession, folder: str, now_ms: Column) -> DataFrame:
-    """Every reading list in a folder, the importer chosen by file suffix."""
-    csv = spark.read.csv(folder, header=True, multiLine=True, quote='"', escape='"', pathGlobFilter="*.[cC][sS][vV]")
-    html = spark.read.text(folder, wholetext=True, pathGlobFilter="*.[hH][tT]*[mM]*")
-    return import_rows_from_columns(csv, now_ms).unionByName(bookmark_rows(html, now_ms))
+def read_lists(spark: SparkSession, folder: str, now_ms: Column, pages: str = "*.[hH][tT]*[mM]*") -> DataFrame:
+    """Every reading list in a folder and those below it, the importer chosen by file suffix."""
+    csv = read_csv_list(spark, folder, now_ms, pathGlobFilter="*.[cC][sS][vV]", recursiveFileLookup=True)
+    html = spark.read.text(folder, wholetext=True, pathGlobFilter=pages, recursiveFileLookup=True)
+    return csv.unionByName(bookmark_rows(html, now_ms))
 
 
 def feed_links(feeds: DataFrame) -> DataFrame:
