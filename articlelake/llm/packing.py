@@ -127,15 +127,15 @@ def pack(pieces: DataFrame, capacity: int, per_shard: int = 200_000, rounds: int
 
     Full pieces are sequences of their own. The others are dealt by hash to shards of about
     `per_shard` pieces, so no source or document can crowd one, and each shard runs best-fit
-    decreasing. A shard whose number of sequences equals its lower bound is certified and
-    final. From the other shards, the pieces of sequences with a gap are dealt anew to fewer
-    shards, of twice the size each time, and packed again, until all are certified, nothing is gained, or `rounds` is
-    reached. A round that would need more sequences than before is not taken.
+    decreasing. A shard whose number of sequences equals its lower bound is certified; all
+    but its emptiest sequence are final. These, and from other shards the pieces of all
+    sequences with a gap, are dealt anew to fewer shards, of twice the size each time, and
+    packed again, until nothing is gained or `rounds` is reached. A round that would need more sequences than before is not taken.
     """
     own = F.col("length") >= capacity
     full = pieces.where(own).select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     kept, done = pieces.where(~own), []
-    schema = PIECES + ", shard long, sequence_id long, offset long, room long, certified boolean"
+    schema = PIECES + ", shard long, sequence_id long, offset long, room long, final boolean"
 
     def fill(round_no: int):
         def run(shard: pd.DataFrame) -> pd.DataFrame:
@@ -143,9 +143,11 @@ def pack(pieces: DataFrame, capacity: int, per_shard: int = 200_000, rounds: int
             bins, offsets, made = best_fit_decreasing(lengths, capacity)
             used = np.bincount(bins, weights=lengths, minlength=made).astype(np.int64)
             bound = bins_needed(np.bincount(lengths, minlength=capacity + 1), capacity)
+            # a certified shard gives its emptiest sequence away, which is what rounding up cost
+            final = (made == bound) & (bins != used.argmin())
             return shard.assign(
                 sequence_id=(np.int64(round_no) << 58) + (shard["shard"].to_numpy() << 32) + bins,
-                offset=offsets, room=capacity - used[bins], certified=made == bound,
+                offset=offsets, room=capacity - used[bins], final=final,
             )
 
         return run
@@ -159,7 +161,7 @@ def pack(pieces: DataFrame, capacity: int, per_shard: int = 200_000, rounds: int
         key = F.pmod(F.xxhash64("doc_id", "piece", "length", F.lit(round_no)), F.lit(shards)).alias("shard")
         packed = kept.select(*PIECES.replace(",", "").split()[::2], key)
         packed = stored(packed.groupBy("shard").applyInPandas(fill(round_no), schema), "packed")
-        open_ = ~F.col("certified") & (F.col("room") > 0)
+        open_ = ~F.col("final") & (F.col("room") > 0)
         sequences = F.sum(F.when(F.col("offset") == 0, 1).otherwise(0))
         got = packed.agg(sequences.alias("all"), F.sum(F.when(open_ & (F.col("offset") == 0), 1).otherwise(0)).alias("open")).first()
         if before and got["all"] >= before[0]:
