@@ -59,7 +59,7 @@ class Chain:
         return earlier
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton's method; the last weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
