@@ -15,9 +15,10 @@ SYMBOLS = "#*$%&|<>"
 #: Metric, in thousandths: numerator, denominator, least distance from the median to a
 #: fence, and whether values far below the median are rejected as well.
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 100, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 500, False),
-    "word_length": ("word_chars", "n_words", 2500, True),
+    "symbols": ("n_symbols", "n_words", 25, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 200, False),
+    "repeat_words": ("n_repeat_words", "n_words", 150, False),
+    "word_length": ("word_chars", "n_words", 250, True),
 }
 #: A fence lies this many half-ranges (median to quartile) from the median, at least.
 REACH = 8
@@ -73,14 +74,14 @@ def _ratio(metric: str) -> Column:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Mergeable quantile sketches: values counted in buckets 1/32 of their size wide.
+    """Mergeable quantile sketches: values counted in buckets 1/512 of their size wide.
 
     `lang, source, metric, bucket, n`. Two sketches merge by adding the counts of equal
     buckets; a quantile is off by at most one bucket. Documents that fail the base rules
     are not counted.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _ratio(m).alias("value")) for m in METRICS]))
-    exponent = F.greatest(F.length(F.bin("value")) - 6, F.lit(0))
+    exponent = F.greatest(F.length(F.bin("value")) - 10, F.lit(0))
     bucket = F.expr("shiftleft(shiftright(value, shift), shift)")
     return (
         rows.where(~F.col("counts.base_failed"))
@@ -91,7 +92,12 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """Bounds per language and source: `lang, source, <metric>_low, <metric>_high`."""
+    """Bounds per language and source: `lang, source, <metric>_low, <metric>_high`.
+
+    A group's fences come from its own quartiles, but never lie outside those of its
+    language, nor these outside those of all documents, so that no group that is largely
+    junk can lift its threshold. If its median is outside, the wider fences hold instead.
+    """
 
     def quartiles(keys: list[str]) -> DataFrame:
         merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
@@ -107,16 +113,29 @@ def fences(sketch: DataFrame) -> DataFrame:
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"k_{k}"))
         found = found.join(own, same, "left").drop("m", *[f"k_{k}" for k in keys])
-    enough = [F.when(F.col(f"level{i}.rows") >= LEAST_ROWS, F.col(f"level{i}")) for i in (0, 1)]
-    found = found.withColumn("q", F.coalesce(*enough, "level2"))
+    slack = F.element_at(F.create_map(*[F.lit(x) for m, rule in METRICS.items() for x in (m, rule[2])]), F.col("metric"))
+    both = F.col("metric").isin([m for m, rule in METRICS.items() if rule[3]])
+    for level in (0, 1, 2):
+        q = {k: F.col(f"level{level}.q{k}") for k in (1, 2, 3)}
+        high = q[2] + F.greatest(REACH * (q[3] - q[2]), slack)
+        low = F.when(both, q[2] - F.greatest(REACH * (q[2] - q[1]), slack))
+        found = found.withColumn(f"fence{level}", F.struct(q[2].alias("q2"), high.alias("high"), low.alias("low")))
+
+    def bounded(own: Column, wider: Column) -> Column:
+        outside = (own["q2"] > wider["high"]) | F.coalesce(own["q2"] < wider["low"], F.lit(False))
+        inner = F.struct(own["q2"].alias("q2"), F.least(own["high"], wider["high"]).alias("high"), F.greatest(own["low"], wider["low"]).alias("low"))
+        return F.when(outside, wider).otherwise(inner)
+
+    # words are as long as their language has them: all documents bound the other metrics only
+    enough = [F.col(f"level{i}.rows") >= LEAST_ROWS for i in (0, 1)]
+    of_lang = F.when(~enough[1], F.col("fence2")).when(both, F.col("fence1")).otherwise(bounded(F.col("fence1"), F.col("fence2")))
+    found = found.withColumn("wider", of_lang)
+    found = found.withColumn("fence", F.when(enough[0], bounded(F.col("fence0"), F.col("wider"))).otherwise(F.col("wider")))
     bounds = []
-    for metric, (_, _, slack, both) in METRICS.items():
+    for metric, (_, _, _, both_sides) in METRICS.items():
         here = F.col("metric") == metric
-        high = F.col("q.q2") + F.greatest(REACH * (F.col("q.q3") - F.col("q.q2")), F.lit(slack))
-        low = F.col("q.q2") - F.greatest(REACH * (F.col("q.q2") - F.col("q.q1")), F.lit(slack))
-        bounds.append(F.max(F.when(here, high)).alias(f"{metric}_high"))
-        if both:
-            bounds.append(F.max(F.when(here, low)).alias(f"{metric}_low"))
+        for side in ("high", "low")[: 1 + both_sides]:
+            bounds.append(F.max(F.when(here, F.col("fence")[side])).alias(f"{metric}_{side}"))
     return found.groupBy("lang", "source").agg(*bounds)
 
 

@@ -179,3 +179,27 @@ def test_small_groups_use_the_fences_of_their_language(spark):
     rows += [(500, "#".join(f" w{k}" for k in range(80)), "en", "s1"), (501, sentence(rng, 60, 9999), None, None)]
     got = {r["doc_id"]: r["kept"] for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not got.pop(500) and all(got.values())
+
+
+@pytest.mark.parametrize("share", [30, 60])
+def test_a_source_cannot_lift_its_own_fences(spark, share):
+    """Symbol junk and long-word junk in one source; the clean rest of it is kept."""
+    rng = random.Random(share)
+    rows = [(k, sentence(rng, 80, 9999), "en", f"s{k % 4}") for k in range(400)]
+    junk = {k for k, *_ in rows if k % 4 == 1 and k // 4 < share}
+    rows = [(k, t if k not in junk else t.replace(" ", "### ") if k % 8 == 1 else t.replace("word", "wordwordwordword"), *x) for k, t, *x in rows]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {k for k, kept in got.items() if not kept} >= junk
+    assert sum(not kept for k, kept in got.items() if k not in junk) <= 4
+
+
+def test_own_quartiles_set_the_fence_and_repeats_count(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join("x" * rng.randint(3, 6) + str(rng.randrange(9999)) for _ in range(100)), "en", "s") for k in range(200)]
+    again = sentence(rng, 15, 9999)
+    rows += [(500, " ".join(f"words{rng.randrange(10_000, 99_999)}" for _ in range(100)), "en", "s")]
+    rows += [(501, rows[0][1] + " " + again + " " + again, "en", "s")]
+    rows += [(502, "\n".join([sentence(rng, 30, 9999)] * 2 + [sentence(rng, 30, 9999) for _ in range(2)]), "en", "s")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got.pop(k) for k in (500, 501, 502))
+    assert sum(not kept for kept in got.values()) <= 4
