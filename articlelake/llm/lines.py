@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from articlelake.llm.common import key_filter, may_hold, rows_of, stored
 from articlelake.llm.components import components
 
-#: Lines of fewer characters are left alone: within two edits, short lines say other things.
+#: Lines of fewer characters repeat by equality alone: within two edits, they say other things.
 LEAST_CHARS = 20
 #: About so many segment entries meet in one task when they are matched.
 ENTRIES_PER_TASK = 2_000_000
@@ -22,9 +22,14 @@ def line_key(line: str) -> int:
 
 
 def lines_of(text: str | None) -> list[tuple[int, str]]:
-    """Number and text of the lines that count, without ASCII white space around them."""
+    """Number and text of the lines that hold something, without ASCII white space around them."""
     stripped = ((k, line.strip(" \t\n\r\x0b\x0c")) for k, line in enumerate((text or "").split("\n")))
-    return [(k, line) for k, line in stripped if len(line) >= LEAST_CHARS]
+    return [(k, line) for k, line in stripped if line]
+
+
+def long_lines(text: str | None) -> list[str]:
+    """The lines that are also compared within some edits."""
+    return [line for _, line in lines_of(text) if len(line) >= LEAST_CHARS]
 
 
 def cuts(length: int, edits: int) -> list[tuple[int, int]]:
@@ -134,7 +139,7 @@ def document_lines(docs: DataFrame, edits: int) -> DataFrame:
                 rows.append([dict(no=no, key=key, chars=len(line)) for no, key, line in found])
                 counts.append(0 if text is None else text.count("\n") + 1)
                 chars.append(len(text or ""))
-                seen.update((key, line) for _, key, line in found)
+                seen.update((key, line) for _, key, line in found if len(line) >= LEAST_CHARS)
             entries = np.array([h for line in seen.values() for part in map(set, segments(line, edits)) for h in part], np.uint64)
             hashes, times = np.unique(entries, return_counts=True)
             often = [hashes[times >= max(32, len(seen) // 50)].view(np.int64).tolist()] + [None] * (len(rows) - 1)
@@ -174,7 +179,7 @@ def shared_segments(docs: DataFrame, edits: int, tasks: int, frequent) -> DataFr
         waiting: dict[int, tuple[list[int], list[int]]] = {}
         for batch in batches:
             for text in batch["text"].to_pylist():
-                for _, line in lines_of(text):
+                for line in long_lines(text):
                     key = line_key(line)
                     if key not in waiting:
                         waiting[key] = segments(line, edits)
@@ -224,7 +229,7 @@ def line_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             found = {}
             for text in batch["text"].to_pylist():
-                for _, line in lines_of(text):
+                for line in long_lines(text):
                     found[line_key(line)] = line
             keys = np.array(list(found), np.int64)
             found = {k: found[k] for k in keys[may_hold(table, keys)].tolist()}
@@ -292,13 +297,13 @@ def line_links(docs: DataFrame, edits: int, tasks: int, frequent) -> DataFrame:
 def repeated_lines(docs: DataFrame, edits: int = 2) -> tuple[DataFrame, DataFrame]:
     """The documents' lines (see `document_lines`), and the places where one is to go.
 
-    The second table has `doc_id, no, key, chars`. Lines within `edits` of each other, or
-    connected by such lines, are one class; all but its first, by `doc_id` and line number,
-    go. Null ids come last. Rows that share a `doc_id` share the place of their lines.
+    The second table has `doc_id, no, key, chars`. Lines of `LEAST_CHARS` characters
+    or more within `edits` of each other, or connected by such lines, are one class, and so
+    are equal lines of any size; all but its first, by `doc_id` and line number, go. Null ids come last. Rows that share a `doc_id` share the place of their lines.
     """
     docs = rows_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = stored(document_lines(docs, edits), "lines")
-    stats = rows.agg(F.sum(F.size("lines")).alias("n"), F.count("often").alias("batches")).first()
+    stats = rows.agg(F.sum(F.size(F.filter("lines", lambda x: x["chars"] >= LEAST_CHARS))).alias("n"), F.count("often").alias("batches")).first()
     entries = (stats["n"] or 0) * (edits + 1) * (edits + 3)
     tasks = max(1, -(-entries // ENTRIES_PER_TASK))
     often = rows.select(F.explode("often").alias("s")).groupBy("s").agg(F.count("*").alias("c"))
@@ -321,7 +326,7 @@ def line_report(docs: DataFrame, edits: int = 2) -> DataFrame:
     """How many lines each document loses: `doc_id, n_lines, n_removed, removed_chars`.
 
     Takes `doc_id, text`; other columns are ignored. Lines end at line feeds; white space
-    around them and lines of under `LEAST_CHARS` characters don't count. A null text has no
+    around them and blank lines don't count. A null text has no
     line, an empty one a single empty line. See `repeated_lines` for what goes.
     """
     rows, gone = repeated_lines(docs, edits)

@@ -203,3 +203,12 @@ def test_own_quartiles_set_the_fence_and_repeats_count(spark):
     got = {r["doc_id"]: r["kept"] for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not any(got.pop(k) for k in (500, 501, 502))
     assert sum(not kept for kept in got.values()) <= 4
+
+
+def test_short_lines_repeat_by_equality(spark):
+    near, far = "this line is long enough", "this line is lonh enough!"
+    rows = [(1, "Short one.\n\nabc\n" + near), (2, " Short one. \n\nabd\n" + far), (3, "abc\n" + "x" * 19 + "\n" + "x" * 20), (4, "x" * 19 + "\nkept"), (5, "Short one.")]
+    got = sorted(map(tuple, lines.line_report(documents(spark, rows)).collect()))
+    assert got == [(1, 4, 0, 0), (2, 4, 2, 10 + len(far)), (3, 3, 1, 3), (4, 2, 1, 19), (5, 1, 1, 10)]
+    left = sorted((r["doc_id"], r["text"]) for r in lines.without_repeated_lines(documents(spark, rows)).collect())
+    assert left == [(1, rows[0][1]), (2, "\nabd"), (3, "x" * 19 + "\n" + "x" * 20), (4, "kept")]
