@@ -14,24 +14,39 @@ FURNITURE_LABELS = {
         "cookie settings", "copyright", "create an account", "follow us", "join us", "leave a comment", "log in", "newsletter",
         "next article", "previous article", "print this page", "privacy policy", "promoted", "search results", "share this",
         "show comments", "sign in", "sign up", "skip to", "terms of service", "terms of use",
+        "accept all cookies", "accept cookies", "image credit", "image credits", "photo credit", "photo credits", "related articles",
+        "related stories", "this site uses cookies", "we may earn a commission", "when you buy through", "when you purchase through",
     ],
     "de": [
         "agb", "anmelden", "anzeige", "datenschutz", "einloggen", "impressum", "kommentar schreiben", "kommentare anzeigen",
         "kontakt", "nach oben", "nächster artikel", "newsletter", "nutzungsbedingungen", "registrieren", "seite drucken",
         "teilen", "über uns", "voriger artikel", "werbung",
+        "alle cookies akzeptieren", "bildnachweis", "bildnachweise", "cookie akzeptieren", "cookie zustimmen", "cookies akzeptieren",
+        "cookies zustimmen", "mehr zum thema", "verwandte artikel", "wenn sie über links", "zum hauptinhalt", "zum inhalt springen",
     ],
     "fr": [
         "article précédent", "article suivant", "contactez-nous", "créer un compte", "gestion des cookies", "haut de page",
         "imprimer cette page", "laisser un commentaire", "mentions légales", "partager", "politique de confidentialité",
         "publicité", "qui sommes-nous", "se connecter", "suivez-nous", "tous droits réservés",
+        "accepter les cookies", "accepter tous les cookies", "aller au contenu", "articles liés", "crédit photo", "crédits photo",
+        "lorsque vous achetez via", "sur le même sujet",
     ],
     "es": [
         "artículo anterior", "artículo siguiente", "aviso legal", "compartir", "contacto", "crear una cuenta", "deja un comentario",
         "imprimir esta página", "iniciar sesión", "política de cookies", "política de privacidad", "publicidad", "quiénes somos",
         "síguenos", "todos los derechos reservados", "volver arriba",
+        "aceptar cookies", "aceptar las cookies", "aceptar todas las cookies", "artículos relacionados", "crédito de la imagen",
+        "créditos de la imagen", "cuando compras a través de", "ir al contenido", "saltar al contenido",
     ],
 }
 FURNITURE_SIGNS = ["©"]
+# Words that article text begins with as well: furniture only where nothing follows them.
+LONE_LABELS = {
+    "en": ["home page", "most popular", "most read"],
+    "de": ["meistgelesen", "startseite"],
+    "fr": ["accueil", "les plus lus"],
+    "es": ["lo más leído", "página de inicio"],
+}
 
 # Who writes for a newspaper; a block that only says so about someone is no article text.
 OCCUPATIONS = ["author", "columnist", "correspondent", "critic", "editor", "journalist", "reporter", "writer"]
@@ -42,18 +57,24 @@ GATE_LABELS = {
         "access denied", "are you a robot", "enable cookies", "for subscribers only", "javascript is disabled", "javascript is required",
         "log in to read", "register to continue", "register to read", "subscribe now to", "subscribe to", "turn on javascript",
         "verify you are human",
+        "accept all cookies to", "accept cookies to", "already a subscriber", "create a free account", "create your free account",
+        "enable javascript", "sign in to continue", "sign in to read",
     ],
     "de": [
         "abonnieren, um", "anmelden, um weiterzulesen", "bitte aktivieren sie cookies", "bitte aktivieren sie javascript",
         "javascript ist deaktiviert", "nur für abonnenten", "registrieren, um weiterzulesen", "zugriff verweigert",
+        "akzeptieren sie cookies", "artikel weiterlesen", "cookies akzeptieren", "cookies zustimmen", "javascript aktivieren",
+        "jetzt abonnieren", "weiterlesen mit",
     ],
     "fr": [
         "accès refusé", "activez javascript", "activez les cookies", "article réservé", "connectez-vous pour lire",
         "javascript est désactivé", "pour nos abonnés",
+        "abonnez-vous pour", "acceptez les cookies", "déjà abonné", "réservé aux abonnés",
     ],
     "es": [
         "acceso denegado", "active javascript", "habilite las cookies", "inicia sesión para leer", "javascript está desactivado",
         "regístrate para leer", "solo para suscriptores",
+        "acepta las cookies", "acepte las cookies", "exclusivo para suscriptores", "suscríbete para", "ya eres suscriptor",
     ],
 }
 
@@ -123,7 +144,8 @@ def furniture_pattern(anywhere: bool = False) -> str:
     """
     start = r"(?:^|[^\p{L}\p{N}])" if anywhere else "^"
     staff = r"\p{L}[^\s]*(?:\s\p{L}[^\s]*){1,3}\sis\san?\s(?:\p{L}+\s){0,2}(?:" + "|".join(OCCUPATIONS) + ")"
-    return "(?i)" + start + "(?:" + "|".join([*_listed(FURNITURE_LABELS), *FURNITURE_SIGNS, staff]) + r")(?:[^\p{L}\p{N}]|$)"
+    lone = "(?:" + "|".join(_listed(LONE_LABELS)) + r")[^\p{L}\p{N}]*$"
+    return "(?i)" + start + "(?:" + "|".join([*_listed(FURNITURE_LABELS), *FURNITURE_SIGNS, staff, lone]) + r")(?:[^\p{L}\p{N}]|$)"
 
 
 def wall_pattern() -> str:

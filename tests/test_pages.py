@@ -221,3 +221,22 @@ def test_fetch_outcomes_and_sizes(spark):
     )
     sizes = {r["url"]: (r["bytes"], r["how"]) for r in I.observed_size(probes).collect()}
     assert sizes == {"h": (10, "head"), "r": (20, "range"), "u": (None, "unknown"), "f": (None, "failed: TimeoutError")}
+
+
+def test_furniture_and_gates_of_every_language(spark):
+    from articlelake.functions import dictionaries as D
+
+    furniture = [block(0, "p", PROSE)] + [block(i, "p", "Related stories of the day") for i in (1, 2, 3)] + [block(4, "p", PROSE)]
+    assert flags_of(spark, furniture) == ["furniture-inside"]
+    assert flags_of(spark, text="please accept cookies to continue reading", words=499) == ["wall-not-article"]
+    labels = [
+        "Related stories", "Most read", "Image credits: A. B.", "Image credit: A. B.", "When you buy through links on our site", "When you purchase through links",
+        "Startseite", "Zum Hauptinhalt springen", "Cookies zustimmen", "Cookie akzeptieren", "Bildnachweis: A. B.", "Verwandte Artikel",
+        "Aller au contenu", "Accepter les cookies", "Les plus lus", "Ir al contenido", "Aceptar cookies", "Lo más leído",
+    ]
+    prose = ["Most read the paper at breakfast.", "Startseiten sind selten schön.", "Accueillir tout le monde, voilà le but."]
+    gates = ["Bitte akzeptieren Sie Cookies.", "Cookies zustimmen und weiter", "Acceptez les cookies pour lire", "Acepta las cookies para seguir"]
+    df = spark.createDataFrame([(x,) for x in labels + prose + gates], "t string")
+    found = {r["t"] for r in df.where(df.t.rlike(D.furniture_pattern())).collect()}
+    assert found >= set(labels) and not found & set(prose)
+    assert {r["t"] for r in df.where(df.t.rlike(D.wall_pattern())).collect()} >= set(gates)
