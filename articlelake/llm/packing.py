@@ -19,26 +19,36 @@ class _Units(dict):
 
     The vocabulary's splitting rule never crosses from a word into the white space behind
     it, nor from letters into marks, so a text's ids are those of its units one after the
-    other, and those of "word," are those of "word" and ",".
+    other, and those of "word," are those of "word" and ",". Tokens added to the vocabulary
+    are found before that rule applies; each is a unit of its own.
     """
 
     LIMIT, MARKS = 1_000_000, ".,;:!?#*$%&|<>"
 
     def __init__(self, path: str):
         import os
+        import re
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = {token.content for token in self.tokenizer.get_added_tokens_decoder().values()}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.unit = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+
+    def of(self, text: str) -> list[str]:
+        if self.between is None:
+            return self.unit.findall(text)
+        parts = self.between.split(text)
+        return [unit for part in parts for unit in ([part] if part in self.added else self.unit.findall(part))]
 
     def learn(self, units: set[str]) -> None:
         """Look up the units that are new, all at once."""
         if len(self) + len(units) > self.LIMIT:
             self.clear()
         fresh = [unit for unit in units if unit not in self]
-        stems = {unit: unit.rstrip(self.MARKS) for unit in fresh if unit[-1] in self.MARKS}
+        stems = {unit: unit.rstrip(self.MARKS) for unit in fresh if unit[-1] in self.MARKS and unit not in self.added}
         stems = {unit: stem for unit, stem in stems.items() if stem[-1:].isalpha()}
         parts = [unit for unit in fresh if unit not in stems]
         parts += {part for unit, stem in stems.items() for part in (stem, unit[len(stem) :]) if part not in self}.difference(parts)
@@ -58,13 +68,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        units, unit = _Units(tokenizer), re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+        units = _Units(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             out: list[list] = [[], [], [], [], []]
-            texts = [unit.findall(text or "") for text in batch["text"].to_pylist()]
+            texts = [units.of(text or "") for text in batch["text"].to_pylist()]
             units.learn(set().union(*texts))
             for doc, text in zip(batch["doc_id"].to_pylist(), texts):
                 ids = b"".join(map(units.__getitem__, text)) + end

@@ -232,3 +232,17 @@ def test_pipeline(spark, small):
     assert 0 < len(rows["benchmark_decontamination"]) < len(rows["quality_rules"])
     again = pipeline.run(spark, small)
     assert sorted(r["ids_crc32"] for r in again.collect()) == sorted(r["ids_crc32"] for r in rows["best_fit_packing"])
+
+
+def test_added_tokens_are_one_id(spark):
+    """The plain call of the tokenizer, which finds added tokens in a text."""
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    mark = "<|endoftext|>"
+    texts = [f"one text{mark}another", mark, f" {mark} \n{mark}{mark}  ", f"word,{mark}.<{mark}>| {mark[:-1]} {mark[1:]}", f"a  b\t {mark}" * 700]
+    rows = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER, 1024, 2).collect()
+    for doc, text in enumerate(texts):
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        pieces = sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["piece"])
+        assert sum(r["length"] for r in pieces) == len(ids)
+        for r in pieces:
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
