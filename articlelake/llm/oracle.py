@@ -131,3 +131,99 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach
 SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(b), w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
 """
+
+REPAIR = r"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+      string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS k
+  FROM conversations, tab
+), hurt AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(txt, '.!?', '') ELSE txt END AS txt
+  FROM raw, (SELECT unnest(range(2)) AS copy) WHERE k <> 0 AND (copy = 0 OR k = 3)
+), num AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, left(role, 1) AS ini,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(txt)) AS i FROM hurt
+), m AS (
+  SELECT *, CASE WHEN NOT regexp_matches(txt, '[^ \t\n\r\x0b\x0c]') THEN 1
+    WHEN row_number() OVER (PARTITION BY c, role, txt ORDER BY i) > 1 THEN 2
+    WHEN NOT regexp_matches(txt, '[.!?][ \t\n\r\x0b\x0c]*$') THEN 3 ELSE 0 END AS fault,
+    lag(ini) OVER (PARTITION BY c ORDER BY i) AS prev FROM num
+), back(c, i, e, s, u, a) AS (
+  SELECT c, max(i) + 1, 0, 10, 5, 0 FROM m GROUP BY c
+  UNION ALL
+  SELECT c, i, least(e, u + 5, a + 10), least(s, u + 5, a + 10), least(u, a + 5), least(a, u + 5) FROM (
+    SELECT c, i,
+      CASE WHEN must THEN 2 + e ELSE least(2 + e, t + 1 + u, CASE ini WHEN 's' THEN t + s WHEN 'u' THEN t + u ELSE 9999999 END) END AS e,
+      CASE WHEN must THEN 2 + s ELSE least(2 + s, t + 1 + u, CASE ini WHEN 'u' THEN t + u ELSE 9999999 END) END AS s,
+      CASE WHEN must THEN 2 + u ELSE least(2 + u, t + 1 + a, CASE ini WHEN 'a' THEN t + a ELSE 9999999 END) END AS u,
+      CASE WHEN must THEN 2 + a ELSE least(2 + a, t + 1 + u, CASE ini WHEN 'u' THEN t + u ELSE 9999999 END) END AS a
+    FROM (SELECT m.c, m.i, m.ini, fault IN (1, 2) AS must, CASE fault WHEN 3 THEN 5 ELSE 0 END AS t, e, s, u, a FROM back JOIN m ON m.c = back.c AND m.i = back.i - 1))
+), cost AS (
+  SELECT c, i, [e, s, u, a] AS b FROM back
+), spot AS (
+  SELECT x.c, x.i, x.b, y.b AS n, m.role, m.txt, m.fault IN (1, 2) AS must, CASE m.fault WHEN 3 THEN 5 ELSE 0 END AS t,
+    CASE m.ini WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS k
+  FROM cost x LEFT JOIN cost y ON y.c = x.c AND y.i = x.i + 1 LEFT JOIN m ON m.c = x.c AND m.i = x.i
+), walk(c, i, q, audit, lines) AS (
+  SELECT DISTINCT c, 1::BIGINT, 1, '', []::VARCHAR[] FROM m
+  UNION ALL
+  SELECT c, CASE move WHEN 'I' THEN i ELSE i + 1 END, CASE move WHEN 'D' THEN q WHEN 'K' THEN k[q] ELSE f END, audit || move,
+    CASE move WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || txt)
+      ELSE list_append(lines, CASE f WHEN 3 THEN 'user:' ELSE 'assistant:' END || CASE move WHEN 'I' THEN '' ELSE txt END) END
+  FROM (
+    SELECT w.*, [3, 3, 4, 3][q] AS f, k, role, txt,
+      CASE WHEN n IS NULL THEN 'I' WHEN n[q] + 2 = b[q] THEN 'D' WHEN b[[3, 3, 4, 3][q]] + 5 = b[q] THEN 'I'
+        WHEN NOT must AND k[q] > 0 AND t + n[k[q]] = b[q] THEN 'K' ELSE 'R' END AS move
+    FROM walk w JOIN spot ON spot.c = w.c AND spot.i = w.i WHERE n IS NOT NULL OR q IN (2, 3))
+), done AS (
+  SELECT w.c, w.audit, sha256(array_to_string(lines, chr(10))) AS sum FROM walk w JOIN spot ON spot.c = w.c AND spot.i = w.i WHERE n IS NULL AND q IN (1, 4)
+), g AS (
+  SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM m GROUP BY c
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b[1], 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, coalesce(done.sum, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN cost ON cost.c = g.c AND cost.i = 1 LEFT JOIN done ON done.c = g.c
+"""
+
+COLLOCATIONS = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]')) AS p FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') AS ws FROM piece
+), f AS (
+  SELECT lang, k, p, count(*) AS a FROM (
+    SELECT lang, 1 AS k, unnest(ws) AS p FROM w
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w)
+  GROUP BY ALL
+), c AS (
+  SELECT lang, k, p, a, string_split(p, ' ') AS s FROM f WHERE k > 1 AND a >= 10
+), cut AS (
+  SELECT lang, p, a, 1 AS cut, s[1] AS x, array_to_string(s[2:], ' ') AS y FROM c
+  UNION ALL SELECT lang, p, a, 2, s[1] || ' ' || s[2], s[3] FROM c WHERE k = 3
+), scored AS (
+  SELECT cut.lang, cut.p, cut.a, cut, l.a AS l, r.a AS r, 1000000::HUGEINT * cut.a * cut.a // (l.a::HUGEINT * r.a) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.p = x JOIN f r ON r.lang = cut.lang AND r.p = y
+), longer AS (
+  SELECT lang, p, max(a) AS b FROM (SELECT lang, a, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS p FROM c WHERE k = 3) GROUP BY ALL
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.p) AS rank
+  FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.p = best.p WHERE coalesce(100 * b < 50 * a, TRUE)
+)
+SELECT ranked.lang, rank::BIGINT AS rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang) t ON t.lang = ranked.lang WHERE rank <= 2000
+"""

@@ -5,8 +5,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from articlelake.llm import decontamination, licenses, lines, oracle, packing, quality, similarity_join, substrings, toxicity, urls, warc
+from articlelake.llm import collocations, conversations, decontamination, licenses, lines, oracle, packing, quality, similarity_join, substrings, token_files, toxicity, urls, warc
 from articlelake.llm.common import table
+from articlelake.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: What has no SQL here is held against brute force in the tests: SQL has no tokenizer,
@@ -17,9 +18,13 @@ SQL = {
     "op7_line_dedup": oracle.LINES,
     "op8_url_filters": oracle.URLS,
     "op10_ngram_jaccard_join": oracle.JACCARD,
+    "op11_conversation_repair": oracle.REPAIR,
+    "op13_phrase_collocations": oracle.COLLOCATIONS,
 }
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Drops white space and case.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: The rules that op8 applies.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -88,3 +93,21 @@ def op9_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_join.near_duplicates(table(spark, folder, "documents"), size=4, percent=85)
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    chats = table(spark, folder, "conversations")
+    return conversations.repair_report(conversations.damage(chats), chats)
+
+
+@query
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark, "tokens")
+    token_files.write_token_files(table(spark, folder, "documents"), WORD_TOKENIZER, path)
+    return token_files.token_digests(token_files.read_token_files(spark, path))
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), least=10, share=50, top=2000)
