@@ -1,6 +1,6 @@
 """What several operators of this package share."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from one task to the next; tasks must not rely on it.
+
+    Functions travel by value, so their own globals begin anew with every task.
+    """
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("kept_in_worker", types.ModuleType("kept_in_worker"))
+    if key not in kept.__dict__:
+        kept.__dict__[key] = make()
+    return kept.__dict__[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a fixed number of words."""
 

@@ -1,5 +1,6 @@
 """Token ids in ORC files: integer run-length encoding, row indexes, Bloom filters on ids."""
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from articlelake.llm.common import rows_of, stored
+from articlelake.llm.common import kept_in_worker, rows_of, stored
 
 ENCODED = "shard int, doc_id long, first long, n long, ids array<int>"
 #: Shards whose places are sent to every executor (12 bytes each); more of them are joined.
@@ -17,20 +18,25 @@ BROADCAST_SHARDS = 1_000_000
 SPACED = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 
 
-class _Ids:
-    """Ids of the pieces of texts between ASCII white space, remembered up to a fixed number.
+class _Ids(dict):
+    """Ids, as bytes, of the pieces of texts between ASCII white space, up to a fixed number of pieces.
 
     Right for vocabularies that drop white space before they look words up: then a text's ids
     are those of its pieces, one after the other. Added tokens (`<|endoftext|>`) are found in
     a piece like anywhere else, unless one holds white space itself, which is refused.
+
+    Most new pieces are one word, perhaps with marks behind it, which are ids of their own.
+    Words are looked up as one line: each ends with an id that stands for a word's end, so the
+    ids fall apart again. Where the vocabulary folds case and composes letters, words are
+    folded before, and looked up without what would do that again.
     """
 
-    LIMIT, MARKS = 1_500_000, ".,;:!?"
+    LIMIT, MARKS, WORD_END = 400_000, string.punctuation, "</w>"
 
     def __init__(self, path: str):
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,29 +44,62 @@ class _Ids:
         probe = self.tokenizer.encode_batch(["a b", "a", "b", "a\n \tb"], add_special_tokens=False)
         if any(set(token) & set(" \t\n\r\x0b\x0c") for token in added) or not probe[0].ids == probe[3].ids == probe[1].ids + probe[2].ids:
             raise ValueError("this tokenizer keeps white space")
-        self.closing = {mark: self.tokenizer.encode(mark, add_special_tokens=False).ids for mark in self.MARKS}
-        self.known: dict[str, np.ndarray] = {"": np.empty(0, np.int32)}
-
-    def of(self, pieces: list[str]) -> list[np.ndarray]:
-        known, fresh = self.known, []
-        if len(known) > self.LIMIT:
-            known.clear()
-            known[""] = np.empty(0, np.int32)
-        stems = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith(self.WORD_END)]] = True
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        whole, marked, word, marks = self._each(["Ab \u00c9t\u00c9 QUARTZ", "a.!", "a", ".!"])
+        line = self.plain.encode("ab \u00e9t\u00e9 quartz", add_special_tokens=False).ids
+        self.splits = marked == word + marks and np.array(line, "<i4").tobytes() == whole
+        self[""] = b""
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<i4").tobytes() for found in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of folded words of letters only."""
+        line = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<i4")
+        behind = (np.flatnonzero(self.ends[line]) + 1) * 4
+        if len(behind) != len(words):
+            return self._each(words)
+        data, ends = line.tobytes(), behind.tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    @staticmethod
+    def _folded(word: str) -> str | None:
+        """In lower case, for Latin words; others may fold or compose in ways of their own."""
+        low = word.lower()
+        if word.isascii():
+            return low
+        return low if max(word) < "\u0250" and low.isalpha() else None
+
+    def of(self, pieces: list[str]) -> list[bytes]:
+        if len(self) > self.LIMIT:
+            self.clear()
+            self[""] = b""
+        words, others, closed = {}, {}, []
         for piece in pieces:
-            if piece not in known:
-                # "word." is "word" and "."
-                if piece[-1] in self.closing and piece[:-1].isalpha():
-                    stems[piece] = piece[:-1]
-                    if piece[:-1] not in known:
-                        fresh.append(piece[:-1])
-                else:
-                    fresh.append(piece)
-        for piece, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[piece] = np.array(found.ids, np.int32)
-        for piece, stem in stems.items():
-            known[piece] = np.append(known[stem], np.array(self.closing[piece[-1]], np.int32))
-        return [known[piece] for piece in pieces]
+            if piece not in self:
+                stem = piece.rstrip(self.MARKS) if self.splits else ""
+                word = self._folded(stem) if stem.isalpha() else None
+                if word is None:
+                    others[piece] = None
+                    continue
+                marks = piece[len(stem) :]
+                if word not in self:
+                    words[word] = None
+                if marks not in self:
+                    others[marks] = None
+                if word != piece:
+                    closed.append((piece, word, marks))
+        if words:
+            self.update(zip(words, self._words(list(words))))
+        self.update(zip(others, self._each(list(others))))
+        for piece, word, marks in closed:
+            self[piece] = self[word] + self[marks]
+        return [self[piece] for piece in pieces]
 
 
 def _spaced(texts: pa.Array) -> pa.Array:
@@ -71,7 +110,7 @@ def _spaced(texts: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, data], offset=texts.offset)
 
 
-def _slices(batch: pa.RecordBatch, least_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def _slices(batch: pa.RecordBatch, least_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Runs of rows with about so many bytes of text, a longer text alone; and their texts."""
     spaced = _spaced(batch["text"])
     behind = np.cumsum(pc.binary_length(spaced).to_numpy() + 1)
@@ -88,18 +127,15 @@ def _encode_texts(spaced: pa.Array, ids: _Ids, end_id: int) -> tuple[np.ndarray,
     pieces = pc.split_pattern(spaced, " ")
     distinct = pieces.flatten().dictionary_encode()
     found = ids.of(distinct.dictionary.to_pylist())
-    size = np.fromiter(map(len, found), np.int32, len(found))
-    flat = np.concatenate(found)
-    start = (np.cumsum(size) - size).astype(np.int32)
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
     # each text's pieces, then its end id as one more piece
     edges = pieces.offsets.to_numpy()
     edges = edges[1:] - edges[0]
     code = np.insert(distinct.indices.to_numpy(), edges, len(size))
-    size, start, flat = np.append(size, np.int32(1)), np.append(start, np.int32(len(flat))), np.append(flat, np.int32(end_id))
-    length = size[code]
-    behind = np.cumsum(length, dtype=np.int64)
-    place = np.repeat((start[code] - (behind - length)).astype(np.int32), length) + np.arange(behind[-1], dtype=np.int32)
-    return flat[place], np.diff(behind[edges + np.arange(len(spaced))], prepend=0)
+    found.append(np.array([end_id], "<i4").tobytes())
+    behind = np.cumsum(np.append(size, 1)[code])
+    flat = np.frombuffer(b"".join(map(found.__getitem__, code.tolist())), "<i4")
+    return flat, np.diff(behind[edges + np.arange(len(spaced))], prepend=0)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, index_rows: int = 1000, stripe_mb: int = 32) -> None:
@@ -120,7 +156,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, shard, first = _Ids(tokenizer), TaskContext.get().partitionId(), 0
+        ids, shard, first = kept_in_worker(("token ids", tokenizer), lambda: _Ids(tokenizer)), TaskContext.get().partitionId(), 0
         for batch, spaced in (part for b in batches for part in _slices(b)):
             flat, length = _encode_texts(spaced, ids, end_id)
             behind = np.cumsum(length)
