@@ -23,11 +23,11 @@ WITH d AS (
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     1000 * n_symbols // greatest(n_words, 1) AS v1, 1000 * n_dup_lines // greatest(n_lines, 1) AS v2,
-    1000 * word_chars // greatest(n_words, 1) AS v3 FROM m
+    1000 * n_repeat_words // greatest(n_words, 1) AS v3, 1000 * word_chars // greatest(n_words, 1) AS v4 FROM m
 ), long AS (
   SELECT lang, source, metric, (v >> s) << s AS bucket FROM (
-    SELECT lang, source, metric, v, greatest(length(bin(v)) - 6, 0)::BIGINT AS s
-    FROM (SELECT * FROM b WHERE NOT base_failed) UNPIVOT (v FOR metric IN (v1, v2, v3)))
+    SELECT lang, source, metric, v, greatest(length(bin(v)) - 10, 0)::BIGINT AS s
+    FROM (SELECT * FROM b WHERE NOT base_failed) UNPIVOT (v FOR metric IN (v1, v2, v3, v4)))
 ), q AS (
   SELECT level, lang, source, metric, max(rows) AS rows,
     min(bucket) FILTER (4 * upto >= rows) AS q1, min(bucket) FILTER (4 * upto >= 2 * rows) AS q2, min(bucket) FILTER (4 * upto >= 3 * rows) AS q3
@@ -38,26 +38,27 @@ WITH d AS (
       UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM long GROUP BY ALL
       UNION ALL SELECT 2, NULL, NULL, metric, bucket, count(*) FROM long GROUP BY ALL))
   GROUP BY ALL
-), f AS (
-  SELECT g.lang, g.source, g.metric,
-    CASE WHEN a.rows >= 50 THEN a.q1 WHEN l.rows >= 50 THEN l.q1 ELSE z.q1 END AS q1,
-    CASE WHEN a.rows >= 50 THEN a.q2 WHEN l.rows >= 50 THEN l.q2 ELSE z.q2 END AS q2,
-    CASE WHEN a.rows >= 50 THEN a.q3 WHEN l.rows >= 50 THEN l.q3 ELSE z.q3 END AS q3
-  FROM (SELECT DISTINCT lang, source, metric FROM long) g
-  JOIN q a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM g.lang AND a.source IS NOT DISTINCT FROM g.source AND a.metric = g.metric
-  JOIN q l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM g.lang AND l.metric = g.metric
-  JOIN q z ON z.level = 2 AND z.metric = g.metric
+), rule(metric, slack, two_sided) AS (VALUES ('v1', 25, false), ('v2', 200, false), ('v3', 150, false), ('v4', 250, true)),
+fence AS (
+  SELECT q.*, two_sided, q2 + greatest(8 * (q3 - q2), slack) AS high, CASE WHEN two_sided THEN q2 - greatest(8 * (q2 - q1), slack) ELSE -1 END AS low
+  FROM q JOIN rule ON rule.metric = q.metric
+), of_lang AS (
+  SELECT l.lang, l.metric,
+    CASE WHEN l.rows < 50 OR NOT l.two_sided AND l.q2 > z.high THEN z.high WHEN l.two_sided THEN l.high ELSE least(l.high, z.high) END AS high,
+    CASE WHEN l.rows < 50 THEN z.low ELSE l.low END AS low
+  FROM fence l JOIN fence z ON z.level = 2 AND z.metric = l.metric WHERE l.level = 1
 ), e AS (
-  SELECT lang, source,
-    max(q2 + greatest(8 * (q3 - q2), 100)) FILTER (metric = 'v1') AS h1,
-    max(q2 + greatest(8 * (q3 - q2), 500)) FILTER (metric = 'v2') AS h2,
-    max(q2 + greatest(8 * (q3 - q2), 2500)) FILTER (metric = 'v3') AS h3,
-    max(q2 - greatest(8 * (q2 - q1), 2500)) FILTER (metric = 'v3') AS l3
-  FROM f GROUP BY ALL
+  SELECT g.lang, g.source, g.metric,
+    CASE WHEN g.rows < 50 OR g.q2 > w.high OR g.q2 < w.low THEN w.high ELSE least(g.high, w.high) END AS high,
+    CASE WHEN g.rows < 50 OR g.q2 > w.high OR g.q2 < w.low THEN w.low ELSE greatest(g.low, w.low) END AS low
+  FROM fence g JOIN of_lang w ON w.lang IS NOT DISTINCT FROM g.lang AND w.metric = g.metric WHERE g.level = 0
+), bounds AS (
+  SELECT lang, source, max(high) FILTER (metric = 'v1') AS h1, max(high) FILTER (metric = 'v2') AS h2, max(high) FILTER (metric = 'v3') AS h3,
+    max(high) FILTER (metric = 'v4') AS h4, max(low) FILTER (metric = 'v4') AS l4 FROM e GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  coalesce(NOT base_failed AND v1 <= h1 AND v2 <= h2 AND v3 <= h3 AND v3 >= l3, FALSE) AS kept
-FROM b LEFT JOIN e ON e.lang IS NOT DISTINCT FROM b.lang AND e.source IS NOT DISTINCT FROM b.source
+  coalesce(NOT base_failed AND v1 <= h1 AND v2 <= h2 AND v3 <= h3 AND v4 BETWEEN l4 AND h4, FALSE) AS kept
+FROM b LEFT JOIN bounds e ON e.lang IS NOT DISTINCT FROM b.lang AND e.source IS NOT DISTINCT FROM b.source
 """
 
 WARC = r"""
@@ -79,10 +80,10 @@ WITH RECURSIVE raw AS (
 ), l AS (
   SELECT doc_id, no, regexp_replace(regexp_replace(line, '^[ \t\n\r\x0b\x0c]+', ''), '[ \t\n\r\x0b\x0c]+$', '') AS line
   FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM raw WHERE text IS NOT NULL)
-), k AS (SELECT * FROM l WHERE length(line) >= 20),
+), k AS (SELECT * FROM l WHERE line <> ''),
 u AS (SELECT line, length(line) AS n FROM k GROUP BY line),
 near AS (
-  SELECT a.line AS a, b.line AS b FROM u a JOIN u b ON b.n IN (a.n, a.n + 1, a.n + 2) AND a.line <> b.line
+  SELECT a.line AS a, b.line AS b FROM u a JOIN u b ON a.n >= 20 AND b.n IN (a.n, a.n + 1, a.n + 2) AND a.line <> b.line
   WHERE levenshtein(a.line, b.line) <= 2
 ), edges AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
 reach(a, b) AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),

@@ -65,11 +65,14 @@ def distance(a, b):
 
 
 def removed_lines(docs, edits, least):
-    """Places (doc_id, number) of lines that are not the first of their class."""
+    """Places (doc_id, number) of lines that are not the first of their class.
+
+    Equal lines are one class; so are those of `least` characters or more within `edits`.
+    """
     places = [(i, no, line.strip(" \t\n\r\x0b\x0c")) for i, t in docs for no, line in enumerate((t or "").split("\n"))]
-    places = [p for p in places if len(p[2]) >= least]
+    places = [p for p in places if p[2]]
     lines = sorted({p[2] for p in places})
-    links = [(a, b) for k, a in enumerate(lines) for b in lines[k + 1 :] if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits]
+    links = [(a, b) for k, a in enumerate(lines) for b in lines[k + 1 :] if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits]
     label = groups(lines, links)
     first = {}
     for i, no, line in sorted(places):

@@ -24,7 +24,6 @@ def test_sql(spark, small, name):
 
 def ids_of(text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
 
 
