@@ -43,6 +43,17 @@ def cuts(length: int, edits: int) -> list[tuple[int, int]]:
     return places
 
 
+def _segment(length: int, k: int, part: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=length * 8 + k)
+
+
+def own_segments(line: str, edits: int) -> list[int]:
+    """Hashes under which a line is found."""
+    return [_segment(len(line), k, line[a : a + size]) for k, (a, size) in enumerate(cuts(len(line), edits))]
+
+
 def segments(line: str, edits: int) -> tuple[list[int], list[int]]:
     """Hashes under which a line is found, and those under which it looks for others.
 
@@ -50,14 +61,7 @@ def segments(line: str, edits: int) -> tuple[list[int], list[int]]:
     looks for segments of lines of its length or up to `edits` shorter, only at places
     where a match leaves enough edits for both sides.
     """
-    import xxhash
-
-    def of(length: int, k: int, part: str) -> int:
-        return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=length * 8 + k)
-
-    n = len(line)
-    own = [of(n, k, line[a : a + size]) for k, (a, size) in enumerate(cuts(n, edits))]
-    looked = []
+    of, n, own, looked = _segment, len(line), own_segments(line, edits), []
     for length in range(max(n - edits, LEAST_CHARS), n + 1):
         more = n - length
         for k, (start, size) in enumerate(cuts(length, edits)):
@@ -124,7 +128,9 @@ def within(a: str, b: str, edits: int) -> bool:
 def document_lines(docs: DataFrame, edits: int) -> DataFrame:
     """One row per document: `doc_id, n_lines, lines` with number, key and size of each.
 
-    The first row of a batch also names, in `often`, segments of over a hundredth of its lines.
+    The first row of a batch also names, in `often`, segments under which more of its lines
+    are found than one in 150. Lines of `edits` more lengths look for a segment, so what many
+    look for is found often enough too.
     """
     schema = "doc_id long, n_lines long, n_chars long, lines array<struct<no int, key long, chars int>>, often array<long>"
 
@@ -140,9 +146,9 @@ def document_lines(docs: DataFrame, edits: int) -> DataFrame:
                 counts.append(0 if text is None else text.count("\n") + 1)
                 chars.append(len(text or ""))
                 seen.update((key, line) for _, key, line in found if len(line) >= LEAST_CHARS)
-            entries = np.array([h for line in seen.values() for part in map(set, segments(line, edits)) for h in part], np.uint64)
+            entries = np.array([h for line in seen.values() for h in own_segments(line, edits)], np.uint64)
             hashes, times = np.unique(entries, return_counts=True)
-            often = [hashes[times >= max(32, len(seen) // 50)].view(np.int64).tolist()] + [None] * (len(rows) - 1)
+            often = [hashes[times >= max(16, len(seen) // 150)].view(np.int64).tolist()] + [None] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(chars, pa.int64()), pa.array(rows, kinds), pa.array(often, pa.list_(pa.int64()))],
                 names=["doc_id", "n_lines", "n_chars", "lines", "often"],
