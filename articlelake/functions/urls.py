@@ -48,6 +48,19 @@ def content_key(url: Column) -> Column:
     return F.sha2(url, 256)
 
 
+def link_key(url: Column) -> Column:
+    """What two links to the same address have in common.
+
+    Scheme and host in lower case, without fragment, a port that the scheme implies, or the
+    slash of an empty path (RFC 3986, 6.2).
+    """
+    bare = F.regexp_replace(F.trim(url), r"#.*$", "")
+    start = F.regexp_extract(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    known = F.regexp_replace(F.regexp_replace(F.lower(start), r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    rest = F.substring(bare, F.length(start) + 1, 1 << 30)
+    return F.concat(known, F.when(rest == "/", "").otherwise(rest))
+
+
 def is_safe(url: Column) -> Column:
     """Targets a stored article may point at. Relative ones are refused."""
     return F.trim(url).rlike(r"(?i)^(?:#|data:image/|https?:|mailto:|tel:)")

@@ -17,14 +17,23 @@ from articlelake.operators.projection import with_settled
 
 
 def cut_page(html: Column) -> Column:
-    """Drop scripts, styles, comments and the head; mark every block-level tag."""
+    """Drop scripts, styles, comments and the head; put a mark before every block-level tag."""
     body = F.regexp_replace(html, P.NOT_CONTENT, " ")
-    return F.regexp_replace(body, P.BLOCK_TAG, f"{P.CUT}$1{P.END}")
+    return F.regexp_replace(body, P.BLOCK_TAG, f"{P.CUT}$1{P.END}$0")
 
 
-def blocks(cut: Column) -> Column:
-    """Array of block structs from a marked page; containers without content of their own are left out."""
-    pieces = F.regexp_extract_all(cut, F.lit(P.BLOCK), F.lit(0))
+def pieces_of(cut: Column) -> Column:
+    """A marked page between its marks, each piece with the mark and the tag it begins with."""
+    return F.regexp_extract_all(cut, F.lit(P.BLOCK), F.lit(0))
+
+
+def markup_between(pieces: Column, first: Column, last: Column) -> Column:
+    """The page's own markup from one piece to another, without the marks."""
+    return F.regexp_replace(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), P.MARK, "")
+
+
+def blocks(pieces: Column) -> Column:
+    """Array of block structs from the pieces; containers without content of their own are left out."""
     named = F.transform(
         pieces,
         lambda b: F.struct(
@@ -34,7 +43,8 @@ def blocks(cut: Column) -> Column:
     )
     read = F.transform(
         named,
-        lambda b: F.struct(
+        lambda b, i: F.struct(
+            i.alias("piece"),
             # Text behind a closing tag belongs to no block of its own.
             F.when(b["tag"].startswith("/"), "text").otherwise(b["tag"]).alias("tag"),
             b["inner"].alias("inner"),
@@ -56,13 +66,14 @@ def blocks(cut: Column) -> Column:
             b["n_links"].alias("n_links"),
             F.length(compact(F.regexp_replace(b["anchors"], P.ANY_TAG, ""))).alias("link_chars"),
             b["has_media"].alias("has_media"),
+            b["piece"].alias("piece"),
         ),
     )
 
 
 def page_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add `blocks` to pages. No shuffle."""
-    return with_settled(pages, "blocks", blocks(cut_page(F.col(html))))
+    return with_settled(pages, "blocks", blocks(pieces_of(cut_page(F.col(html)))))
 
 
 def explode_blocks(with_blocks: DataFrame, *keep: str) -> DataFrame:

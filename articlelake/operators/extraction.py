@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from articlelake.functions import dictionaries as D, patterns as P
 from articlelake.functions.text import compact, compact_word_count, plain_text, trimmed
 from articlelake.functions.urls import display_host, host, resolve
-from articlelake.operators.blocks import blocks, cut_page
-from articlelake.operators.projection import evaluated_once, with_settled
+from articlelake.operators.blocks import blocks, cut_page, markup_between, pieces_of
+from articlelake.operators.projection import built_once, evaluated_once, with_settled
+from articlelake.operators.sanitize import sanitize
 
 WALL_WORDS = 150
 STUB_CHARS = 40
@@ -82,8 +83,9 @@ def density_rule(prev: Column, cur: Column, nxt: Column) -> Column:
 _NO_BLOCK = "named_struct('words', 0, 'links', 0.0D, 'chrome', false)"
 
 
-def with_article_chunk(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add `chunk`: the container with the most text outside links and navigation."""
+@built_once
+def _content_columns(html: str) -> dict[str, Column]:
+    """Columns to add one after the other until there is `content`."""
     chunks = F.transform(
         F.split(cut_page(F.col(html)), P.CONTAINER_EDGE),
         lambda c, i: F.struct(
@@ -94,30 +96,33 @@ def with_article_chunk(pages: DataFrame, html: str = "html") -> DataFrame:
             c.alias("chunk"),
         ),
     )
-    return pages.withColumn("chunk", F.array_max(chunks)["chunk"])
+    reads = F.transform(
+        F.arrays_zip(
+            F.slice(F.concat(F.array(F.expr(_NO_BLOCK)), "m"), 1, F.greatest("n", F.lit(0))).alias("prev"),
+            F.col("m"),
+            F.slice(F.concat("m", F.array(F.expr(_NO_BLOCK))), 2, F.greatest("n", F.lit(0))).alias("next"),
+        ),
+        lambda z: density_rule(z["prev"], z["m"], z["next"]),
+    )
+    return {
+        "chunk": F.array_max(chunks)["chunk"], "pieces": pieces_of(F.col("chunk")), "blocks": blocks(F.col("pieces")),
+        "m": _neighbours(F.col("blocks")), "n": F.size("m"), "reads": reads, "content": between(F.col("blocks"), F.col("reads")),
+    }
+
+
+def with_article_chunk(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Add `chunk`: the container with the most text outside links and navigation."""
+    return pages.withColumn("chunk", _content_columns(html)["chunk"])
 
 
 def with_content_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add `content`: the blocks of the article between its first and last running text."""
-    return (
-        with_article_chunk(pages, html)
-        .withColumn("blocks", blocks(F.col("chunk")))
-        .withColumn("m", _neighbours(F.col("blocks")))
-        .withColumn("n", F.size("m"))
-        .withColumn(
-            "reads",
-            F.transform(
-                F.arrays_zip(
-                    F.slice(F.concat(F.array(F.expr(_NO_BLOCK)), "m"), 1, F.greatest("n", F.lit(0))).alias("prev"),
-                    F.col("m"),
-                    F.slice(F.concat("m", F.array(F.expr(_NO_BLOCK))), 2, F.greatest("n", F.lit(0))).alias("next"),
-                ),
-                lambda z: density_rule(z["prev"], z["m"], z["next"]),
-            ),
-        )
-        .transform(with_settled, "content", between(F.col("blocks"), F.col("reads")))
-        .drop("chunk", "m", "n", "reads", "blocks")
-    )
+    """Add `content`: the blocks of the article between its first and last running text.
+
+    Beside it stay the `pieces` of the page that the blocks were read from.
+    """
+    for name, column in _content_columns(html).items():
+        pages = with_settled(pages, name, column) if name in ("pieces", "content") else pages.withColumn(name, column)
+    return pages.drop("chunk", "m", "n", "reads", "blocks")
 
 
 def between(items: Column, wanted: Column) -> Column:
@@ -129,8 +134,13 @@ def between(items: Column, wanted: Column) -> Column:
 
 def trim_edges(df: DataFrame, column: str = "content") -> DataFrame:
     """Cut furniture from both ends of a block array, never from inside."""
-    judged = df.withColumn("_keep", F.transform(column, lambda b: ~is_furniture(b)))
-    return with_settled(judged, column, between(F.col(column), F.col("_keep"))).drop("_keep")
+    keep, trimmed_ = _edge_columns(column)
+    return with_settled(df.withColumn("_keep", keep), column, trimmed_).drop("_keep")
+
+
+@built_once
+def _edge_columns(column: str) -> tuple[Column, Column]:
+    return F.transform(column, lambda b: ~is_furniture(b)), between(F.col(column), F.col("_keep"))
 
 
 # ------------------------------------------------------------------ the head of a page
@@ -189,21 +199,25 @@ def _ld_names(node: Column) -> Column:
     return F.coalesce(one, many, F.array().cast("array<string>"))
 
 
-def json_ld_authors(html: Column, depth: int = 4) -> Column:
-    """All author names in a page's JSON-LD, documents in order, graphs opened breadth first."""
-    nodes = F.transform(F.regexp_extract_all(html, F.lit(_LD), F.lit(1)), lambda s: F.try_parse_json(s))
-    nodes = F.filter(nodes, lambda n: n.isNotNull())
+def json_ld_authors(html: Column) -> Column:
+    """All author names in a page's JSON-LD, documents in order, graphs opened breadth first.
+
+    A page has no more levels of graphs than it names graphs, so that many are opened.
+    """
+    scripts = F.regexp_extract_all(html, F.lit(_LD), F.lit(1))
+    nodes = F.filter(F.transform(scripts, lambda s: F.try_parse_json(s)), lambda n: n.isNotNull())
+    levels = F.aggregate(scripts, F.lit(1), lambda n, s: n + F.regexp_count(s, F.lit('"@graph"')))
     unpack = lambda level: F.flatten(
         F.transform(level, lambda n: F.coalesce(F.try_variant_get(n, "$", "array<variant>"), F.array(n)))
     )
-    found = F.array().cast("array<string>")
-    level = unpack(nodes)
-    for _ in range(depth):
-        found = F.concat(found, F.flatten(F.transform(level, _ld_names)))
-        graphs = F.filter(
-            F.transform(level, lambda n: F.try_variant_get(n, '$["@graph"]', "variant")), lambda g: g.isNotNull()
-        )
-        level = unpack(graphs)
+
+    def opened(state: Column, _: Column) -> Column:
+        graphs = F.filter(F.transform(state["level"], lambda n: F.try_variant_get(n, '$["@graph"]', "variant")), lambda g: g.isNotNull())
+        names = F.flatten(F.transform(state["level"], _ld_names))
+        return F.struct(unpack(graphs).alias("level"), F.concat(state["found"], names).alias("found"))
+
+    start = F.struct(unpack(nodes).alias("level"), F.array().cast("array<string>").alias("found"))
+    found = F.aggregate(F.sequence(F.lit(1), levels), start, opened, lambda s: s["found"])
     return F.filter(found, lambda name: name.isNotNull())
 
 
@@ -244,27 +258,21 @@ def outcome(html: Column, content: Column, text: Column, words: Column) -> Colum
     )
 
 
-def content_html(content: Column) -> Column:
-    """The article's markup again, one element per block."""
-    return F.array_join(
-        F.transform(
-            content,
-            lambda b: F.when(b["tag"].isin("text", *P.CHROME_TAGS), F.concat(F.lit("<div>"), F.trim(b["inner"]), F.lit("</div>"))).otherwise(
-                F.concat(F.lit("<"), b["tag"], F.lit(">"), F.trim(b["inner"]), F.lit("</"), b["tag"], F.lit(">"))
-            ),
-        ),
-        "\n",
-    )
+def with_content_html(cleaned: DataFrame, url: str = "url") -> DataFrame:
+    """Add `content_html`: the article as it may be stored.
 
+    It is the page's markup from the first block to the last. Addresses are absolute, lazy
+    pictures have their source, tables keep their structure, and nothing that runs is left.
+    """
+    first, last = F.try_element_at("content", F.lit(1))["piece"], F.try_element_at("content", F.lit(-1))["piece"]
+    written = F.when(F.size("content") > 0, markup_between(F.col("pieces"), first, last)).otherwise("")
+    return sanitize(cleaned.withColumn("content_html", written), base=url)
 
-def extract_articles(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Pages `(id, url, html)` to parse results with an `outcome`. One pass, no shuffle."""
-    cleaned = trim_edges(with_content_blocks(pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))))
-    text = cleaned.withColumn("text", F.array_join(F.transform("content", lambda b: b["text"]), " "))
-    counted = text.withColumn("word_count", compact_word_count(F.col("text")))
+
+@built_once
+def _article_columns() -> list[Column]:
     page, address = F.col("html"), F.col("url")
-    return evaluated_once(
-        counted,
+    return [
         F.col("id"),
         F.col("url"),
         outcome(page, F.col("content"), F.col("text"), F.col("word_count")).alias("outcome"),
@@ -272,13 +280,21 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url: str = "url"
         author(page, address).alias("author"),
         F.coalesce(F.nullif(meta_content(page, "property", "og:site_name"), F.lit("")), display_host(address)).alias("site_name"),
         excerpt(page, F.col("text")).alias("excerpt"),
-        content_html(F.col("content")).alias("content_html"),
+        F.col("content_html"),
         F.col("word_count"),
         page_language(page).alias("lang"),
         canonical_url(page, address).alias("canonical_url"),
         F.col("text"),
         F.col("content"),
-    )
+    ]
+
+
+def extract_articles(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Pages `(id, url, html)` to parse results with an `outcome`. One pass, no shuffle."""
+    cleaned = trim_edges(with_content_blocks(pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))))
+    text = with_content_html(cleaned).withColumn("text", F.array_join(F.transform("content", lambda b: b["text"]), " "))
+    counted = text.withColumn("word_count", compact_word_count(F.col("text")))
+    return evaluated_once(counted, *_article_columns())
 
 
 def fetch_outcomes(crawl: DataFrame) -> DataFrame:

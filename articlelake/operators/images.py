@@ -5,7 +5,9 @@ only the at most forty picks of an article are brought together again, so no gro
 grows with the data.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from articlelake.functions import dictionaries as D, patterns as P
 from articlelake.functions.text import compact
@@ -13,6 +15,7 @@ from articlelake.functions.urls import content_key, is_web
 from articlelake.operators.extraction import attribute
 from articlelake.operators.projection import with_settled
 from articlelake.operators.statistics import upper_median
+from articlelake.session import shared_folder
 
 # Bytes per picture, bytes per article, pictures per article.
 PER_IMAGE = 2 * 1024 * 1024
@@ -134,22 +137,127 @@ def _decide(picks: Column, per_image: int, per_article: int) -> Column:
     )
 
 
+def _priced(edges: DataFrame, sizes: DataFrame, stored: DataFrame) -> DataFrame:
+    """Edges with `bytes` and `stored`. Both are brought to one row per key first, so there is one join."""
+    facts = sizes.select("key", F.col("bytes").cast("long").alias("bytes"), F.lit(False).alias("stored")).unionByName(
+        stored.select("key", F.lit(None).cast("long").alias("bytes"), F.lit(True).alias("stored"))
+    )
+    known = facts.groupBy("key").agg(F.max("bytes").alias("bytes"), F.max("stored").alias("stored"))
+    return edges.join(known, "key", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
+def _decided(priced: DataFrame, per_image: int, per_article: int) -> DataFrame:
+    """The decision for every priced edge. The fold runs over one article's picks, forty at most."""
+    picks = F.array_sort(F.collect_list(F.struct("pos", "url", "key", "bytes", "stored")))
+    decided = priced.groupBy("id").agg(picks.alias("picks")).withColumn("done", _decide(F.col("picks"), per_image, per_article))
+    return decided.select("id", F.inline(F.arrays_zip("picks", "done"))).select("id", "picks.*", F.col("done").alias("decision"))
+
+
 def plan_storage(
     edges: DataFrame, sizes: DataFrame, stored: DataFrame, per_image: int = PER_IMAGE, per_article: int = PER_ARTICLE
 ) -> DataFrame:
-    """Decide every edge `(id, pos, url, key)`: `stored`, `reused` or `skipped`.
+    """Decide every edge `(id, pos, url, key)`: `stored`, `reused` or `skipped`, each article on its own.
 
     `sizes` is `(key, bytes)` with null for a failed request; `stored` is what exists when the
-    job starts. The fold runs over one article's picks, forty at most.
+    job starts. Articles that are stored in the same job don't see each other's pictures; see
+    `plan_backlog` for those that do.
     """
-    size_of = sizes.groupBy("key").agg(F.max("bytes").cast("long").alias("bytes"))
-    have = stored.select("key").distinct().withColumn("stored", F.lit(True))
-    priced = edges.join(size_of, "key", "left").join(have, "key", "left")
-    per_id = priced.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "url", "key", "bytes", F.coalesce("stored", F.lit(False)).alias("stored")))).alias("picks")
-    )
-    decided = per_id.withColumn("done", _decide(F.col("picks"), per_image, per_article))
-    return decided.select("id", F.inline(F.arrays_zip("picks", "done"))).select("id", "picks.*", F.col("done").alias("decision")).drop("stored")
+    return _decided(_priced(edges, sizes, stored), per_image, per_article).drop("stored")
+
+
+def plan_backlog(
+    edges: DataFrame, sizes: DataFrame, stored: DataFrame, per_image: int = PER_IMAGE, per_article: int = PER_ARTICLE
+) -> DataFrame:
+    """Decide every edge as if the articles were stored one after the other, in the order of `id`.
+
+    A picture belongs to the first article whose budget takes it; later ones reuse it for
+    nothing, which leaves them room for others. Articles are decided all at once, with the
+    owners of the last round; an article is right as soon as those are that it shares a
+    picture with and that come before it, so the rounds end at what one pass in order gives.
+    Their number is the length of the longest chain of articles that change each other's
+    room. Only articles whose free pictures changed are decided again, and a picture takes
+    part at all only if it can be stored and is shown by more than one article. The result
+    is a written table.
+    """
+    spark = edges.sparkSession
+    priced = _stored(_priced(edges, sizes, stored), "priced")
+    viable = priced.where(~F.col("stored") & (F.col("bytes") > 0) & (F.col("bytes") <= per_image))
+    shared = viable.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    contested = _stored(viable.join(shared, "key", "left_semi").select("id", "key"), "contested")
+    decided = _stored(_decided(priced, per_image, per_article), "decided")
+    free = spark.createDataFrame([], contested.schema)  # (id, key): what an article gets for nothing
+    while True:
+        owners = decided.where("decision = 'stored'").join(shared, "key", "left_semi").groupBy("key").agg(F.min("id").alias("owner"))
+        now = _stored(contested.join(owners, "key").where(F.col("owner") < F.col("id")).select("id", "key"), "free")
+        marked = now.withColumn("new", F.lit(True)).join(free.withColumn("old", F.lit(True)), ["id", "key"], "full")
+        changed = _stored(marked.where("new IS NULL OR old IS NULL").select("id").distinct(), "changed")
+        if changed.isEmpty():
+            return decided.drop("stored")
+        again = priced.join(changed, "id", "left_semi").join(now.withColumn("free", F.lit(True)), ["id", "key"], "left")
+        again = again.withColumn("stored", F.col("stored") | F.coalesce("free", F.lit(False))).drop("free")
+        kept = decided.join(changed, "id", "left_anti")
+        decided, free = _stored(kept.unionByName(_decided(again, per_image, per_article)), "decided"), now
+
+
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Written to the shared folder and read back: lineage ends here."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def resume_backlog(edges: DataFrame, decided: DataFrame) -> DataFrame:
+    """The edges of a backlog that an earlier run has not decided, by article.
+
+    With the pictures of that run among the stored ones, deciding the rest gives what one
+    run over everything would have given, if the run stopped between two articles.
+    """
+    return edges.join(decided.select("id").distinct(), "id", "left_anti")
+
+
+def run_backlog(
+    edges: DataFrame, sizes: DataFrame, stored: DataFrame, path: str, parts: int = 16, stop: Callable[[], bool] = lambda: False,
+    per_image: int = PER_IMAGE, per_article: int = PER_ARTICLE,
+) -> DataFrame:
+    """Work off a backlog part by part, with progress, and go on where an earlier run stopped.
+
+    Articles are dealt to `parts` ranges of `id` when the first run begins. After each part
+    its decisions lie below `path/decided` and its totals below `path/progress`; a part counts
+    as done once its totals do. `stop` is asked before each part. Pictures of earlier parts are
+    free for later ones, so stopping and resuming gives what one run would have given.
+    Returns the progress: `part, articles, stored, reused, skipped, bytes`.
+    """
+    spark = edges.sparkSession
+    if not _written(spark, f"{path}/work"):
+        dealt = edges.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id())
+        dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/work")
+    work = spark.read.parquet(f"{path}/work")
+    numbers = sorted(r["part"] for r in work.select("part").distinct().collect())  # at most `parts`
+    kept, done = stored.select("key"), []
+    for number in numbers:
+        if not _written(spark, f"{path}/progress/part={number}"):
+            if stop():
+                break
+            plan = plan_backlog(work.where(F.col("part") == number).drop("part"), sizes, kept, per_image, per_article)
+            seen = Observation(f"backlog-{number}")
+            counted = [F.count_if(F.col("decision") == d).alias(d) for d in ("stored", "reused", "skipped")]
+            size = F.coalesce(F.sum(F.when(F.col("decision") == "stored", F.col("bytes"))), F.lit(0)).alias("bytes")
+            plan.observe(seen, F.count_if(F.col("pos") == 0).alias("articles"), *counted, size).write.mode("overwrite").parquet(f"{path}/decided/part={number}")
+            totals = spark.createDataFrame([tuple(seen.get[n] for n in _TOTALS)], ", ".join(f"{n} long" for n in _TOTALS))
+            totals.write.mode("overwrite").parquet(f"{path}/progress/part={number}")
+        done.append(f"{path}/progress/part={number}")
+        kept = kept.unionByName(spark.read.parquet(f"{path}/decided/part={number}").where("decision = 'stored'").select("key"))
+    schema = ", ".join(f"{n} long" for n in (*_TOTALS, "part"))
+    return spark.read.schema(schema).option("basePath", f"{path}/progress").parquet(*done) if done else spark.createDataFrame([], schema)
+
+
+_TOTALS = ("articles", "stored", "reused", "skipped", "bytes")
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has ended, wherever the folder is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
 def storage_totals(decided: DataFrame) -> DataFrame:

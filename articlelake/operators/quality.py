@@ -6,14 +6,13 @@ Measurements and flags are projections of one row. Summaries are single aggregat
 from pyspark.sql import Column, DataFrame, functions as F
 
 from articlelake.functions import dictionaries as D, patterns as P
-from articlelake.functions.text import compact
 from articlelake.operators.extraction import attribute, is_link_list
 from articlelake.operators.images import images_in
+from articlelake.operators.markup import LONG_CELL, cell_texts, let, paired_tables
 from articlelake.operators.projection import with_settled
 from articlelake.operators.statistics import upper_median
 
 _HANDLER = r"(?is)<[a-z][^>]*\son[a-z]+\s*="
-_TABLE = r"(?is)<table\b.*?</table\s*>"
 
 
 def edge_flags(b: Column, where: str) -> Column:
@@ -68,67 +67,48 @@ def heading_skips(html: Column) -> Column:
 
 
 def table_shapes(html: Column) -> Column:
-    """Array of table structs: rows, most columns, longest cell, header, nesting."""
-    tables = F.transform(
-        F.regexp_extract_all(html, F.lit(_TABLE), F.lit(0)),
-        lambda t: F.struct(
-            t.alias("html"),
-            F.transform(
-                F.slice(F.split(t, r"(?i)<tr(?=[\s>])[^>]*>"), 2, 1 << 30),
-                lambda r: F.transform(
-                    F.slice(F.split(r, r"(?i)<t[dh](?=[\s>])[^>]*>"), 2, 1 << 30),
-                    lambda c: compact(F.regexp_replace(c, P.ANY_TAG, " ")),
-                ),
-            ).alias("cells"),
-        ),
-    )
-    return F.transform(
-        tables,
-        lambda t, i: F.struct(
-            i.alias("table"),
-            F.size(t["cells"]).alias("rows"),
-            F.coalesce(F.array_max(F.transform(t["cells"], lambda r: F.size(r))), F.lit(0)).alias("cols"),
-            F.coalesce(F.array_max(F.transform(F.flatten(t["cells"]), lambda c: F.length(c))), F.lit(0)).alias("max_cell_chars"),
-            t["html"].rlike(r"(?i)<thead\b").alias("has_head"),
-            (F.regexp_count(t["html"], F.lit(r"(?i)<table\b")) > 1).alias("nested"),
-        ),
-    )
+    """Array of table structs: rows, most columns, longest cell, header, nesting.
+
+    Rows and cells count for the innermost table they are in; `nested` tables hold another.
+    """
+    return let(let(paired_tables(html), lambda p: F.struct(p["tables"].alias("tables"), cell_texts(p).alias("cells"))), _shapes)
+
+
+def _shapes(found: Column) -> Column:
+    def shape(t: Column) -> Column:
+        own = F.filter(found["cells"], lambda c: c["table"] == t["table"])
+        return F.struct(
+            t["table"].alias("table"),
+            t["rows"].alias("rows"),
+            F.coalesce(F.array_max(F.transform(own, lambda c: c["col"] + 1)), F.lit(0)).alias("cols"),
+            F.coalesce(F.array_max(F.transform(own, lambda c: F.length(c["text"]))), F.lit(0)).alias("max_cell_chars"),
+            t["has_head"].alias("has_head"),
+            t["nested"].alias("nested"),
+        )
+
+    return F.transform(found["tables"], shape)
 
 
 def table_cells(articles: DataFrame, html: str = "content_html") -> DataFrame:
     """One row per cell: `(id, table, row, col, text, is_numeric, prose, label)`.
 
     In a table whose longest cell is over eighty characters every cell below the head row
-    carries the text of the head cell above it.
+    carries the text of the head cell above it. Cells belong to the innermost table.
     """
-    parsed = articles.select(
-        "id",
-        F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_TABLE), F.lit(0))).alias("table", "html"),
-    ).select(
-        "id",
-        "table",
-        F.transform(
-            F.slice(F.split("html", r"(?i)<tr(?=[\s>])[^>]*>"), 2, 1 << 30),
-            lambda r: F.transform(
-                F.slice(F.split(r, r"(?i)<t[dh](?=[\s>])[^>]*>"), 2, 1 << 30),
-                lambda c: compact(F.regexp_replace(c, P.ANY_TAG, " ")),
-            ),
-        ).alias("cells"),
-    )
-    judged = parsed.select(
-        "*",
-        (F.coalesce(F.array_max(F.transform(F.flatten("cells"), lambda c: F.length(c))), F.lit(0)) > 80).alias("prose"),
-        F.try_element_at("cells", F.lit(1)).alias("head"),
-    )
-    rows = judged.select("id", "table", "prose", "head", F.posexplode("cells").alias("row", "texts"))
-    cells = rows.select("id", "table", "prose", "head", "row", F.posexplode("texts").alias("col", "text"))
-    label = F.nullif(F.try_element_at("head", F.col("col") + 1), F.lit(""))
+    found = with_settled(articles.select("id", html), "cells", cell_texts(paired_tables(F.col(html))))
+    judged = found.select(
+        "id", "cells",
+        F.array_distinct(F.transform(F.filter("cells", lambda c: F.length(c["text"]) > LONG_CELL), lambda c: c["table"])).alias("long"),
+        F.filter("cells", lambda c: (c["row"] == 0) & (c["text"] != "")).alias("heads"),
+    )
+    cells = judged.select("id", "long", "heads", F.inline("cells")).withColumn("prose", F.array_contains("long", F.col("table")))
+    above = F.filter("heads", lambda h: (h["table"] == F.col("table")) & (h["col"] == F.col("col")))
     return cells.select(
         "id", "table", "row", "col", "text",
         is_numeric_cell(F.col("text")).alias("is_numeric"),
         "prose",
-        F.when(F.col("prose") & (F.col("row") > 0), label).alias("label"),
-    )
+        F.when(F.col("prose") & (F.col("row") > 0), F.try_element_at(above, F.lit(1))["text"]).alias("label"),
+    )
 
 
 def is_numeric_cell(text: Column) -> Column:

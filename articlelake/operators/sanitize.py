@@ -1,101 +1,14 @@
 """Cleaning article markup down to an allowlist.
 
-Element and attribute rules need real tokenizing, so one small parser runs over Arrow
-batches inside the tasks. What regular expressions can express stays in columns.
+The rules for elements and attributes are one fold over the markup's tokens (see `markup`);
+what concerns two neighbours, a picture and its credit line, is a pattern behind it.
 """
 
-from collections.abc import Iterator
-from html import escape
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import StringType
 
-from articlelake.functions import dictionaries as D, patterns as P
+from articlelake.functions import dictionaries as D
 from articlelake.functions.urls import is_safe
-
-_SAFE = ("#", "http:", "https:", "mailto:", "tel:")
-_SAFE_DATA = "data:image/"
-
-
-class _Scrubber(HTMLParser):
-    """Writes allowed elements again; drops dangerous subtrees, unwraps everything unknown."""
-
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.open: list[str] = []
-        self.dropped: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if self.dropped:
-            if tag not in D.VOID_TAGS:
-                self.dropped.append(tag)
-        elif tag in D.DROPPED_TAGS:
-            if tag not in D.VOID_TAGS:
-                self.dropped.append(tag)
-        elif tag in D.ALLOWED_TAGS:
-            self.out.append(f"<{tag}{''.join(self._kept(tag, attrs))}>")
-            if tag not in D.VOID_TAGS:
-                self.open.append(tag)
-
-    def _kept(self, tag, attrs):
-        allowed = D.TAG_ATTRIBUTES.get(tag, "").split()
-        for name, value in attrs:
-            value = value or ""
-            if name not in D.GLOBAL_ATTRIBUTES and name not in allowed:
-                continue
-            target = value.strip().lower()
-            if name in D.URL_ATTRIBUTES and not (target.startswith(_SAFE) or target.startswith(_SAFE_DATA)):
-                continue
-            yield f' {name}="{escape(value)}"'
-
-    def handle_endtag(self, tag):
-        if self.dropped:
-            if tag in self.dropped:
-                while self.dropped.pop() != tag:
-                    pass
-        elif tag in self.open:
-            while True:
-                top = self.open.pop()
-                self.out.append(f"</{top}>")
-                if top == tag:
-                    break
-
-    def handle_data(self, data):
-        if not self.dropped:
-            self.out.append(escape(data, quote=False))
-
-
-def _scrub(html: str | None) -> str | None:
-    if html is None:
-        return None
-    parser = _Scrubber()
-    parser.feed(html)
-    parser.close()
-    return "".join(parser.out) + "".join(f"</{tag}>" for tag in reversed(parser.open))
-
-
-@pandas_udf(StringType())
-def scrub(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Allowlist pass over whole Arrow batches."""
-    for html in batches:
-        yield html.map(_scrub)
-
-
-def wrap_tables(html: Column) -> Column:
-    """Give every outermost table a scrolling parent, once."""
-    plain = F.regexp_replace(html, r'(?is)<div class="tablewrap">(<table\b.*?</table>)</div>', "$1")
-    return F.regexp_replace(plain, r"(?is)(<table\b(?:(?!<table\b).)*?</table>)", '<div class="tablewrap">$1</div>')
-
-
-def drop_small_images(html: Column) -> Column:
-    """Remove pictures under a hundred pixels in either written size."""
-    return F.regexp_replace(html, r'(?is)<img\b[^>]*\s(?:width|height)="0*[1-9]\d?"[^>]*>', "")
+from articlelake.operators import markup
 
 
 def pair_captions(html: Column) -> Column:
@@ -108,36 +21,20 @@ def pair_captions(html: Column) -> Column:
     )
 
 
-def prepare_images(html: Column) -> Column:
-    """Ask for late loading and reserve the box where both sizes are known."""
-    lazy = F.regexp_replace(html, r'(?is)<img\b(?![^>]*\sloading=)([^>]*)>', '<img$1 loading="lazy" decoding="async">')
-    return F.regexp_replace(
-        lazy,
-        r'(?is)<img\b(?![^>]*\sstyle=)(?=[^>]*\swidth="(\d+)")(?=[^>]*\sheight="(\d+)")([^>]*)>',
-        '<img$3 style="aspect-ratio: $1 / $2">',
-    )
-
+def sanitize(articles: DataFrame, html: str = "content_html", base: str | None = None) -> DataFrame:
+    """Articles with their markup as it may be stored.
 
-def drop_empty_blocks(html: Column, depth: int = 6) -> Column:
-    """Remove blocks that hold nothing, innermost first; a rule or a line break counts as something."""
-    for _ in range(depth):
-        html = F.regexp_replace(html, rf"(?is)<(p|div|section|figure|blockquote)(?:\s[^>]*)?>(?:{P.WS}|&nbsp;)*</\1>", "")
-    return html
-
-
-def sanitize(articles: DataFrame, html: str = "content_html") -> DataFrame:
-    """All passes in their order: scrub, tables, pictures, empty blocks."""
-    return (
-        articles.withColumn(html, scrub(F.col(html)))
-        .withColumn(html, wrap_tables(F.col(html)))
-        .withColumn(html, prepare_images(pair_captions(drop_small_images(F.col(html)))))
-        .withColumn(html, drop_empty_blocks(F.col(html)))
-    )
+    All passes in their order: elements and attributes, empty blocks, tables, captions.
+    `base` names the column of the address that relative targets are resolved on; without it
+    they go.
+    """
+    prepared = markup.with_prepared_tables(markup.with_clean(articles, html, base), html)
+    return prepared.withColumn(html, pair_captions(F.col(html)))
 
 
 def kept_blocks(blocks: DataFrame) -> DataFrame:
     """Block rows that hold text or draw something."""
-    emptiable = F.col("tag").isin("p", "div", "section", "figure", "blockquote")
+    emptiable = F.col("tag").isin(*markup.EMPTIABLE)
     draws = F.col("has_media") | F.col("inner").rlike(r"(?i)<(?:table|hr|br)\b")
     return blocks.where(~emptiable | (F.col("text") != "") | draws)
 

@@ -1,9 +1,13 @@
 """The word index and the queries it answers.
 
-An index is a table of `(term, id)`. Queries come as a table `(qid, text)`; a batch is
-answered by joins on terms. Each query is driven by its rarest word, so a frequent
-word is only ever looked up beside ids that are already candidates, and no join
-multiplies two frequent sides.
+An index is a table of `(term, id)`, stored in folders by the first letters of the term.
+Queries come as a table `(qid, text)`; a batch is answered by joins on folder and term, and
+only the folders of its words are read. Each article that holds one of the words is seen
+once, and a query looks only at articles that hold its rarest word, so no join multiplies
+two frequent sides.
+
+Substrings have an index of the same form, whose terms are the three-letter pieces of the
+texts; what it finds is verified in the articles themselves.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,32 +29,72 @@ def searchable(body: Column) -> Column:
     return F.concat_ws(" ", *fields, F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), body)
 
 
+#: Folders of an index, unless its writer says otherwise; the number stays with the column `term`.
+PARTS = 64
+#: Lengths of beginnings by which a prefix meets the words that start with it.
+BEGINNINGS = (2, 3, 4, 6, 8, 12)
+
+
 def postings(articles: DataFrame, html: str = "content_html") -> DataFrame:
     """One row per distinct term of an article. No shuffle: repeats are removed inside the row."""
     terms = F.array_distinct(tokenize(searchable(text_of(F.col(html)))))
     return articles.select(F.explode(terms).alias("term"), "id")
 
 
-def write_index(index: DataFrame, path: str, segment: int | None = None, ids: DataFrame | None = None) -> None:
-    """Write an index sorted by term, so a lookup reads few row groups.
+def pieces_of(text: Column) -> Column:
+    """Every run of three characters of a lower-cased text, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
+
+
+def piece_postings(articles: DataFrame, body: Column) -> DataFrame:
+    """The index for substrings: three-letter pieces of the metadata and of the body."""
+    pieces = F.array_union(pieces_of(metadata()), pieces_of(body))
+    return articles.select(F.explode(pieces).alias("term"), "id")
+
+
+def part_of(term: Column, parts: int = PARTS) -> Column:
+    """The folder of a term. It depends on two letters alone, so a prefix knows its folder too."""
+    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(parts)).cast("int")
+
+
+def _write_parted(table: DataFrame, path: str, parts: int, order: list[str]) -> None:
+    """A folder per part, sorted; ranged, so that a part of any size is spread over many files."""
+    parted = table.withColumns({"part": part_of(F.col("term"), parts), "term": F.col("term").alias("term", metadata={"parts": parts})})
+    parted.repartitionByRange("part", *order).sortWithinPartitions("part", *order).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def _parted(table: DataFrame) -> tuple[DataFrame, int]:
+    """The table with its folders, and how many there are; an index in memory has them as a column."""
+    parts = table.schema["term"].metadata.get("parts")
+    if parts and "part" in table.columns:
+        return table, parts
+    return table.withColumn("part", part_of(F.col("term"))), PARTS
+
+
+def write_index(index: DataFrame, path: str, segment: int | None = None, ids: DataFrame | None = None, parts: int = PARTS) -> None:
+    """Write an index in folders by the first letters of a term, sorted by term and id.
 
     Rows are ranged over term and id together: a term that every article has is
     spread over many files instead of filling one. A numbered segment joins those
     already there; without a number the table is whole. Beside a segment stands a small
     table of the ids it speaks for: `ids`, or those that have postings in it. An article
-    that lost all its terms is in `ids` alone.
+    that lost all its terms is in `ids` alone. Take more `parts` for larger libraries.
     """
-    target = path if segment is None else f"{path}/segment={segment}"
-    index.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(target)
+    _write_parted(index.select("term", "id"), path if segment is None else f"{path}/segment={segment}", parts, ["term", "id"])
     if segment is not None:
         seen = index.select("id") if ids is None else ids.select("id")
         seen.distinct().write.mode("overwrite").parquet(f"{path}-ids/segment={segment}")
 
 
+def write_vocabulary(words: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Write `(term, df)` in the same folders as the index it belongs to."""
+    _write_parted(words.select("term", "df"), path, parts, ["term"])
+
+
 def compact_index(spark, path: str, target: str) -> None:
     """Rewrite the live postings of all segments as one sorted table."""
     live = read_index(spark, path)
-    live.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(target)
+    write_index(live, target, parts=_parted(live)[1])
 
 
 def read_index(spark, path: str) -> DataFrame:
@@ -59,7 +103,7 @@ def read_index(spark, path: str) -> DataFrame:
     if "segment" not in stored.columns:
         return stored
     newest = spark.read.parquet(f"{path}-ids").groupBy("id").agg(F.max("segment").alias("segment"))
-    return stored.join(newest, ["id", "segment"], "left_semi").select("term", "id")
+    return stored.join(newest, ["id", "segment"], "left_semi").select("term", "id", "part")
 
 
 def replace_postings(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -77,12 +121,20 @@ def not_indexed(articles: DataFrame, index: DataFrame) -> DataFrame:
     return articles.join(indexed_ids(index), "id", "left_anti")
 
 
+def _folder_of(index: DataFrame, start: str) -> Column:
+    """The one folder in which terms that start so can be; any where two letters are not known."""
+    parts = index.schema["term"].metadata.get("parts")
+    if not parts or "part" not in index.columns or len(start) < 2:
+        return F.lit(True)
+    return F.col("part") == part_of(F.lit(start), parts)
+
+
 def ids_for_term(index: DataFrame, term: str) -> DataFrame:
-    return index.where(F.col("term") == term).select("id")
+    return index.where(_folder_of(index, term) & (F.col("term") == term)).select("id")
 
 
 def ids_for_prefix(index: DataFrame, prefix: str) -> DataFrame:
-    return index.where(F.col("term").startswith(prefix)).select("id").distinct()
+    return index.where(_folder_of(index, prefix) & F.col("term").startswith(prefix)).select("id").distinct()
 
 
 def plan_queries(queries: DataFrame) -> DataFrame:
@@ -110,113 +162,140 @@ def vocabulary(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _slots(planned: DataFrame) -> DataFrame:
-    """One row per thing a query must hold: `(qid, needs, word, is_prefix)`."""
-    words = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("word"), F.lit(False).alias("is_prefix")))
-    prefix = F.array(F.struct(F.col("prefix").alias("word"), F.lit(True).alias("is_prefix")))
-    slots = F.concat(words, F.filter(prefix, lambda p: p["word"].isNotNull()))
-    listed = planned.select("qid", slots.alias("slots"))
-    return listed.select("qid", F.size("slots").alias("needs"), F.inline("slots"))
+def _wanted(planned: DataFrame) -> DataFrame:
+    """`(qid, wanted)`: the finished words of a query, and its prefix with a star behind it."""
+    prefix = F.when(F.col("prefix").isNotNull(), F.array(F.concat("prefix", F.lit("*")))).otherwise(F.array().cast("array<string>"))
+    return planned.select("qid", F.concat(F.array_distinct("terms"), prefix).alias("wanted"))
 
 
-def _starts(words: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Words that begin with one of the prefixes, met by equality on their first letters.
+class _Slots:
+    """What a batch looks for, each word and prefix once, and the folders where that can be.
 
-    Each word is cut at the lengths that occur among the prefixes (a handful of numbers,
-    one row), so words and prefixes are hashed to each other rather than compared in pairs.
+    The folders are asked for when a stored table is met: a job over the queries alone, whose
+    answer has two rows per folder at most, whatever the batch.
     """
-    lengths = prefixes.agg(F.collect_set(F.length("word")).alias("lengths"))
-    cut = words.join(F.broadcast(lengths)).withColumn("n", F.explode("lengths"))
-    cut = cut.where(F.length("term") >= F.col("n")).withColumn("word", F.substring("term", F.lit(1), F.col("n")))
-    return cut.join(prefixes.select("word").distinct(), "word", "left_semi").drop("lengths", "n")
+
+    def __init__(self, slots: DataFrame):
+        self.rows, self.found = slots, {}
+
+    @staticmethod
+    def word() -> Column:
+        return F.rtrim(F.col("slot"), F.lit("*"))
+
+    @staticmethod
+    def begins() -> Column:
+        return F.endswith("slot", F.lit("*"))
+
+    def folders(self, parts: int) -> dict[bool, list[int]]:
+        if parts not in self.found:
+            asked = self.rows.select(self.begins().alias("begins"), part_of(self.word(), parts).alias("part")).distinct().collect()
+            self.found[parts] = {begins: [r["part"] for r in asked if r["begins"] == begins] for begins in (True, False)}
+        return self.found[parts]
+
+
+def _met(table: DataFrame, slots: _Slots, marked: DataFrame, value: str) -> DataFrame:
+    """`(slot, value)` for rows whose term is a slot's word or begins with its prefix.
+
+    Both meet by equality on folder and letters: a word as a whole, a prefix by as many of
+    its first letters as one of `BEGINNINGS` allows, and what meets so is compared in full.
+    Of a stored table only the folders of these words and prefixes are read.
+    """
+    stored = table.schema["term"].metadata.get("parts") and "part" in table.columns
+    table, parts = _parted(table)
+    asked = marked.select("*", slots.word().alias("word"), part_of(slots.word(), parts).alias("part"))
+    among = {begins: F.col("part").isin(slots.folders(parts)[begins]) if stored else F.lit(True) for begins in (True, False)}
+    whole = asked.where(~slots.begins()).withColumnRenamed("word", "term")
+    exact = table.where(among[False]).join(whole, ["part", "term"]).select(*marked.columns, value)
+
+    def cut(text: str) -> Column:
+        lengths = F.filter(F.array(*map(F.lit, BEGINNINGS)), lambda n: n <= F.length(text))
+        return F.transform(lengths, lambda n: F.substring(F.col(text), F.lit(1), n))
+
+    begun = asked.where(slots.begins()).withColumn("start", F.element_at(cut("word"), -1))
+    starts = table.where(among[True]).select("part", "term", value, F.explode(cut("term")).alias("start"))
+    started = starts.join(begun, ["part", "start"]).where(F.startswith("term", "word")).select(*marked.columns, value)
+    return exact.unionByName(started)
+
+
+def _matches(wanted: DataFrame, index: DataFrame, words: DataFrame | None) -> DataFrame:
+    """`(qid, id)` of the articles that hold everything a query wants.
+
+    What is wanted by any query is looked up once, whatever the number of queries, and
+    gathered per article, of which no more is kept than it has terms. A query is compared
+    only with articles that hold its rarest slot, its driver. Without counts of words the
+    looked-up postings are counted. Counts only choose the driver: if they lag behind the
+    index, or miss a word, the answer is the same.
+    """
+    each = wanted.select("qid", F.explode("wanted").alias("slot"))
+    slots = _Slots(each.select("slot").distinct())
+    if words is None:
+        costs = _met(index, slots, slots.rows, "id").groupBy("slot").agg(F.count("*").alias("cost"))
+    else:
+        costs = _met(words, slots, slots.rows, "df").groupBy("slot").agg(F.sum("df").alias("cost"))
+    best = F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "slot"))
+    drivers = each.join(costs, "slot", "left").groupBy("qid").agg(best.alias("best")).select("qid", F.col("best.slot").alias("driver"))
+    marked = slots.rows.join(drivers.select(F.col("driver").alias("slot"), F.lit(True).alias("drives")).distinct(), "slot", "left")
+    held = _met(index, slots, marked, "id").groupBy("id").agg(
+        F.collect_set("slot").alias("held"), F.collect_set(F.when(F.col("drives"), F.col("slot"))).alias("driving")
+    )
+    asked = wanted.join(drivers, "qid")
+    pairs = held.where(F.size("driving") > 0).select("id", "held", F.explode("driving").alias("driver")).join(asked, "driver")
+    return pairs.where(F.forall("wanted", lambda slot: F.array_contains("held", slot))).select("qid", "id")
 
 
 def index_matches(planned: DataFrame, index: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """`(qid, id)` of the articles that hold every finished term and a word with the prefix.
 
-    `words` is the stored vocabulary of the index; without it the counts are taken anew.
-    They only choose which word of a query is looked up first, so a vocabulary that lags
-    behind the index changes no answer.
+    `words` is the stored vocabulary of the index; see `_matches`.
     """
-    words = vocabulary(index) if words is None else words
-    return _rarest_first(_slots(planned.where(~F.col("scan_only"))), index, words)
-
-
-def _rarest_first(slots: DataFrame, index: DataFrame, words: DataFrame) -> DataFrame:
-    """Every query is driven by its rarest slot: those ids alone are candidates, and the other
-    slots are checked on `(word, id)`, a key no frequent word can crowd. A word without a
-    count is taken for the rarest."""
-    finished, prefixes = slots.where(~F.col("is_prefix")), slots.where("is_prefix")
-    costs = (
-        words.withColumnRenamed("term", "word").join(finished.select("word").distinct(), "word", "left_semi")
-        .select("word", F.lit(False).alias("is_prefix"), F.col("df").alias("cost"))
-        .unionByName(
-            _starts(words, prefixes).groupBy("word").agg(F.sum("df").alias("cost")).withColumn("is_prefix", F.lit(True))
-        )
-    )
-    drivers = (
-        slots.join(costs, ["word", "is_prefix"], "left")
-        .groupBy("qid", "needs")
-        .agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "word", "is_prefix")).alias("best"))
-        .select("qid", "needs", "best.word", "best.is_prefix")
-    )
-    held = (
-        index.withColumnRenamed("term", "word").join(finished.select("word").distinct(), "word", "left_semi")
-        .select("word", F.lit(False).alias("is_prefix"), "id")
-        .unionByName(_starts(index, prefixes).select("word", F.lit(True).alias("is_prefix"), "id").distinct())
-    )
-    candidates = drivers.join(held, ["word", "is_prefix"])
-    alone = candidates.where(F.col("needs") == 1).select("qid", "id")
-    rest = (
-        candidates.where(F.col("needs") > 1).withColumnsRenamed({"word": "driver", "is_prefix": "driver_is_prefix"})
-        .join(slots.drop("needs"), "qid")
-        .where(~((F.col("word") == F.col("driver")) & (F.col("is_prefix") == F.col("driver_is_prefix"))))
-        .join(held, ["word", "is_prefix", "id"])
-        .groupBy("qid", "id", "needs")
-        .agg(F.count("*").alias("others"))
-        .where(F.col("others") == F.col("needs") - 1)
-        .select("qid", "id")
-    )
-    return alone.unionByName(rest)
+    wanted = _wanted(planned.where(~F.col("scan_only")))
+    return _matches(wanted.where(F.size("wanted") > 0), index, words)
 
 
 def _needle() -> Column:
     return F.lower(F.trim("text"))
 
 
+def _labelled(meta: Column, body: Column, needle: Column) -> Column:
+    return F.when(F.contains(meta, needle), "meta").when(F.contains(body, needle), "body")
+
+
+def substring_matches(queries: DataFrame, articles: DataFrame, body: Column, pieces: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """`(qid, id, where_found, added_at)` of literal needles, found through the index of pieces.
+
+    Articles that hold all pieces of a needle are candidates; these are read, and compared
+    with that needle alone. Needles of one or two letters have no piece and are scanned for.
+    `pieces` is what `piece_postings` gives for these articles and this body, `words` its
+    vocabulary.
+    """
+    wanted = queries.select("qid", _needle().alias("needle"), pieces_of(F.trim("text")).alias("wanted"))
+    matched = _matches(wanted.where(F.size("wanted") > 0).select("qid", "wanted"), pieces, words)
+    text = articles.select("id", "added_at", metadata().alias("meta"), F.lower(body).alias("body"))
+    candidates = matched.join(wanted.select("qid", "needle"), "qid").join(text, "id")
+    found = candidates.select("qid", "id", _labelled(F.col("meta"), F.col("body"), F.col("needle")).alias("where_found"), "added_at")
+    short = queries.where(F.length(_needle()) < 3)
+    return found.where(F.col("where_found").isNotNull()).unionByName(scan_matches(short, articles, body))
+
+
 def scan_matches(queries: DataFrame, articles: DataFrame, body: Column, per_pass: int = 2000) -> DataFrame:
     """`(qid, id, where_found, added_at)` by reading every article once for up to `per_pass` needles.
 
-    Needles are literals found anywhere, metadata before body. They travel as one row, so a
-    larger batch takes further passes; articles are never paired with queries that miss.
+    For articles or needles without an index. Needles are literals found anywhere, metadata
+    before body. Equal needles are looked for once. They travel as one row, so a larger batch
+    takes further passes; articles are never paired with queries that miss.
     """
-    wanted = queries.select("qid", _needle().alias("needle"))
+    asked = queries.select("qid", _needle().alias("needle"))
+    wanted = asked.select("needle").distinct()
     passes = max(1, -(-wanted.count() // per_pass))
     text = articles.select("id", "added_at", metadata().alias("meta"), F.lower(body).alias("body"))
     found = None
     for number in range(passes):
-        group = wanted.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == number)
-        needles = group.agg(F.collect_list(F.struct("qid", "needle")).alias("needles"))
-        hits = text.join(F.broadcast(needles)).select(
-            "id",
-            "added_at",
-            F.inline(
-                F.filter(
-                    F.transform(
-                        "needles",
-                        lambda n: F.struct(
-                            n["qid"].alias("qid"),
-                            F.when(F.contains(F.col("meta"), n["needle"]), "meta")
-                            .when(F.contains(F.col("body"), n["needle"]), "body")
-                            .alias("where_found"),
-                        ),
-                    ),
-                    lambda h: h["where_found"].isNotNull(),
-                )
-            ),
-        )
+        group = wanted.where(F.pmod(F.xxhash64("needle"), F.lit(passes)) == number)
+        needles = group.agg(F.collect_list("needle").alias("needles"))
+        each = F.transform("needles", lambda n: F.struct(n.alias("needle"), _labelled(F.col("meta"), F.col("body"), n).alias("where_found")))
+        hits = text.join(F.broadcast(needles)).select("id", "added_at", F.inline(F.filter(each, lambda h: h["where_found"].isNotNull())))
         found = hits if found is None else found.unionByName(hits)
-    return found.select("qid", "id", "where_found", "added_at")
+    return found.join(asked, "needle").select("qid", "id", "where_found", "added_at")
 
 
 def where_found(meta: Column, text: Column, terms: Column) -> Column:
@@ -229,6 +308,10 @@ def where_found(meta: Column, text: Column, terms: Column) -> Column:
     return F.when(whole | every, "meta").otherwise("body")
 
 
+#: Articles without postings that are sent to every task of a search; more of them are joined.
+BROADCAST_UNSEEN = 100_000
+
+
 def search(
     queries: DataFrame,
     articles: DataFrame,
@@ -242,14 +325,16 @@ def search(
 
     Words go through the index. What no index can answer (a lone letter, punctuation) and
     articles the index has not seen are scanned; an empty query is the whole live library.
-    `words` and `known` are the stored vocabulary and article ids of the index. Branches
-    nothing asks for are left out of the plan.
+    `words` and `known` are the stored vocabulary and article ids of the index. One job
+    counts what is to be scanned; branches nothing asks for are left out of the plan.
     """
     planned = plan_queries(queries)
     live = articles.where(~F.col("deleted"))
     body = F.col(html) if raw_scan else text_of(F.col(html))
     asked = planned.where(F.trim("text") != "")
-    scans, empties = planned.select(F.count_if("scan_only"), F.count_if(F.trim("text") == "")).first()
+    missing = live.select("id").join(indexed_ids(index) if known is None else known, "id", "left_anti")
+    counts = planned.select(F.count_if("scan_only").alias("scans"), F.count_if(F.trim("text") == "").alias("empties"))
+    scans, empties, unseen = counts.join(missing.agg(F.count("*").alias("unseen"))).first()
 
     matched = index_matches(planned, index, words).join(planned.select("qid", "text", "terms"), "qid")
     hits = matched.join(live.select("id", "added_at", metadata().alias("meta")), "id").select(
@@ -257,10 +342,9 @@ def search(
     )
     if scans:
         hits = hits.unionByName(scan_matches(planned.where("scan_only"), live, body))
-    ids = indexed_ids(index) if known is None else known
-    unseen = live.join(ids, "id", "left_anti")
-    if not live.select("id").join(ids, "id", "left_anti").isEmpty():
-        hits = hits.unionByName(scan_matches(asked.where(~F.col("scan_only")), unseen, body))
+    if unseen:
+        only = F.broadcast(missing) if unseen <= BROADCAST_UNSEEN else missing
+        hits = hits.unionByName(scan_matches(asked.where(~F.col("scan_only")), live.join(only, "id", "left_semi"), body))
     if empties:
         qids = planned.where(F.trim("text") == "").agg(F.collect_list("qid").alias("qids"))
         everything = live.select("id", "added_at").join(F.broadcast(qids))

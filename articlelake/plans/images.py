@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from articlelake.functions.urls import content_key
 from articlelake.operators import images as I
-from articlelake.operators.blocks import blocks, cut_page
+from articlelake.operators.blocks import blocks, cut_page, pieces_of
 from articlelake.operators.projection import with_settled
 from articlelake.plans import sqltext as Q
 from articlelake.plans.registry import query
+from articlelake.session import shared_folder
 from articlelake.sources import tables as T
 
 # Documents whose words became pictures: one per word, repeated words repeat, every seventh is inline data.
@@ -107,18 +108,64 @@ def storage_plan(spark, folder):
     return _decided(spark, folder)
 
 
+# Articles one after the other: each step has what the articles before it stored.
+_FIT = "b.n = 0 AND b.bytes > 0 AND b.bytes <= 2097152 AND b.bytes <= a.bytes AND NOT list_contains(w.have, b.part) AND NOT list_contains(a.took, b.part)"
+BACKLOG = f"""WITH RECURSIVE {EDGES}, missing AS (SELECT DISTINCT id FROM edges WHERE key NOT IN (SELECT key FROM store)),
+  priced AS (
+    SELECT e.*, CAST(regexp_extract(e.url, '([0-9]+)', 1) AS INTEGER) AS part, s.bytes, t.url IS NOT NULL AS stored
+    FROM edges e LEFT JOIN sizes s ON s.url = e.url LEFT JOIN store t ON t.url = e.url WHERE id IN (SELECT id FROM missing)),
+  lists AS (
+    SELECT id, row_number() OVER (ORDER BY id) AS n, list(struct_pack(n := CASE WHEN stored THEN 1 ELSE 0 END, part := part, bytes := coalesce(bytes, 0), took := []::INTEGER[]) ORDER BY pos) AS picks
+    FROM priced GROUP BY id),
+  walk AS (
+    SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, []::INTEGER[] AS have, []::INTEGER[] AS took
+    UNION ALL
+    SELECT r.n, r.id, list_concat(r.have, r.took), r.took FROM (
+      SELECT l.n, l.id, w.have, list_reduce(list_prepend(struct_pack(n := 0, part := 0, bytes := CAST(4194304 AS BIGINT), took := []::INTEGER[]), l.picks),
+        lambda a, b: CASE WHEN {_FIT} THEN struct_pack(n := 0, part := 0, bytes := a.bytes - b.bytes, took := list_append(a.took, b.part)) ELSE a END).took AS took
+      FROM walk w JOIN lists l ON l.n = w.n + 1) r),
+  owners AS (SELECT id AS owner, unnest(took) AS part FROM walk),
+  planned AS (
+    SELECT p.id, p.pos, p.url, p.key, p.bytes, CASE WHEN p.stored OR o.owner < p.id THEN 'reused' WHEN o.owner = p.id THEN 'stored' ELSE 'skipped' END AS decision
+    FROM priced p LEFT JOIN owners o ON o.part = p.part)"""
+
+
+def _backlog(spark, folder):
+    edges, stored = _edges(spark, folder), _stored(spark, folder)
+    kept = edges.join(stored.select("key"), "key", "left_semi")
+    backlog = edges.join(I.articles_missing_images(edges, kept), "id", "left_semi")
+    return I.plan_backlog(backlog, _sizes(spark, folder), stored)
+
+
+@query("IMG-05 IMG-04", f"{BACKLOG} SELECT * FROM planned")
+def backlog_plan(spark, folder):
+    return _backlog(spark, folder)
+
+
 @query(
     "AGG-15 IMG-05",
-    f"""{DECIDED}, missing AS (SELECT DISTINCT id FROM edges WHERE key NOT IN (SELECT key FROM store))
-    SELECT CAST(count_if(decision = 'stored') AS BIGINT) AS stored, CAST(count_if(decision = 'reused') AS BIGINT) AS reused,
-      CAST(count_if(decision = 'skipped') AS BIGINT) AS skipped, CAST(coalesce(sum(bytes) FILTER (WHERE decision = 'stored'), 0) AS BIGINT) AS bytes
-    FROM decided WHERE id IN (SELECT id FROM missing)""",
+    f"""{BACKLOG} SELECT CAST(count_if(decision = 'stored') AS BIGINT) AS stored, CAST(count_if(decision = 'reused') AS BIGINT) AS reused,
+      CAST(count_if(decision = 'skipped') AS BIGINT) AS skipped, CAST(coalesce(sum(bytes) FILTER (WHERE decision = 'stored'), 0) AS BIGINT) AS bytes FROM planned""",
 )
 def backlog_totals(spark, folder):
-    edges, stored = _edges(spark, folder), _stored(spark, folder)
+    return I.storage_totals(_backlog(spark, folder))
+
+
+@query(
+    "IMG-05 AGG-15 STR-04",
+    f"""{BACKLOG} SELECT count(DISTINCT id) AS articles, CAST(count_if(decision = 'stored') AS BIGINT) AS stored, CAST(count_if(decision = 'reused') AS BIGINT) AS reused,
+      CAST(count_if(decision = 'skipped') AS BIGINT) AS skipped, CAST(coalesce(sum(bytes) FILTER (WHERE decision = 'stored'), 0) AS BIGINT) AS bytes, 4 AS parts, 2 AS parts_of_the_first_run FROM planned""",
+)
+def backlog_progress(spark, folder):
+    """Stopped after two parts of four and resumed."""
+    edges, stored, path = _edges(spark, folder), _stored(spark, folder), shared_folder(spark, "backlog")
     kept = edges.join(stored.select("key"), "key", "left_semi")
     backlog = edges.join(I.articles_missing_images(edges, kept), "id", "left_semi")
-    return I.storage_totals(I.plan_storage(backlog, _sizes(spark, folder), stored))
+    asked = iter([False, False, True])
+    first = I.run_backlog(backlog, _sizes(spark, folder), stored, path, parts=4, stop=lambda: next(asked)).count()
+    progress = I.run_backlog(backlog, _sizes(spark, folder), stored, path, parts=4)
+    sums = [F.sum(n).alias(n) for n in ("articles", "stored", "reused", "skipped", "bytes")]
+    return progress.agg(*sums, F.count("*").alias("parts")).withColumn("parts_of_the_first_run", F.lit(first))
 
 
 @query("SNK-07 AGG-17", f"{DECIDED} SELECT key, min(url) AS url, max(bytes) AS bytes, {Q.NOW} AS saved_at FROM decided WHERE decision = 'stored' GROUP BY key")
@@ -200,5 +247,5 @@ def image_captions(spark, folder):
     clean = lambda l: F.trim(F.regexp_replace(F.replace(F.replace(l, F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" ")), r"\s+", " "))
     part = lambda l: F.concat(F.lit('<div><img src="https://img.example.com/a.jpg"></div><p>Photo: '), clean(l), F.lit("</p><p>A sentence that is no credit.</p>"))
     html = F.array_join(F.transform(F.split("text", "\n"), part), "")
-    rows = T.spread(T.table(spark, folder, "documents")).select(F.col("doc_id").alias("id"), blocks(cut_page(html)).alias("content"))
+    rows = T.spread(T.table(spark, folder, "documents")).select(F.col("doc_id").alias("id"), blocks(pieces_of(cut_page(html))).alias("content"))
     return I.captions(rows)

@@ -36,7 +36,7 @@ def _stored(spark, articles):
     path = shared_folder(spark, "index")
     S.write_index(S.postings(articles), f"{path}/postings")
     index = S.read_index(spark, f"{path}/postings")
-    S.vocabulary(index).write.parquet(f"{path}/words")
+    S.write_vocabulary(S.vocabulary(index), f"{path}/words")
     S.indexed_ids(index).write.parquet(f"{path}/known")
     return index, spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/known")
 
@@ -131,14 +131,14 @@ def search_indexed(spark, folder):
     return S.newest_first(S.search(T.query_texts(spark, folder), library, *_stored(spark, library)))
 
 
-# Scan queries: the middle of a benchmark item's second word, one letter, one mark, and nothing.
-_SCANS = f"""scans AS (SELECT item_id AS qid, substring(w[2], 2, 3) AS text FROM items WHERE len(w) >= 2
+# Scan queries: the middle of every second word of a benchmark item, one letter, one mark, and two words' ends.
+_SCANS = f"""scans AS (SELECT item_id * 100000 + i AS qid, substring(w[i], 2, 3) AS text FROM (SELECT item_id, w, unnest(range(2, len(w) + 1, 2)) AS i FROM items)
   UNION ALL SELECT -1, 'q' UNION ALL SELECT -2, ' % ' UNION ALL SELECT -3, 'Oi,')"""
 
 
 def _scan_queries(spark, folder):
-    words = X.tokenize(F.col("text"))
-    items = T.table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.substring(words[1], 2, 3).alias("text")).where(F.col("text").isNotNull())
+    words = T.table(spark, folder, "benchmark").select("item_id", F.posexplode(X.tokenize(F.col("text"))).alias("i", "word")).where("i % 2 = 1")
+    items = words.select((F.col("item_id") * T.QUERIES_PER_ITEM + F.col("i") + 1).alias("qid"), F.substring("word", 2, 3).alias("text"))
     extra = spark.createDataFrame([(-1, "q"), (-2, " % "), (-3, "Oi,")], "qid bigint, text string")
     return items.unionByName(extra)
 
@@ -150,7 +150,11 @@ def _scan_queries(spark, folder):
 )
 def substring_scan(spark, folder):
     live = T.articles(spark, folder).where(~F.col("deleted"))
-    return S.scan_matches(_scan_queries(spark, folder), live, F.col("content_html")).drop("added_at")
+    body, path = F.col("content_html"), shared_folder(spark, "pieces")
+    S.write_index(S.piece_postings(live, body), f"{path}/postings")
+    pieces = S.read_index(spark, f"{path}/postings")
+    S.write_vocabulary(S.vocabulary(pieces), f"{path}/words")
+    return S.substring_matches(_scan_queries(spark, folder), live, body, pieces, spark.read.parquet(f"{path}/words")).drop("added_at")
 
 
 @query(

@@ -99,9 +99,9 @@ POSTINGS = f"postings AS (SELECT unnest({TERMS}) AS term, id FROM articles)"
 QUERIES = f"""items AS (
   SELECT item_id, regexp_extract_all(lower(text), {re(P.TERM)}) AS w FROM benchmark
 ), queries AS (
-  SELECT item_id * 2 AS qid, w[1] || ' ' || w[2] || ' ' AS text FROM items WHERE len(w) >= 2
-  UNION ALL
-  SELECT item_id * 2 + 1, w[3] || ' ' || substring(w[4], 1, 3) FROM items WHERE len(w) >= 4
+  SELECT item_id * 100000 + i AS qid,
+    CASE WHEN i % 4 = 2 THEN w[i + 1] || ' ' || substring(w[i + 2], 1, 3) ELSE w[i + 1] || ' ' || w[i + 2] || ' ' END AS text
+  FROM (SELECT item_id, w, unnest(range(0, len(w) - 1, 2)) AS i FROM items)
 ), tokens AS (
   SELECT qid, text, regexp_extract_all(lower(text), {re(P.TERM)}) AS tk, regexp_matches(text, {re(P.UNFINISHED)}) AS typing FROM queries
 ), planned AS (
@@ -131,14 +131,14 @@ def _block_list(source: str, column: str, name: str) -> str:
   FROM {name}_named
 ), {name} AS (
   SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS BIGINT) AS pos, tag, inner_html, text,
-    {words('text')} AS n_words, n_links, link_chars, has_media
+    {words('text')} AS n_words, n_links, link_chars, has_media, i AS piece
   FROM {name}_read WHERE text <> '' OR has_media OR tag IN ('p', 'li') OR contains(tag, '-')
 )"""
 
 
 CUT = f"""cut AS (
   SELECT CAST(page_id AS VARCHAR) AS page_id, url, html,
-    regexp_replace(regexp_replace(html, {re(P.NOT_CONTENT)}, ' ', 'g'), {re(P.BLOCK_TAG)}, chr(1) || '\\1' || chr(2), 'g') AS cut
+    regexp_replace(regexp_replace(html, {re(P.NOT_CONTENT)}, ' ', 'g'), {re(P.BLOCK_TAG)}, chr(1) || '\\1' || chr(2) || '\\0', 'g') AS cut
   FROM pages
 )"""
 PAGE_BLOCKS = f"{CUT}, {_block_list('cut', 'cut', 'page_blocks')}"
@@ -177,10 +177,15 @@ CONTENT = f"""{CUT}, chunks AS (
 )"""
 
 _attr_title = plain_text("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title', 1)")
-_element = f"""CASE WHEN tag IN ('text', {_CHROME[1:-1]}) THEN '<div>' || trim(inner_html) || '</div>'
-    ELSE '<' || tag || '>' || trim(inner_html) || '</' || tag || '>' END"""
-PARSED = f"""{CONTENT}, assembled AS (
-  SELECT page_id, string_agg(text, ' ' ORDER BY pos) AS text, string_agg({_element}, chr(10) ORDER BY pos) AS content_html,
+# The given pages write <p><b>…<br> without an end, and nothing deeper; so the article's markup is what stands
+# between the first and the last block, with those ends filled in.
+_REGION = f"""bounds AS (SELECT page_id, min(piece) AS first, max(piece) AS last FROM trimmed GROUP BY page_id),
+  region AS (
+    SELECT p.page_id, regexp_replace(string_agg(regexp_replace(b, {re(P.MARK)}, '', 'g'), '' ORDER BY i), '<b>([^<]*)<br>(<p>|$)', '<b>\\1<br></b></p>\\2', 'g') AS r
+    FROM inside_pieces p JOIN bounds ON bounds.page_id = p.page_id AND i BETWEEN first AND last GROUP BY p.page_id),
+  stored_html AS (SELECT page_id, r || CASE WHEN regexp_matches(r, '<p>[^<]*$') THEN '</p>' WHEN regexp_matches(r, '<h1>[^<]*$') THEN '</h1>' ELSE '' END AS content_html FROM region)"""
+PARSED = f"""{CONTENT}, {_REGION}, assembled AS (
+  SELECT page_id, string_agg(text, ' ' ORDER BY pos) AS text,
     count(*) AS blocks, arg_min(tag, pos) AS first_tag, arg_min(text, pos) AS first_text, arg_max(tag, pos) AS last_tag,
     arg_max(text, pos) AS last_text, arg_min({LINK_LIST}, pos) AS first_list, arg_max({LINK_LIST}, pos) AS last_list,
     CAST(count_if(tag = 'p') AS BIGINT) AS paragraphs, CAST(count_if(tag = 'p' AND text = '' AND NOT has_media) AS BIGINT) AS empty_paragraphs,
@@ -197,5 +202,5 @@ PARSED = f"""{CONTENT}, assembled AS (
     coalesce(content_html, '') AS content_html, coalesce({words('text')}, 0) AS word_count,
     nullif(regexp_extract(html, '(?is)<html\\b[^>]*\\slang\\s*=\\s*"([^"]*)"', 1), '') AS lang,
     url AS canonical_url, coalesce(text, '') AS text, coalesce(blocks, 0) AS blocks, * EXCLUDE (page_id, url, html, text, content_html, blocks, cut)
-  FROM cut LEFT JOIN assembled ON assembled.page_id = cut.page_id
+  FROM cut LEFT JOIN assembled ON assembled.page_id = cut.page_id LEFT JOIN stored_html ON stored_html.page_id = cut.page_id
 )"""

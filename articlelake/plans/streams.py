@@ -18,46 +18,89 @@ def _progress(events):
     )
 
 
-_SESSIONS = """WITH e AS (SELECT user_id AS id, event_id, ts, least(1.0::DOUBLE, round(value / 100, 4)) AS progress FROM events),
+# Events arrive in five parts by their time; one in 97 comes two parts later than the others of its time.
+PARTS = 5
+_ARRIVALS = f"""span AS (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM events),
+  arrivals AS (SELECT events.*, least({PARTS - 1}, ({PARTS} * (epoch_us(ts) - low)) // (high - low + 1) + CASE WHEN event_id % 97 = 0 THEN 2 ELSE 0 END) AS part FROM events, span)"""
+
+
+def _arrivals(spark, folder):
+    events = T.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    span = events.agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    slot = F.expr(f"({PARTS} * (unix_micros(ts) - low)) div (high - low + 1)")
+    late = F.when(F.col("event_id") % 97 == 0, 2).otherwise(0)
+    return events.join(F.broadcast(span)).withColumn("part", F.least(F.lit(PARTS - 1), slot + late)).drop("low", "high")
+
+
+def _in_parts(spark, folder, path, run):
+    """Hand over one part after the other; each time the stream starts again from its checkpoint."""
+    arrivals = _arrivals(spark, folder)
+    schema = arrivals.drop("part").schema
+    for part in range(PARTS):
+        arrivals.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{path}/in")
+        run(spark.readStream.schema(schema).parquet(f"{path}/in"), f"{path}/checkpoint")
+
+
+def _sessions(source):
+    return f"""e AS (SELECT user_id AS id, event_id, ts, least(1.0::DOUBLE, round(value / 100, 4)) AS progress FROM {source}),
   m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY id ORDER BY ts, event_id)),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY ts, event_id) AS n FROM m),
-  settled AS (SELECT id, n, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS settled, arg_max(progress, event_id) AS progress, count(*) AS writes FROM s GROUP BY id, n)"""
+  settled AS (SELECT id, n, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS settled,
+    arg_max(progress, (ts, event_id)) AS progress, count(*) AS writes FROM s GROUP BY id, n)"""
+
+
+# Behind the clock that the part before left: two hours before the newest event until then.
+_CLOCKED = f"""{_ARRIVALS}, clock AS (SELECT part + 1 AS part, max(max(ts)) OVER (ORDER BY part) - INTERVAL 2 HOUR AS at FROM arrivals GROUP BY part),
+  judged AS (SELECT a.*, coalesce(a.ts < c.at, false) AS late FROM arrivals a LEFT JOIN clock c ON c.part = a.part),
+  on_time AS (SELECT * FROM judged WHERE NOT late)"""
 
 
 def _micros(df):
     return df.withColumns({"started": F.unix_micros("started"), "settled": F.unix_micros("settled")})
 
 
-@query("STR-02", f"{_SESSIONS} SELECT id, started, settled, progress, writes FROM settled")
+@query("STR-02", f"WITH {_sessions('events')} SELECT id, started, settled, progress, writes FROM settled")
 def settled_progress(spark, folder):
-    return _micros(R.settled_progress(_progress(T.table(spark, folder, "events")), "30 minutes", late="0 seconds"))
+    return _micros(R.settled_progress(_progress(T.table(spark, folder, "events")), "30 minutes"))
 
 
-@query("STR-02", f"{_SESSIONS} SELECT id, started, settled, progress, writes FROM settled WHERE settled <= (SELECT epoch_us(max(ts)) FROM events)")
-def settled_progress_stream(spark, folder):
+def _settle(spark, folder):
     path = shared_folder(spark, "settled")
-    stream = R.settled_progress(_progress(R.table_stream(spark, folder, "events")), "30 minutes", late="0 seconds")
-    R.run_available(stream, f"{path}/checkpoint", path=f"{path}/out")
-    return _micros(spark.read.parquet(f"{path}/out"))
+    write = R.settle_batches(f"{path}/out", quiet="30 minutes", late="2 hours")
+    _in_parts(spark, folder, path, lambda stream, checkpoint: R.run_available(_progress(stream), checkpoint, write=write))
+    return f"{path}/out"
+
+
+@query("STR-02 STR-05", f"WITH {_CLOCKED}, {_sessions('on_time')} SELECT id, started, settled, progress, writes FROM settled WHERE settled <= (SELECT epoch_us(max(ts) - INTERVAL 2 HOUR) FROM events)")
+def settled_progress_stream(spark, folder):
+    return _micros(spark.read.parquet(f"{_settle(spark, folder)}/settled").drop("batch"))
+
+
+@query("STR-06", f"WITH {_CLOCKED} SELECT user_id AS id, event_id AS seq, part AS batch FROM judged WHERE late")
+def late_progress_stream(spark, folder):
+    return spark.read.parquet(f"{_settle(spark, folder)}/late").select("id", "seq", "batch")
 
 
 @query(
     "STR-01",
     f"""{Q.WITH_ARTICLES}, shared AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'http://10.0.0.1/' || user_id WHEN event_id % 5 = 1 THEN NULL
         ELSE 'https://www.src' || (user_id % 20) || '.example.com/article/' || (user_id * (1 + event_id % 3 * 40)) END AS url FROM events)
-    SELECT DISTINCT url FROM shared WHERE url LIKE 'https:%' AND url NOT IN (SELECT url FROM live)""",
+    SELECT DISTINCT url AS key FROM shared WHERE url LIKE 'https:%' AND url NOT IN (SELECT url FROM live)""",
 )
 def link_intake_stream(spark, folder):
     e, u = F.col("event_id"), F.col("user_id")
-    address = F.concat(F.lit("https://www.src"), (u % 20).cast("string"), F.lit(".example.com/article/"), (u * (1 + e % 3 * 40)).cast("string"))
+    # The same address in different spellings, and the same links again in every part.
+    site = F.when(e % 4 == 0, "https://WWW.src").when(e % 4 == 1, "HTTPS://www.src").otherwise("https://www.src")
+    address = F.concat(site, (u % 20).cast("string"), F.lit(".example.com/article/"), (u * (1 + e % 3 * 40)).cast("string"), F.when(e % 7 == 0, "#top").otherwise(""))
     text = F.when(e % 5 == 0, F.concat(F.lit("look http://10.0.0.1/"), u.cast("string"))).when(e % 5 == 1, "no link").otherwise(
         F.concat(F.lit("read "), address, F.lit(" please"))
     )
-    shared = R.table_stream(spark, folder, "events").select(text.alias("text"), F.col("ts").cast("timestamp").alias("ts"))
     path = shared_folder(spark, "intake")
     library = T.articles(spark, folder).select("url", "canonical_url", "deleted")
-    R.run_available(R.intake(shared, late="40 days"), f"{path}/checkpoint", write=R.save_new_links(f"{path}/out", lambda: library))
-    return spark.read.parquet(f"{path}/out").select("url")
+    write = R.save_new_links(f"{path}/out", lambda: library)
+    _in_parts(spark, folder, path, lambda stream, checkpoint: R.run_available(R.intake(stream.select(text.alias("text"), "ts")), checkpoint, write=write))
+    return spark.read.parquet(f"{path}/out").select("key")
 
 
 @query("STR-03 SRCH-09 STR-04", f"SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all(lower(text), {Q.re(Q.P.TERM)})) AS term FROM documents")
@@ -77,12 +120,10 @@ def incremental_index_stream(spark, folder):
 @query("STR-05 SPK-08", "SELECT user_id AS id, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def latest_value_stream(spark, folder):
     path = shared_folder(spark, "latest")
-    stream = R.table_stream(spark, folder, "events").select(
-        F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "value"
-    )
+    rows = lambda stream: stream.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "ts", "value")
     # Each batch writes the rows it changed; the last batch of a key holds its latest value.
-    write = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/part={number}")
-    R.run_available(R.latest_per_key(stream, "value"), f"{path}/checkpoint", write=write, mode="update")
+    write = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/part={number}")
+    _in_parts(spark, folder, path, lambda stream, checkpoint: R.run_available(R.latest_per_key(rows(stream), "value"), checkpoint, write=write, mode="update"))
     return spark.read.parquet(f"{path}/out").groupBy("id").agg(F.max_by("value", "batch").alias("value"))
 
 

@@ -71,13 +71,20 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     ).select(*ARTICLE_COLUMNS)
 
 
+#: Query numbers per benchmark item: more than an item has words.
+QUERIES_PER_ITEM = 100_000
+
+
 def query_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """The query batch `(qid, text)`: per benchmark item one finished query and one still being typed."""
+    """The query batch `(qid, text)`: of every four words of a benchmark item, two as a finished
+    query and two as one still being typed."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(P.TERM), F.lit(0))
-    items = table(spark, folder, "benchmark").select("item_id", words.alias("w"))
-    finished = items.select((F.col("item_id") * 2).alias("qid"), F.concat(F.col("w")[0], F.lit(" "), F.col("w")[1], F.lit(" ")).alias("text"))
-    typed = items.select((F.col("item_id") * 2 + 1).alias("qid"), F.concat(F.col("w")[2], F.lit(" "), F.substring(F.col("w")[3], 1, 3)).alias("text"))
-    return finished.unionByName(typed).where(F.col("text").isNotNull())
+    items = table(spark, folder, "benchmark").select("item_id", F.split(F.array_join(words, " "), " ").alias("w"), F.size(words).alias("n"))
+    starts = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("n") - 2, F.lit(2)))
+    pairs = items.select("item_id", "w", F.explode(starts).alias("i"))
+    first, second, typed = F.get("w", F.col("i")), F.get("w", F.col("i") + 1), F.col("i") % 4 == 2
+    text = F.when(typed, F.concat(first, F.lit(" "), F.substring(second, 1, 3))).otherwise(F.concat(first, F.lit(" "), second, F.lit(" ")))
+    return pairs.select((F.col("item_id") * QUERIES_PER_ITEM + F.col("i")).alias("qid"), text.alias("text"))
 
 
 def synthetic_library(spark: SparkSession, count: int, words: int = 900, rare: str = "zyzzyva") -> DataFrame:

@@ -33,7 +33,7 @@ def main():
     library = spark.read.parquet(f"{root}/articles")
     S.write_index(S.postings(library), f"{root}/index")
     index = S.read_index(spark, f"{root}/index")
-    S.vocabulary(index).write.parquet(f"{root}/words")
+    S.write_vocabulary(S.vocabulary(index), f"{root}/words")
     S.indexed_ids(index).write.parquet(f"{root}/known")
     words, known = spark.read.parquet(f"{root}/words"), spark.read.parquet(f"{root}/known")
     queries = T.query_texts(spark, FOLDER)

@@ -118,6 +118,32 @@ def test_image_budget_vector_and_brute_force(spark):
         assert got.get(article, []) == [(f"{k}", d) for k, d in zip(picks, expected)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_backlog_against_one_pass_in_order(spark, seed):
+    """Pictures shared by many articles, budgets that hardly suffice: the rounds end at the sequential answer."""
+    dice = random.Random(seed)
+    shown = {n: list(dict.fromkeys(dice.choice([dice.randrange(6), dice.randrange(60)]) for _ in range(dice.randrange(1, 12)))) for n in range(80)}
+    weight = {k: dice.choice([None, 0, 2, 3, 5, 8, 13]) for k in range(60)}
+    have = {k for k in range(60) if dice.random() < 0.1}
+    rows = [(n, i, f"u{k}", f"{k}") for n, ks in shown.items() for i, k in enumerate(ks)]
+    edges = spark.createDataFrame(rows, "id bigint, pos int, url string, key string").repartition(3)
+    sizes = spark.createDataFrame([(f"{k}", w) for k, w in weight.items()], "key string, bytes bigint")
+    stored = spark.createDataFrame([(f"{k}",) for k in have], "key string")
+    plan = I.plan_backlog(edges, sizes, stored, per_image=10, per_article=12)
+    got = {(r["id"], r["pos"]): r["decision"] for r in plan.collect()}
+    want, owned = {}, set(have)
+    for n in sorted(shown):
+        for i, (k, d) in enumerate(zip(shown[n], greedy([(k, weight[k]) for k in shown[n]], set(owned), 10, 12))):
+            want[n, i] = d
+        owned |= {k for i, k in enumerate(shown[n]) if want[n, i] == "stored"}
+    assert got == want
+    # stopped behind article 40 and resumed with its pictures, the whole is the same
+    first = I.plan_backlog(edges.where("id <= 40"), sizes, stored, per_image=10, per_article=12)
+    rest = I.plan_backlog(I.resume_backlog(edges, first), sizes, stored.unionByName(first.where("decision = 'stored'").select("key")), per_image=10, per_article=12)
+    assert {(r["id"], r["pos"]): r["decision"] for r in first.unionByName(rest).collect()} == want
+    assert I.plan_backlog(edges.where("id < 0"), sizes, stored).count() == 0
+
+
 def test_picking_and_marking(spark):
     many = "".join(f"<img src='https://i.test/{n}.png'>" for n in range(301))
     html = "<img src='https://i.test/0.png'><img src=\"data:image/png;x\"><img alt='none'>" + many
@@ -144,6 +170,12 @@ def test_upper_median(spark, values, expected):
     assert upper_median(rows, "x").first()[0] == expected
 
 
+def test_upper_median_of_any_span(spark):
+    values = [-(2**63), -5, 2**50 + 1, 2**50 + 3, 2**63 - 1]
+    for k in range(1, 6):
+        assert upper_median(spark.createDataFrame([(v,) for v in values[:k]], "x bigint"), "x").first()[0] == values[k // 2]
+
+
 def test_upper_median_brute_force(spark):
     dice = random.Random(3)
     for size in (10, 101, 500):
@@ -181,9 +213,8 @@ def test_search_against_brute_force(spark):
     got = {}
     for r in S.search(queries, rows, index).collect():
         got.setdefault(r["qid"], set()).add(r["id"])
-    slots = S._slots(S.plan_queries(queries).where("not scan_only"))
     other = {}
-    for r in S._rarest_first(slots, index, S.vocabulary(index)).collect():
+    for r in S.index_matches(S.plan_queries(queries), index, S.vocabulary(index)).collect():
         other.setdefault(r["qid"], set()).add(r["id"])
     for q, text in enumerate(asked):
         expected = brute_force_search(texts, text)
@@ -213,6 +244,65 @@ def test_index_segments(spark, tmp_path):
     assert {(r["id"], r["term"]) for r in S.read_index(spark, str(tmp_path / "whole")).collect()} == terms
 
 
+def folders_read(df):
+    """Folders and rows that each scan of an index read."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            if node.nodeName().startswith("Scan parquet") and node.metrics().contains("numPartitions"):
+                found.append((node.metrics().apply("numPartitions").value(), node.metrics().apply("numOutputRows").value()))
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+def test_a_query_reads_the_folders_of_its_words(spark, tmp_path):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = library(spark, *({"id": f"{n}", "content_html": " ".join(f"{letters[n % 26]}{c}word{n % 7}" for c in letters)} for n in range(52)))
+    S.write_index(S.postings(rows), str(tmp_path / "index"))
+    index = S.read_index(spark, str(tmp_path / "index"))
+    S.write_vocabulary(S.vocabulary(index), str(tmp_path / "words"))
+    words, total = spark.read.parquet(str(tmp_path / "words")), index.count()
+    asked = S.plan_queries(spark.createDataFrame([(1, "abword0 acword0 adw")], "qid int, text string"))
+    matches = S.index_matches(asked, index, words)
+    assert {(r["qid"], r["id"]) for r in matches.collect()} == {(1, "0")}
+    scans = folders_read(matches)
+    assert scans and all(0 < parts <= 3 for parts, _ in scans)
+    assert sum(n for _, n in scans) < total / 2
+    assert folders_read(S.ids_for_term(index, "abword0"))[0][0] == 1 and folders_read(S.ids_for_prefix(index, "abw"))[0][0] == 1
+    assert S.ids_for_prefix(index, "a").count() == 26 // 13  # one letter: no folder is known, all are read
+
+
+def test_index_with_other_folders(spark, tmp_path):
+    rows = library(spark, {"id": "1", "content_html": "alpha beta"}, {"id": "2", "content_html": "alpine"})
+    S.write_index(S.postings(rows), str(tmp_path / "index"), parts=3)
+    index = S.read_index(spark, str(tmp_path / "index"))
+    assert index.schema["term"].metadata == {"parts": 3} and index.select("part").distinct().count() <= 3
+    asked = spark.createDataFrame([(1, "alp"), (2, "alpha be"), (3, "alpine ")], "qid int, text string")
+    got = {(r["qid"], r["id"]) for r in S.search(asked, rows, index).collect()}
+    assert got == {(1, "1"), (1, "2"), (2, "1"), (3, "2")}
+
+
+def test_substrings_through_pieces(spark, tmp_path):
+    dice = random.Random(8)
+    texts = {str(n): "".join(dice.choice("ab\u00e9 <\U0001f600") for _ in range(40)) for n in range(60)}
+    rows = library(spark, *({"id": i, "title": "T", "content_html": t} for i, t in texts.items()))
+    needles = ["".join(dice.choice("abA\u00c9 \U0001f600") for _ in range(dice.randrange(1, 6))) for _ in range(80)] + ["t  e", "a.te", "zzz"]
+    needles = [n for n in needles if n.strip()]
+    asked = spark.createDataFrame(list(enumerate(needles)), "qid int, text string")
+    body, pieces = F.col("content_html"), S.piece_postings(rows, F.col("content_html"))
+    S.write_index(pieces, str(tmp_path / "pieces"))
+    for index, words in ((S.read_index(spark, str(tmp_path / "pieces")), None), (pieces, S.vocabulary(pieces))):
+        got = {(r["qid"], r["id"], r["where_found"]) for r in S.substring_matches(asked, rows, body, index, words).collect()}
+        assert got == {(r["qid"], r["id"], r["where_found"]) for r in S.scan_matches(asked, rows, body).collect()}
+    assert {q for q, _, _ in got} >= {q for q, n in enumerate(needles) if any(n.strip().lower() in t.lower() for t in texts.values())}
+
+
 def test_dictionary_excuses(spark):
     lines = spark.createDataFrame([("settings", 1, "Export as JSON now"), ("home", 2, "Export as JSON"), ("home", 3, "the index, indexing"), ("home", 4, "an engine-room")], "route string, line_no int, line string")
     terms = spark.createDataFrame([("json", "format"), ("index", "structure"), ("as json", "phrase"), ("engine-room", "x"), ("dex", "no")], "word string, reason string")
@@ -280,34 +370,111 @@ def test_ranks_are_cut_before_the_shuffle(spark):
 # ------------------------------------------------------------------ streams
 
 
+def typed(spark, rows):
+    given = spark.createDataFrame(rows, "id string, seq int, t string, progress double")
+    return given.select("id", "seq", F.to_timestamp("t").alias("ts"), "progress")
+
+
+PROGRESS = "id string, seq int, ts timestamp, progress double"
+
+
+def settle(spark, tmp_path, *parts, late="0 seconds"):
+    """Every part is a run of its own from the same checkpoint; returns what was settled and what came too late."""
+    from articlelake.streaming import streams as R
+
+    write = R.settle_batches(str(tmp_path / "out"), "30 minutes", late)
+    for part in parts:
+        typed(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        R.run_available(spark.readStream.schema(PROGRESS).parquet(str(tmp_path / "in")), str(tmp_path / "check"), write=write)
+    settled = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "settled")).select("id", "progress", "writes").collect()))
+    return settled, sorted((r["id"], r["seq"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "out" / "late")).collect())
+
+
 def test_a_late_event_closes_every_session(spark, tmp_path):
-    """After one event far in the future the stream has written what the batch finds."""
+    """After one event far in the future the stream has written what the table has."""
     from articlelake.streaming import streams as R
 
     events = [("a", 1, "2024-01-01 10:00:00", 0.1), ("a", 2, "2024-01-01 10:10:00", 0.4), ("a", 3, "2024-01-01 12:00:00", 0.9), ("b", 4, "2024-01-01 10:05:00", 0.2)]
-    flush = [("z", 9, "2024-02-01 00:00:00", 0.0)]
-    schema = "id string, seq int, ts timestamp, progress double"
-    typed = lambda rows: spark.createDataFrame([(i, s, t, p) for i, s, t, p in rows], "id string, seq int, t string, progress double").select("id", "seq", F.to_timestamp("t").alias("ts"), "progress")
-    source = str(tmp_path / "in")
-    typed(events).coalesce(1).write.parquet(source)
-    out, check = str(tmp_path / "out"), str(tmp_path / "check")
-    run = lambda: R.run_available(R.settled_progress(spark.readStream.schema(schema).parquet(source), "30 minutes", late="0 seconds"), check, path=out)
-    run()
-    typed(flush).coalesce(1).write.mode("append").parquet(source)
-    run()
-    columns = ["id", "progress", "writes"]
-    streamed = sorted(map(tuple, spark.read.parquet(out).select(*columns).collect()))
-    batch = sorted(map(tuple, R.settled_progress(typed(events), "30 minutes", late="0 seconds").select(*columns).collect()))
-    assert streamed == batch == [("a", 0.4, 2), ("a", 0.9, 1), ("b", 0.2, 1)]
-
-
-def test_intake_drops_repeats_and_saved_links(spark, tmp_path):
+    settled, late = settle(spark, tmp_path, events, [("z", 9, "2024-02-01 00:00:00", 0.0)])
+    batch = sorted(map(tuple, R.settled_progress(typed(spark, events), "30 minutes").select("id", "progress", "writes").collect()))
+    assert settled == batch == [("a", 0.4, 2), ("a", 0.9, 1), ("b", 0.2, 1)] and late == []
+
+
+def test_sessions_go_on_across_batches_and_late_rows_are_kept(spark, tmp_path):
+    first = [("a", 1, "2024-01-01 10:00:00", 0.1), ("b", 2, "2024-01-01 10:00:00", 0.5)]
+    second = [("a", 3, "2024-01-01 10:20:00", 0.3), ("b", 4, "2024-01-01 11:15:00", 0.6)]
+    third = [("a", 5, "2024-01-01 10:45:00", 0.2), ("b", 6, "2024-01-01 09:00:00", 0.9), ("c", 7, "2024-01-01 10:15:00", 0.7), ("c", 8, "2024-01-01 10:14:59", 0.8)]
+    fourth = [("d", 9, "2024-01-02 00:00:00", 0.0)]
+    settled, late = settle(spark, tmp_path, first, second, third, fourth, late="1 hour")
+    # the clock before the third part is 10:15, so 10:15 is in time and a second earlier is not
+    assert late == [("b", 6, 2), ("c", 8, 2)]
+    assert settled == [("a", 0.2, 3), ("b", 0.5, 1), ("b", 0.6, 1), ("c", 0.7, 1)]
+
+
+def test_sessions_in_any_order_equal_those_of_the_table(spark, tmp_path):
+    from articlelake.streaming import streams as R
+
+    dice = random.Random(6)
+    rows = [(dice.choice("abc"), n, f"2024-01-01 {dice.randrange(24):02}:{dice.randrange(60):02}:{dice.randrange(60):02}", dice.random()) for n in range(150)]
+    rows += [("a", 1000 + n, f"2024-01-01 12:{n % 60:02}:30", 0.5) for n in range(300)]  # a busy reader
+    dice.shuffle(rows)
+    settled, late = settle(spark, tmp_path, rows[:100], rows[100:300], rows[300:], [("z", 9999, "2024-03-01 00:00:00", 0.0)], late="2 days")
+    table = sorted(map(tuple, R.settled_progress(typed(spark, rows), "30 minutes").select("id", "progress", "writes").collect()))
+    assert settled == table and late == []
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    from articlelake.streaming import streams as R
+
+    write = R.settle_batches(str(tmp_path), "30 minutes", "0 seconds")
+    parts = [[("a", 1, "2024-01-01 10:00:00", 0.1)], [("a", 2, "2024-01-01 10:10:00", 0.2)], [("b", 3, "2024-01-01 12:00:00", 0.3)]]
+    for number, part in enumerate(parts):
+        for _ in range(2):
+            write(typed(spark, part), number)
+    write(typed(spark, []), 3)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "settled")).select("id", "progress", "writes").collect()] == [("a", 0.2, 2)]
+
+
+def test_articles_without_a_version_are_indexed(spark, tmp_path):
+    from articlelake.streaming import streams as R
+
+    batch = library(spark, {"id": "1", "title": "undated", "modified_at": None}, {"id": "2", "title": "older", "modified_at": 1}, {"id": "2", "title": "newer", "modified_at": 2}, {"id": "2", "title": "never", "modified_at": None})
+    R.index_batches(str(tmp_path / "index"))(batch, 0)
+    terms = {(r["id"], r["term"]) for r in S.read_index(spark, str(tmp_path / "index")).collect()}
+    assert ("1", "undated") in terms and ("2", "newer") in terms and not {("2", "older"), ("2", "never")} & terms
+
+
+def test_intake_saves_an_address_once(spark, tmp_path):
+    """In one batch, months apart in later ones, in another spelling, and not at all if the library has it."""
     from articlelake.streaming import streams as R
 
-    rows = [("see https://n.test/1", "2024-01-01 10:00:00"), ("again https://n.test/1", "2024-01-01 10:01:00"), ("https://a.test/1", "2024-01-01 10:02:00"), ("http://127.0.0.1/", "2024-01-01 10:03:00"), ("nothing", "2024-01-01 10:04:00")]
-    source = str(tmp_path / "in")
-    spark.createDataFrame(rows, "text string, t string").select("text", F.to_timestamp("t").alias("ts")).write.parquet(source)
-    saved = library(spark, {})
-    stream = R.intake(spark.readStream.schema("text string, ts timestamp").parquet(source))
-    R.run_available(stream, str(tmp_path / "check"), write=R.save_new_links(str(tmp_path / "out"), lambda: saved))
-    assert [r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["https://n.test/1"]
+    parts = [
+        [("see https://n.test/1", "2024-01-01 10:00:00"), ("again https://n.test/1#part", "2024-01-01 10:01:00"), ("https://a.test/1", "2024-01-01 10:02:00"), ("http://127.0.0.1/", "2024-01-01 10:03:00"), ("nothing", "2024-01-01 10:04:00")],
+        [("https://N.test:443/1 again", "2024-06-01 00:00:00"), ("https://n.test", "2024-06-01 00:00:00"), ("HTTPS://A.test/1", "2024-06-01 00:00:00")],
+        [("https://n.test/ once more", "2025-01-01 00:00:00"), ("https://n.test/1?x=1", "2025-01-01 00:00:00")],
+    ]
+    source, saved = str(tmp_path / "in"), library(spark, {})
+    write = R.save_new_links(str(tmp_path / "out"), lambda: saved)
+    for part in parts:
+        spark.createDataFrame(part, "text string, t string").select("text", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = R.intake(spark.readStream.schema("text string, ts timestamp").parquet(source))
+        R.run_available(stream, str(tmp_path / "check"), write=write)
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["batch"], r["url"]) for r in found) == [(0, "https://n.test/1"), (1, "https://n.test"), (2, "https://n.test/1?x=1")]
+
+
+def test_a_stopped_backlog_goes_on(spark, tmp_path):
+    dice = random.Random(2)
+    rows = [(n, i, f"u{k}", f"{k}") for n in range(60) for i, k in enumerate(dice.sample(range(40), 5))]
+    edges = spark.createDataFrame(rows, "id bigint, pos int, url string, key string")
+    sizes = spark.createDataFrame([(f"{k}", dice.choice([None, 3, 5, 8])) for k in range(40)], "key string, bytes bigint")
+    none = spark.createDataFrame([], "key string")
+    asked = iter([False, True])
+    halves = [I.run_backlog(edges, sizes, none, str(tmp_path / "a"), 3, lambda: True).count(), I.run_backlog(edges, sizes, none, str(tmp_path / "a"), 3, lambda: next(asked)).count()]
+    assert halves == [0, 1]
+    progress = I.run_backlog(edges, sizes, none, str(tmp_path / "a"), 3).collect()
+    whole = I.plan_backlog(edges, sizes, none)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "a" / "decided")).select("id", "pos", "decision").collect())) == sorted(map(tuple, whole.select("id", "pos", "decision").collect()))
+    total = I.storage_totals(whole).first()
+    assert sum(r["articles"] for r in progress) == 60 and sorted(r["part"] for r in progress) == [0, 1, 2]
+    assert [sum(r[n] for r in progress) for n in ("stored", "reused", "skipped", "bytes")] == [total[n] for n in ("stored", "reused", "skipped", "bytes")]

@@ -1,5 +1,7 @@
 """Golden pages: extraction, metadata, cleaning, tables, flags."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,18 +100,98 @@ def test_sanitizer(spark):
         '<p id="keep">Hi inner <a title="t">l</a><a href="https://a.test/?x=1&amp;y=2">ok</a></p><p><br></p><hr>'
         '<img loading="lazy" decoding="async">'
         '<figure><img src="https://a.test/q.png" width="640" height="480" loading="lazy" decoding="async" style="aspect-ratio: 640 / 480">'
-        '<figcaption>Photo: somebody</figcaption></figure><div class="tablewrap"><table><tr><td>1</td></tr></table></div><a>d</a>'
+        '<figcaption>Photo: somebody</figcaption></figure><div class="tablewrap"><table><tr><td class="numeric">1</td></tr></table></div><a>d</a>'
     )
     assert SZ.sanitize(SZ.sanitize(rows)).select(QF.leftovers(F.col("content_html"))).first()[0] == 0
     assert SZ.unsafe_links(spark.createDataFrame([("/x",), ("#a",)], "href string")).count() == 1
 
 
+def stored(spark, html, base="https://a.test/dir/page.html"):
+    rows = spark.createDataFrame([("1", html, base)], "id string, content_html string, url string")
+    return SZ.sanitize(rows, base="url").first()["content_html"]
+
+
+@pytest.mark.parametrize(
+    "html,kept",
+    [
+        ("<div>" * 8 + "</div>" * 8 + "x", "x"),
+        ("<div><p> </p><section><figure></figure></section>&nbsp;</div><p>a</p>", "<p>a</p>"),
+        ("<div><p></p><hr></div>", "<div><hr></div>"),
+        ("<p>one<p>two <b>bold<p>three", "<p>one</p><p>two <b>bold</b></p><p>three</p>"),
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "<ul><li>a</li><li>b<ul><li>c</li></ul></li><li>d</li></ul>"),
+        ("a</p></div>b < c <!-- <p>no</p> -->d<!-- no end", "ab &lt; c d"),
+        ("<script>if (a < b) '<p>'</script>x<style><p></style>y<iframe><p>z</iframe>w<svg><p>v</svg>u", "xywu"),
+        ("<form><form></form>in</form>out<select><option>a</select>!", "out!"),
+        ("<script>never ends <p>x</p>", ""),
+        ("<p onclick=x() STYLE='a' id=i title='say \"x\" > y'>t</p>", '<p id="i" title="say &quot;x&quot; &gt; y">t</p>'),
+        ("<a href='../up?x=1#y'>u</a><a href='//b.test/'>v</a><a href=java&#115;cript:x>w</a><a href='JAVASCRIPT:x'>z</a>",
+         '<a href="https://a.test/up?x=1#y">u</a><a href="https://b.test/">v</a><a href="https://a.test/dir/java&amp;#115;cript:x">w</a><a>z</a>'),
+        ("<img data-src='p.png' src='' srcset='q 2x' width=200 height=100>", '<img src="https://a.test/dir/p.png" width="200" height="100" loading="lazy" decoding="async" style="aspect-ratio: 200 / 100">'),
+        ("<p><img src='/dot.gif' width=1></p>after", "after"),
+        ("<table><tr><td><table><tr><td>5<td>in</table>out<tr><td>-2 %</table>",
+         '<div class="tablewrap"><table><tr><td><div class="tablewrap"><table><tr><td class="numeric">5</td><td>in</td></tr></table></div>out</td></tr><tr><td class="numeric">-2 %</td></tr></table></div>'),
+        ("<p>cut <b", "<p>cut </p>"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_markup_by_depth(spark, html, kept):
+    assert stored(spark, html) == (kept.replace("java&amp;#115;", "java&#115;") if kept else kept)
+
+
+def test_tables_for_reading(spark):
+    html = f"<table><thead><tr><th>Na\"me</th><th></th></tr></thead><tr><td>7</td><td>{'long ' * 17}</td></tr></table><table><tr><td>a</td></tr><tr><td>b</td></tr></table>"
+    got = stored(spark, html)
+    assert '<div class="tablewrap prose"><table><thead><tr><th>Na"me</th><th></th></tr></thead><tr><td class="numeric" data-label="Na&quot;me">7</td><td>long' in got
+    assert got.endswith('<div class="tablewrap"><table><tr><td>a</td></tr><tr><td>b</td></tr></table></div>')
+
+
+def test_nested_tables_are_paired_by_depth(spark):
+    html = "x<table><tr><td>o1<table><thead><tr><th>i1</th></tr></thead><tr><td>i2</td></tr></table>o2</td><td>o3</td></tr><tr><td>o4</td></tr></table><table><tr><td>last"
+    rows = spark.createDataFrame([("1", html)], "id string, content_html string")
+    shapes = [tuple(r) for r in rows.select(F.inline(QF.table_shapes(F.col("content_html")))).collect()]
+    assert shapes == [(0, 2, 2, 11, False, True), (1, 2, 1, 2, True, False), (2, 1, 1, 4, False, False)]
+    cells = {(c["table"], c["row"], c["col"]): c["text"] for c in QF.table_cells(rows).collect()}
+    assert cells == {(0, 0, 0): "o1 i1 i2 o2", (0, 0, 1): "o3", (0, 1, 0): "o4", (1, 0, 0): "i1", (1, 1, 0): "i2", (2, 0, 0): "last"}
+
+
+def test_markup_takes_linear_time(spark):
+    import time
+
+    start = time.time()
+    got = stored(spark, "<li>x <b>y" * 20_000 + "<div>" * 2000 + "<!--" * 3000 + "<table" * 1000)
+    assert got.count("<b>") == got.count("</b>") == 20_000 and "<div>" not in got
+    assert time.time() - start < 60
+
+
+def test_extracted_markup_is_safe_and_absolute(spark):
+    body = (
+        f"<main><p onclick='x()'>{PROSE}<a href='../more'>more</a><iframe src='https://evil.test'></iframe></p><nav><a href='/n'>nav</a></nav>"
+        f"<table class='c'><tr><td colspan=2 onload=x>1</td></tr></table><img data-src='pic.png' width='640' height='480'><p>{PROSE}</p></main>"
+    )
+    got = extract(spark, page(body))
+    html = got["content_html"]
+    assert '<a href="https://www.news.test/more">more</a>' in html and 'src="https://www.news.test/section/pic.png"' in html
+    assert '<div class="tablewrap"><table><tr><td class="numeric" colspan="2">1</td></tr></table></div>' in html
+    assert not QF_FORBIDDEN.search(html)
+    report = QF.measure(EX.extract_articles(spark.createDataFrame([("1", URL, page(body))], "page_id string, url string, html string"))).first()
+    assert (report["leftovers"], report["inline_handlers"], report["href_relative"], report["img_src_relative"]) == (0, 0, 0, 0)
+
+
+QF_FORBIDDEN = re.compile(r"onclick|onload|iframe|class=.c|evil", re.I)
+
+
+def test_authors_in_deep_graphs(spark):
+    deep = '{"@graph": [' * 10 + '{"author": {"name": "Ten Deep"}}' + "]}" * 10
+    assert extract(spark, page(f"<p>{PROSE}</p>", LD.format(deep)))["author"] == "Ten Deep"
+
+
 def test_table_measures(spark):
     html = "<table><thead><tr><th>Name</th><th>Text</th></tr></thead><tr><td>5 %</td><td>" + "long " * 30 + "</td><td>x</td></tr></table><table><tr><td><table><tr><td>in</td></tr></table></td></tr></table>"
     rows = spark.createDataFrame([("1", html)], "id string, content_html string")
     shapes = rows.select(F.inline(QF.table_shapes(F.col("content_html")))).collect()
     assert [(s["rows"], s["cols"], s["max_cell_chars"], s["has_head"]) for s in shapes[:1]] == [(2, 3, 149, True)]
-    assert [s["nested"] for s in shapes] == [False, True]
+    assert [(s["rows"], s["nested"]) for s in shapes] == [(2, False), (1, True), (1, False)]
     cells = {(c["table"], c["row"], c["col"]): (c["is_numeric"], c["prose"], c["label"]) for c in QF.table_cells(rows).collect()}
     assert cells[(0, 1, 0)] == (True, True, "Name") and cells[(0, 1, 1)] == (False, True, "Text") and cells[(0, 1, 2)][2] is None
     assert cells[(0, 0, 0)][2] is None
