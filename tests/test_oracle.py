@@ -22,3 +22,12 @@ def test_driver_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["qid", "id", "where_found", "added_at"]
+
+
+def test_backlog(spark, small):
+    from articlelake.plans.images import BACKLOG
+
+    assert spark_rows(REGISTRY["backlog_plan"].run(spark, small)) == oracle(small, f"{BACKLOG} SELECT * FROM planned")
+    totals = REGISTRY["backlog_totals"].run(spark, small).first().asDict()
+    plan = REGISTRY["backlog_plan"].run(spark, small).groupBy("decision").count().collect()
+    assert {r["decision"]: r["count"] for r in plan} == {k: v for k, v in totals.items() if k != "bytes"}
