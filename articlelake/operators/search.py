@@ -220,9 +220,9 @@ def _met(table: DataFrame, slots: _Slots, marked: DataFrame, value: str) -> Data
 def _matches(wanted: DataFrame, index: DataFrame, words: DataFrame | None) -> DataFrame:
     """`(qid, id)` of the articles that hold everything a query wants.
 
-    What is wanted by any query is looked up once, whatever the number of queries, and
-    gathered per article, of which no more is kept than it has terms. A query is compared
-    only with articles that hold its rarest slot, its driver. Without counts of words the
+    What is wanted by any query is looked up once, whatever the number of queries. A query's
+    candidates are the articles that hold its rarest slot, its driver; the others are checked
+    on `(slot, id)`, which no frequent word can crowd. Without counts of words the
     looked-up postings are counted. Counts only choose the driver: if they lag behind the
     index, or miss a word, the answer is the same.
     """
@@ -235,12 +235,12 @@ def _matches(wanted: DataFrame, index: DataFrame, words: DataFrame | None) -> Da
     best = F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "slot"))
     drivers = each.join(costs, "slot", "left").groupBy("qid").agg(best.alias("best")).select("qid", F.col("best.slot").alias("driver"))
     marked = slots.rows.join(drivers.select(F.col("driver").alias("slot"), F.lit(True).alias("drives")).distinct(), "slot", "left")
-    held = _met(index, slots, marked, "id").groupBy("id").agg(
-        F.collect_set("slot").alias("held"), F.collect_set(F.when(F.col("drives"), F.col("slot"))).alias("driving")
-    )
-    asked = wanted.join(drivers, "qid")
-    pairs = held.where(F.size("driving") > 0).select("id", "held", F.explode("driving").alias("driver")).join(asked, "driver")
-    return pairs.where(F.forall("wanted", lambda slot: F.array_contains("held", slot))).select("qid", "id")
+    held = _met(index, slots, marked, "id").groupBy("slot", "id").agg(F.max("drives").alias("drives"))
+    asked = wanted.join(drivers, "qid").select("qid", "driver", F.array_remove("wanted", F.col("driver")).alias("others"))
+    pairs = held.where("drives").select(F.col("slot").alias("driver"), "id").join(asked, "driver")
+    alone = pairs.where(F.size("others") == 0).select("qid", "id")
+    rest = pairs.select("qid", "id", F.size("others").alias("n"), F.explode("others").alias("slot")).join(held.select("slot", "id"), ["slot", "id"])
+    return alone.unionByName(rest.groupBy("qid", "id", "n").agg(F.count("*").alias("c")).where("c = n").select("qid", "id"))
 
 
 def index_matches(planned: DataFrame, index: DataFrame, words: DataFrame | None = None) -> DataFrame:
