@@ -27,10 +27,10 @@ WITH d AS (
 ), long AS (
   SELECT lang, source, metric, (v >> s) << s AS bucket FROM (
     SELECT lang, source, metric, v, greatest(length(bin(v)) - 10, 0)::BIGINT AS s
-    FROM (SELECT * FROM b WHERE NOT base_failed) UNPIVOT (v FOR metric IN (v1, v2, v3, v4)))
+    FROM (SELECT *, n_words AS v5, n_lines AS v6 FROM b WHERE NOT base_failed) UNPIVOT (v FOR metric IN (v1, v2, v3, v4, v5, v6)))
 ), q AS (
-  SELECT level, lang, source, metric, max(rows) AS rows,
-    min(bucket) FILTER (4 * upto >= rows) AS q1, min(bucket) FILTER (4 * upto >= 2 * rows) AS q2, min(bucket) FILTER (4 * upto >= 3 * rows) AS q3
+  SELECT level, lang, source, metric, max(rows) AS rows, min(bucket) FILTER (1000 * upto >= 250 * rows) AS q1,
+    min(bucket) FILTER (1000 * upto >= 500 * rows) AS q2, min(bucket) FILTER (1000 * upto >= 750 * rows) AS q3, min(bucket) FILTER (1000 * upto >= 990 * rows) AS q4
   FROM (
     SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS rows
     FROM (
@@ -38,27 +38,33 @@ WITH d AS (
       UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM long GROUP BY ALL
       UNION ALL SELECT 2, NULL, NULL, metric, bucket, count(*) FROM long GROUP BY ALL))
   GROUP BY ALL
-), rule(metric, slack, two_sided) AS (VALUES ('v1', 25, false), ('v2', 200, false), ('v3', 150, false), ('v4', 250, true)),
-fence AS (
-  SELECT q.*, two_sided, q2 + greatest(8 * (q3 - q2), slack) AS high, CASE WHEN two_sided THEN q2 - greatest(8 * (q2 - q1), slack) ELSE -1 END AS low
+), rule(metric, sized, least_count, two_sided) AS (VALUES ('v1', 'v5', 1, false), ('v2', 'v6', 1, false), ('v3', 'v5', 6, false), ('v4', 'v5', 1, true)),
+unit AS (
+  SELECT q.*, two_sided, greatest(s.q2, 1)::BIGINT AS size, 1000 * least_count // greatest(s.q2, 1)::BIGINT AS u,
+    8000 * least_count // greatest(s.q2, 1)::BIGINT AS u8
   FROM q JOIN rule ON rule.metric = q.metric
+  JOIN q s ON s.level = q.level AND s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source AND s.metric = rule.sized
+), fence AS (
+  SELECT *, q2 + greatest(8 * (q3 - q2), 8 * (q2 - q1), least(u8, greatest(q4 - q2, u))) AS high,
+    CASE WHEN two_sided THEN q2 - greatest(8 * (q3 - q2), 8 * (q2 - q1), u) ELSE -1 END AS low FROM unit
 ), of_lang AS (
-  SELECT l.lang, l.metric,
-    CASE WHEN l.rows < 50 OR NOT l.two_sided AND l.q2 > z.high THEN z.high WHEN l.two_sided THEN l.high ELSE least(l.high, z.high) END AS high,
-    CASE WHEN l.rows < 50 THEN z.low ELSE l.low END AS low
+  SELECT l.lang, l.metric, unnest(CASE
+    WHEN l.rows < 50 OR NOT l.two_sided AND l.q2 > z.high THEN {'mid': z.q2, 'size': z.size, 'high': z.high, 'low': z.low}
+    ELSE {'mid': l.q2, 'size': l.size, 'high': CASE WHEN l.two_sided THEN l.high ELSE least(l.high, z.high) END, 'low': l.low} END)
   FROM fence l JOIN fence z ON z.level = 2 AND z.metric = l.metric WHERE l.level = 1
 ), e AS (
-  SELECT g.lang, g.source, g.metric,
-    CASE WHEN g.rows < 50 OR g.q2 > w.high OR g.q2 < w.low THEN w.high ELSE least(g.high, w.high) END AS high,
-    CASE WHEN g.rows < 50 OR g.q2 > w.high OR g.q2 < w.low THEN w.low ELSE greatest(g.low, w.low) END AS low
+  SELECT g.lang, g.source, g.metric, unnest(CASE
+    WHEN g.rows < 50 OR g.q2 > w.high OR g.q2 < w.low THEN {'mid': w.mid, 'size': w.size, 'high': w.high, 'low': w.low}
+    ELSE {'mid': g.q2, 'size': g.size, 'high': least(g.high, w.high), 'low': greatest(g.low, w.low)} END)
   FROM fence g JOIN of_lang w ON w.lang IS NOT DISTINCT FROM g.lang AND w.metric = g.metric WHERE g.level = 0
-), bounds AS (
-  SELECT lang, source, max(high) FILTER (metric = 'v1') AS h1, max(high) FILTER (metric = 'v2') AS h2, max(high) FILTER (metric = 'v3') AS h3,
-    max(high) FILTER (metric = 'v4') AS h4, max(low) FILTER (metric = 'v4') AS l4 FROM e GROUP BY ALL
+), each AS (
+  SELECT b.*, e.metric, CASE e.metric WHEN 'v1' THEN v1 WHEN 'v2' THEN v2 WHEN 'v3' THEN v3 ELSE v4 END AS v, mid::DOUBLE AS mid, high::DOUBLE AS high, low::DOUBLE AS low,
+    sqrt(greatest(1.0::DOUBLE, size::DOUBLE / greatest(CASE WHEN e.metric = 'v2' THEN n_lines ELSE n_words END, 1)::DOUBLE)) AS wider
+  FROM b LEFT JOIN e ON e.lang IS NOT DISTINCT FROM b.lang AND e.source IS NOT DISTINCT FROM b.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  coalesce(NOT base_failed AND v1 <= h1 AND v2 <= h2 AND v3 <= h3 AND v4 BETWEEN l4 AND h4, FALSE) AS kept
-FROM b LEFT JOIN bounds e ON e.lang IS NOT DISTINCT FROM b.lang AND e.source IS NOT DISTINCT FROM b.source
+  coalesce(bool_and(NOT base_failed AND v <= mid + (high - mid) * wider AND (metric <> 'v4' OR v >= mid - (mid - low) * wider)), FALSE) AS kept
+FROM each GROUP BY r, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
 """
 
 WARC = r"""

@@ -12,16 +12,20 @@ from articlelake.llm.common import BLANKS, stored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
-#: Metric, in thousandths: numerator, denominator, least distance from the median to a
-#: fence, and whether values far below the median are rejected as well.
+#: Metric, in thousandths: numerator, denominator, the least count one occurrence gives (a
+#: repeated window covers six words), and whether values far below the median are rejected too.
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 25, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 200, False),
-    "repeat_words": ("n_repeat_words", "n_words", 150, False),
-    "word_length": ("word_chars", "n_words", 250, True),
+    "symbols": ("n_symbols", "n_words", 1, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1, False),
+    "repeat_words": ("n_repeat_words", "n_words", 6, False),
+    "word_length": ("word_chars", "n_words", 1, True),
 }
-#: A fence lies this many half-ranges (median to quartile) from the median, at least.
+SIZES = ("n_words", "n_lines")
+#: A fence lies this many half-ranges (median to its farther quartile) from the median. Where a group has
+#: no range, it lies as many occurrences in a text of the group's median size away, or at the
+#: tail quantile of the group if that is nearer, but one occurrence at least.
 REACH = 8
+TAIL = 990
 #: Groups with fewer usable documents use the sketch of their language, then that of all.
 LEAST_ROWS = 50
 
@@ -76,11 +80,12 @@ def _ratio(metric: str) -> Column:
 def sketches(rows: DataFrame) -> DataFrame:
     """Mergeable quantile sketches: values counted in buckets 1/512 of their size wide.
 
-    `lang, source, metric, bucket, n`. Two sketches merge by adding the counts of equal
-    buckets; a quantile is off by at most one bucket. Documents that fail the base rules
-    are not counted.
+    `lang, source, metric, bucket, n`, for every metric and for the sizes of texts. Two
+    sketches merge by adding the counts of equal buckets; a quantile is off by at most one
+    bucket. Documents that fail the base rules are not counted.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _ratio(m).alias("value")) for m in METRICS]))
+    values = {**{m: _ratio(m) for m in METRICS}, **{s: F.col(f"counts.{s}") for s in SIZES}}
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()]))
     exponent = F.greatest(F.length(F.bin("value")) - 10, F.lit(0))
     bucket = F.expr("shiftleft(shiftright(value, shift), shift)")
     return (
@@ -91,52 +96,72 @@ def sketches(rows: DataFrame) -> DataFrame:
     )
 
 
+def _by_metric(value) -> Column:
+    """What `value` gives for the row's metric."""
+    return F.element_at(F.create_map(*[F.lit(x) for m, rule in METRICS.items() for x in (m, value(rule))]), F.col("metric"))
+
+
 def fences(sketch: DataFrame) -> DataFrame:
-    """Bounds per language and source: `lang, source, <metric>_low, <metric>_high`.
+    """Bounds per language and source: `lang, source, <metric>_mid, _size, _high, _low`.
 
-    A group's fences come from its own quartiles, but never lie outside those of its
+    `mid` is the group's median and `size` its median text size; see `within`. A group's
+    fences come from its own quantiles, but never lie outside those of its
     language, nor these outside those of all documents, so that no group that is largely
     junk can lift its threshold. If its median is outside, the wider fences hold instead.
     """
 
-    def quartiles(keys: list[str]) -> DataFrame:
+    def own_fences(keys: list[str]) -> DataFrame:
         merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
         running = Window.partitionBy(*keys, "metric").orderBy("bucket")
         ranked = merged.withColumn("upto", F.sum("n").over(running)).withColumn("rows", F.sum("n").over(running.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        at = [F.min(F.when(F.col("upto") * 4 >= F.col("rows") * q, F.col("bucket"))).alias(f"q{q}") for q in (1, 2, 3)]
-        return ranked.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), *at)
+        at = [F.min(F.when(F.col("upto") * 1000 >= F.col("rows") * q, F.col("bucket"))).alias(f"q{q}") for q in (250, 500, 750, TAIL)]
+        found = ranked.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), *at)
+        whole = Window.partitionBy(*keys)
+        sizes = {s: F.max(F.when(F.col("metric") == s, F.greatest("q500", F.lit(1)))).over(whole) for s in SIZES}
+        found = found.withColumns(sizes).where(F.col("metric").isin(*METRICS))
+        size = F.when(_by_metric(lambda rule: rule[1]) == "n_lines", F.col("n_lines")).otherwise(F.col("n_words"))
+        found = found.withColumn("size", size).withColumns({name: F.floor(1000 * n * _by_metric(lambda rule: rule[2]) / F.col("size")) for name, n in (("unit", 1), ("units", REACH))})
+        mid = F.col("q500")
+        spread = REACH * F.greatest(F.col("q750") - mid, mid - F.col("q250"))
+        far = F.greatest(spread, F.least(F.col("units"), F.greatest(F.col(f"q{TAIL}") - mid, F.col("unit"))))
+        low = F.when(_by_metric(lambda rule: rule[3]), mid - F.greatest(spread, F.col("unit")))
+        return found.select(*keys, "metric", "rows", F.struct(mid.alias("mid"), "size", (mid + far).alias("high"), low.alias("low")).alias("fence"))
 
     found = sketch.select("lang", "source").distinct().withColumn("metric", F.explode(F.array(*map(F.lit, METRICS))))
     for level, keys in enumerate((["lang", "source"], ["lang"], [])):
-        own = quartiles(keys).select(F.struct("rows", "q1", "q2", "q3").alias(f"level{level}"), F.col("metric").alias("m"), *[F.col(k).alias(f"k_{k}") for k in keys])
+        own = own_fences(keys).select(F.col("rows").alias(f"rows{level}"), F.col("fence").alias(f"fence{level}"), F.col("metric").alias("m"), *[F.col(k).alias(f"k_{k}") for k in keys])
         same = F.col("metric") == F.col("m")
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"k_{k}"))
         found = found.join(own, same, "left").drop("m", *[f"k_{k}" for k in keys])
-    slack = F.element_at(F.create_map(*[F.lit(x) for m, rule in METRICS.items() for x in (m, rule[2])]), F.col("metric"))
-    both = F.col("metric").isin([m for m, rule in METRICS.items() if rule[3]])
-    for level in (0, 1, 2):
-        q = {k: F.col(f"level{level}.q{k}") for k in (1, 2, 3)}
-        high = q[2] + F.greatest(REACH * (q[3] - q[2]), slack)
-        low = F.when(both, q[2] - F.greatest(REACH * (q[2] - q[1]), slack))
-        found = found.withColumn(f"fence{level}", F.struct(q[2].alias("q2"), high.alias("high"), low.alias("low")))
 
     def bounded(own: Column, wider: Column) -> Column:
-        outside = (own["q2"] > wider["high"]) | F.coalesce(own["q2"] < wider["low"], F.lit(False))
-        inner = F.struct(own["q2"].alias("q2"), F.least(own["high"], wider["high"]).alias("high"), F.greatest(own["low"], wider["low"]).alias("low"))
+        outside = (own["mid"] > wider["high"]) | F.coalesce(own["mid"] < wider["low"], F.lit(False))
+        high, low = F.least(own["high"], wider["high"]), F.greatest(own["low"], wider["low"])
+        inner = F.struct(own["mid"].alias("mid"), own["size"].alias("size"), high.alias("high"), low.alias("low"))
         return F.when(outside, wider).otherwise(inner)
 
     # words are as long as their language has them: all documents bound the other metrics only
-    enough = [F.col(f"level{i}.rows") >= LEAST_ROWS for i in (0, 1)]
+    enough = [F.col(f"rows{i}") >= LEAST_ROWS for i in (0, 1)]
+    both = _by_metric(lambda rule: rule[3])
     of_lang = F.when(~enough[1], F.col("fence2")).when(both, F.col("fence1")).otherwise(bounded(F.col("fence1"), F.col("fence2")))
     found = found.withColumn("wider", of_lang)
     found = found.withColumn("fence", F.when(enough[0], bounded(F.col("fence0"), F.col("wider"))).otherwise(F.col("wider")))
-    bounds = []
-    for metric, (_, _, _, both_sides) in METRICS.items():
-        here = F.col("metric") == metric
-        for side in ("high", "low")[: 1 + both_sides]:
-            bounds.append(F.max(F.when(here, F.col("fence")[side])).alias(f"{metric}_{side}"))
-    return found.groupBy("lang", "source").agg(*bounds)
+    parts = [F.max(F.when(F.col("metric") == m, F.col("fence")[part])).alias(f"{m}_{part}") for m in METRICS for part in ("mid", "size", "high", "low")]
+    return found.groupBy("lang", "source").agg(*parts)
+
+
+def within(metric: str) -> Column:
+    """Whether a document's value lies between the fences of its group.
+
+    A ratio scatters the more the shorter its text is. The fences stand for a text of the
+    group's median size; for a shorter one they lie further out by the root of the sizes'
+    quotient. For longer ones they stay.
+    """
+    mid, high, low = (F.col(f"{metric}_{part}") for part in ("mid", "high", "low"))
+    wider = F.sqrt(F.greatest(F.lit(1.0), F.col(f"{metric}_size") / F.greatest(F.col(f"counts.{METRICS[metric][1]}"), F.lit(1))))
+    inside = _ratio(metric) <= mid + (high - mid) * wider
+    return inside & (_ratio(metric) >= mid - (mid - low) * wider) if METRICS[metric][3] else inside
 
 
 def judged(rows: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -148,10 +173,8 @@ def judged(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     bounds = bounds.withColumnsRenamed({"lang": "b_lang", "source": "b_source"})
     same = F.col("row.lang").eqNullSafe(F.col("b_lang")) & F.col("row.source").eqNullSafe(F.col("b_source"))
     good = ~F.col("counts.base_failed")
-    for metric, (_, _, _, both) in METRICS.items():
-        good = good & (_ratio(metric) <= F.col(f"{metric}_high"))
-        if both:
-            good = good & (_ratio(metric) >= F.col(f"{metric}_low"))
+    for metric in METRICS:
+        good = good & within(metric)
     return rows.join(bounds, same, "left").select("row", "counts", F.coalesce(good, F.lit(False)).alias("kept"))
 
 

@@ -205,6 +205,16 @@ def test_own_quartiles_set_the_fence_and_repeats_count(spark):
     assert sum(not kept for kept in got.values()) <= 4
 
 
+def test_fences_follow_the_size_of_texts(spark):
+    """A single sign is no reason against a short text; the same share is too much where texts are long."""
+    rng = random.Random(9)
+    rows = [(k, sentence(rng, 400 if k % 2 else 60, 9999), "en", "long" if k % 2 else "short") for k in range(240)]
+    rows += [(500, sentence(rng, 393, 9999) + " #" * 7, "en", "long"), (501, sentence(rng, 59, 9999) + " #", "en", "short")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_report(frame).collect()}
+    assert not got.pop(500) and all(got.values())
+
+
 def test_short_lines_repeat_by_equality(spark):
     near, far = "this line is long enough", "this line is lonh enough!"
     rows = [(1, "Short one.\n\nabc\n" + near), (2, " Short one. \n\nabd\n" + far), (3, "abc\n" + "x" * 19 + "\n" + "x" * 20), (4, "x" * 19 + "\nkept"), (5, "Short one.")]
