@@ -68,30 +68,25 @@ TO_THE_RIGHT = r"\p{Ps}"
 REFERENCE_MARK = r"\[(?:\p{Nd}{1,3}|\p{L}|(?:edit|bearbeiten|modifier|editar)(?:\s[^\[\]]*)?)\]"
 # A mark that ends a sentence, then any closing brackets and quotes.
 STOPPED = r"(?:[.:;!?]|\x{2026})[\p{Pe}\p{Pf}\"']*$"
-ADDRESS = r"(?i)\b(?:https?:/{2}(?:www[.])?|www[.])([^\s/?#]+)[^\s]*"
 
-# What is left out when a block is spoken, and what replaces it.
+# What is left out when a block is spoken, and what replaces it. Of an address the host is
+# spoken: a mark takes the place of its scheme, then of its "www.", then all behind the marked
+# host goes.
 NOT_SPOKEN = [
     (r"(?i)\s*" + REFERENCE_MARK, ""),
-    (ADDRESS, "$1"),
+    (r"(?i)\bhttps?://([^\s/?#])", "\x01$1"),
+    (r"(?i)(^|[^\p{L}\p{N}_.])www\.([^\s/?#])", "$1\x01$2"),
+    (r"\x01+([^\s/?#]+)\S*", "$1"),
     (rf"^{ITEM_SIGN}\s+", ""),
     (r"\s\s+", " "),
 ]
 # Checks on the text of a spoken block.
 TEXT_CHECKS = {
-    "glued-quote": r"\x{201d}\p{L}|\p{L}\x{201e}",
     "leading-marker": rf"^(?:{ITEM_SIGN}|\p{{Nd}}+[.)])\s",
     "orphan-punctuation": rf"\s[{TRAILING_MARKS}]",
-    "spoken-url": r"(?i)\bhttps?:/{2}|\bwww[.][\p{L}\p{N}]",
     "footnote-marker": r"(?i)" + REFERENCE_MARK,
     "shouty": r"(?:^|[^\p{L}\p{N}])\p{Lu}{6}",
 }
-# Feeds name an article by an element's text (RSS) or by an attribute of an element that
-# says "alternate" or closes itself (Atom).
-FEED_LINKS = [
-    r"(?is)<link>(?:\s|<!\[CDATA\[)*(https?:[^\s<\]]+)",
-    r"(?is)<link\s(?=[^>]*(?:\balternate\b|/>))[^>]*\bhref\s*=\s*[\"'](https?:[^\"']+)",
-]
 # A number as tables hold it: sign, digits with separators, and a unit. Units are the SI's
 # with their prefixes, those of data and angles, shares, currencies, and anything per hour.
 SI_PREFIX, SI_UNIT = "[pnµmckhMG]?", "(?:m|g|l|s|A|V|W|Wh|Hz|Pa|J|K)"

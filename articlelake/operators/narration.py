@@ -88,16 +88,35 @@ def narrate(articles: DataFrame, html: str = "content_html") -> DataFrame:
     return with_settled(articles, "spoken", spoken_blocks(F.col(html)))
 
 
+def _beside(text: Column, mark: str, before: str, behind: str) -> Column:
+    """Whether a mark stands anywhere between text that ends and text that begins so."""
+    pieces = F.split(text, mark)
+    ends = lambda i: F.get(pieces, i - 1).rlike(f"(?:{before})$")
+    return F.size(F.filter(pieces, lambda piece, i: (i > 0) & piece.rlike(f"^(?:{behind})") & ends(i))) > 0
+
+
+def _names_address(text: Column) -> Column:
+    """Whether a web address is spelt out: a scheme before `://`, or a name behind `www.`."""
+    low = F.lower(text)
+    fresh = r"(?:^|[^\p{L}\p{N}_])"
+    return _beside(low, "://", fresh + "https?", "") | _beside(low, r"www\.", fresh, r"[\p{L}\p{N}]")
+
+
 def _checks(b) -> dict[str, Column]:
     """Every check by name, as a condition on a spoken block."""
     return {
         "heading-without-stop": (b["kind"] == "heading") & ~b["text"].rlike(P.STOPPED),
+        "glued-quote": _beside(b["text"], "”", "", r"\p{L}") | _beside(b["text"], "„", r"\p{L}", ""),
+        "spoken-url": _names_address(b["text"]),
         **{name: b["text"].rlike(pattern) for name, pattern in P.TEXT_CHECKS.items()},
         "run-on-utterance": F.exists(b["parts"], lambda part: F.length(part) > 400),
     }
 
 
-CHECK_NAMES = ["heading-without-stop", *P.TEXT_CHECKS, "run-on-utterance"]
+#: In the order in which findings are listed.
+CHECK_NAMES = [
+    "heading-without-stop", "glued-quote", "leading-marker", "orphan-punctuation", "spoken-url", "footnote-marker", "shouty", "run-on-utterance",
+]
 
 
 def block_checks(blocks: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from articlelake.functions import patterns as P
 from articlelake.functions.text import epoch_millis, plain_text, trimmed
 from articlelake.functions.urls import first_link, host, slug
 from articlelake.operators.extraction import attribute
@@ -88,13 +87,36 @@ def read_lists(spark: SparkSession, folder: str, now_ms: Column, pages: str = "*
     return csv.unionByName(bookmark_rows(html, now_ms))
 
 
+def _feed_addresses(xml: Column) -> Column:
+    """What the `link` elements of a feed name: the texts of bare ones (RSS), then the `href`
+    of those that say "alternate" or close themselves (Atom)."""
+    links = F.split(xml, r"(?i)<link(?=[\s>])")
+    links = F.slice(links, F.lit(2), F.greatest(F.size(links) - 1, F.lit(0)))
+
+    def text(link: Column) -> Column:
+        inside = F.substring_index(F.replace(F.substr(link, F.lit(2)), F.lit("<![CDATA["), F.lit(" ")), "<", 1)
+        return F.split(F.ltrim(F.regexp_replace(inside, r"[\s\]]+", " ")), " ")[0]
+
+    def href(link: Column) -> Column:
+        named = F.split(F.substring_index(link, ">", 1), r"(?i)\shref\s*=\s*")
+        value = F.coalesce(F.get(named, F.lit(1)), F.lit(""))
+        return F.get(F.split(F.substr(value, F.lit(2)), "[\"']"), F.lit(0))
+
+    def names_article(link: Column) -> Column:
+        tag = F.lower(F.substring_index(link, ">", 1))
+        return ~link.startswith(">") & (tag.endswith("/") | F.array_contains(F.split(tag, "[^a-z0-9_]+"), "alternate"))
+
+    bare = F.transform(F.filter(links, lambda link: link.startswith(">")), text)
+    found = F.concat(bare, F.transform(F.filter(links, names_article), href))
+    return F.filter(found, lambda url: F.substring_index(F.lower(url), ":", 1).isin("http", "https") & F.contains(url, F.lit(":")))
+
+
 def feed_links(feeds: DataFrame) -> DataFrame:
     """Article links of `(site, feed_url, xml)` in feed order: `(site, url, pos)`.
 
     Three link shapes, query and fragment cut, each once, on the site's host, shaped like an article.
     """
-    found = F.concat(*(F.regexp_extract_all("xml", F.lit(shape), F.lit(1)) for shape in P.FEED_LINKS))
-    links = feeds.select("site", "feed_url", F.posexplode(found).alias("pos", "raw"))
+    links = feeds.select("site", "feed_url", F.posexplode(_feed_addresses(F.col("xml"))).alias("pos", "raw"))
     clean = F.regexp_replace(F.replace("raw", F.lit("&amp;"), F.lit("&")), r"[?#].*$", "")
     rows = links.withColumn("url", clean).groupBy("site", "feed_url", "url").agg(F.min("pos").alias("pos"))
     bare = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"/$", "")

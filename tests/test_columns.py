@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from articlelake.functions import languages as LG, text as X, urls as U
 from articlelake.operators import extraction as EX, library as L, narration as N, quality as QF
+from articlelake.sources import imports as IM
 
 
 def value(spark, column, **cells):
@@ -116,6 +117,27 @@ def test_spoken_blocks(spark):
     ]
 
 
+def test_addresses_are_spoken_by_host(spark):
+    heard = {
+        "see http://www.a.b/c?d now": "see a.b now", "(https://x.org/y)": "(x.org", "WWW.Foo.com!": "Foo.com!", "x www.a": "x a",
+        "www. is": "www. is", "xhttp://a": "xhttp://a", "http://a.www.b/c": "a.www.b", "http://a/x/www.b z": "a z",
+    }
+    for text, spoken in heard.items():
+        assert value(spark, N.for_the_ear(F.col("t")), t=text) == spoken
+
+
+def test_feed_links_of_both_shapes(spark):
+    xml = (
+        "<rss><LINK>\n<![CDATA[ https://s.test/news/a-long-enough-name?x=1]]></LINK><link>mailto:a@s.test</link><link>https</link><link/>"
+        "<link rel='alternate' href='https://s.test/news/second-long-name'></link><link rel=\"self\" href=\"https://s.test/news/not-this-one-here\">"
+        "<link href = \"HTTPS://s.test/news/third-long-name\" /></rss>"
+    )
+    feeds = spark.createDataFrame([("s.test", "https://s.test/feed", xml), ("s.test", "https://s.test/none", None), ("s.test", "https://s.test/no", "")], "site string, feed_url string, xml string")
+    got = sorted((r["pos"], r["url"]) for r in IM.feed_links(feeds).collect())
+    assert [u for _, u in got][:2] == ["https://s.test/news/a-long-enough-name", "https://s.test/news/second-long-name"]
+    assert all("not-this" not in u for _, u in got)
+
+
 def test_timeline(spark):
     row = spark.createDataFrame([("<h1>One</h1><p>Two words. Three.</p>",)], "content_html string")
     got = N.timeline(N.narrate(row)).first()["timeline"]
