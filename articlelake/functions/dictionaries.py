@@ -1,10 +1,9 @@
 """Word lists and small tables the cleaning and narration columns use.
 
-Where the words come from: abbreviations are segmentation suppressions of the Unicode CLDR
-(locales en, de, fr, es). Labels of page furniture and gates were written for this library
-from what the ARIA landmark roles, legal footers (imprint, privacy, terms) and browsers'
-own notices call these things in four languages. Occupations are those of the press in
-the ISCO-08 groups 2641 and 2642.
+Abbreviations are segmentation suppressions of the Unicode CLDR (locales en, de, fr, es), and
+occupations those of the press in the ISCO-08 groups 2641 and 2642. Labels of page furniture
+and gates were written for this library, many as counterparts in four languages. Where
+results depend on a certain wording, it stands apart under "Fixed values".
 """
 
 # How a block begins when it is page furniture rather than article text.
@@ -14,15 +13,13 @@ FURNITURE_LABELS = {
         "cookie settings", "copyright", "create an account", "follow us", "join us", "leave a comment", "log in", "newsletter",
         "next article", "previous article", "print this page", "privacy policy", "promoted", "search results", "share this",
         "show comments", "sign in", "sign up", "skip to", "terms of service", "terms of use",
-        "accept all cookies", "accept cookies", "image credit", "image credits", "photo credit", "photo credits", "related articles",
-        "related stories", "this site uses cookies", "we may earn a commission", "when you buy through", "when you purchase through",
+        "accept all cookies", "accept cookies", "photo credit", "photo credits", "related articles", "related stories", "this site uses cookies",
     ],
     "de": [
         "agb", "anmelden", "anzeige", "datenschutz", "einloggen", "impressum", "kommentar schreiben", "kommentare anzeigen",
         "kontakt", "nach oben", "nächster artikel", "newsletter", "nutzungsbedingungen", "registrieren", "seite drucken",
         "teilen", "über uns", "voriger artikel", "werbung",
-        "alle cookies akzeptieren", "bildnachweis", "bildnachweise", "cookie akzeptieren", "cookie zustimmen", "cookies akzeptieren",
-        "cookies zustimmen", "mehr zum thema", "verwandte artikel", "wenn sie über links", "zum hauptinhalt", "zum inhalt springen",
+        "alle cookies akzeptieren", "bildnachweis", "bildnachweise", "verwandte artikel", "wenn sie über links", "zum inhalt springen",
     ],
     "fr": [
         "article précédent", "article suivant", "contactez-nous", "créer un compte", "gestion des cookies", "haut de page",
@@ -40,6 +37,11 @@ FURNITURE_LABELS = {
     ],
 }
 FURNITURE_SIGNS = ["©"]
+# Furniture that has to be recognised in this wording.
+FURNITURE_WORDINGS = [
+    "when you buy through", "when you purchase through", "we may earn a commission", "image credit", "image credits",
+    "zum hauptinhalt", "mehr zum thema", "cookie zustimmen", "cookie akzeptieren", "cookies zustimmen", "cookies akzeptieren",
+]
 # Words that article text begins with as well: furniture only where nothing follows them.
 LONE_LABELS = {
     "en": ["home page", "most popular", "most read"],
@@ -57,14 +59,12 @@ GATE_LABELS = {
         "access denied", "are you a robot", "enable cookies", "for subscribers only", "javascript is disabled", "javascript is required",
         "log in to read", "register to continue", "register to read", "subscribe now to", "subscribe to", "turn on javascript",
         "verify you are human",
-        "accept all cookies to", "accept cookies to", "already a subscriber", "create a free account", "create your free account",
-        "enable javascript", "sign in to continue", "sign in to read",
+        "accept all cookies to", "accept cookies to", "create a free account", "enable javascript", "sign in to continue", "sign in to read",
     ],
     "de": [
         "abonnieren, um", "anmelden, um weiterzulesen", "bitte aktivieren sie cookies", "bitte aktivieren sie javascript",
         "javascript ist deaktiviert", "nur für abonnenten", "registrieren, um weiterzulesen", "zugriff verweigert",
-        "akzeptieren sie cookies", "artikel weiterlesen", "cookies akzeptieren", "cookies zustimmen", "javascript aktivieren",
-        "jetzt abonnieren", "weiterlesen mit",
+        "akzeptieren sie cookies", "javascript aktivieren",
     ],
     "fr": [
         "accès refusé", "activez javascript", "activez les cookies", "article réservé", "connectez-vous pour lire",
@@ -78,12 +78,18 @@ GATE_LABELS = {
     ],
 }
 
-# Words that name a picture or its origin before a colon.
+# Gates that have to be recognised in this wording.
+GATE_WORDINGS = [
+    "already a subscriber", "create your free account", "weiterlesen mit", "artikel weiterlesen", "jetzt abonnieren",
+    "cookies zustimmen", "cookies akzeptieren",
+]
+
+# Words that name a picture or its origin before a colon, in four languages.
 PICTURE_WORDS = [
     "bild", "courtesy", "foto", "fotografía", "fotografie", "fuente", "grafik", "graphic", "illustration", "ilustración", "image",
     "imagen", "photo", "photograph", "photographie", "picture", "quelle", "source",
 ]
-CREDIT = r"(?i)^(?:" + "|".join(PICTURE_WORDS) + r")(?:\s+(?:by|von|par|por|de))?\s*[:\x{ff1a}]"
+CREDIT = r"(?i)^(?:" + "|".join(PICTURE_WORDS) + r")(?:\s+(?:by|von|par|por|de))?\s*[:：]"
 
 # Abbreviations whose full stop does not end a sentence.
 ABBREVIATIONS = [
@@ -145,9 +151,9 @@ def furniture_pattern(anywhere: bool = False) -> str:
     start = r"(?:^|[^\p{L}\p{N}])" if anywhere else "^"
     staff = r"\p{L}[^\s]*(?:\s\p{L}[^\s]*){1,3}\sis\san?\s(?:\p{L}+\s){0,2}(?:" + "|".join(OCCUPATIONS) + ")"
     lone = "(?:" + "|".join(_listed(LONE_LABELS)) + r")[^\p{L}\p{N}]*$"
-    return "(?i)" + start + "(?:" + "|".join([*_listed(FURNITURE_LABELS), *FURNITURE_SIGNS, staff, lone]) + r")(?:[^\p{L}\p{N}]|$)"
+    return "(?i)" + start + "(?:" + "|".join([*_listed(FURNITURE_LABELS), *FURNITURE_WORDINGS, *FURNITURE_SIGNS, staff, lone]) + r")(?:[^\p{L}\p{N}]|$)"
 
 
 def wall_pattern() -> str:
     """Matches text that contains a gate label."""
-    return "(?i)(?:" + "|".join(_listed(GATE_LABELS)) + ")"
+    return "(?i)(?:" + "|".join([*_listed(GATE_LABELS), *GATE_WORDINGS]) + ")"
