@@ -131,8 +131,7 @@ BACKLOG = f"""WITH RECURSIVE {EDGES}, missing AS (SELECT DISTINCT id FROM edges
 
 def _backlog(spark, folder):
     edges, stored = _edges(spark, folder), _stored(spark, folder)
-    kept = edges.join(stored.select("key"), "key", "left_semi")
-    backlog = edges.join(I.articles_missing_images(edges, kept), "id", "left_semi")
+    backlog = edges.join(I.articles_missing_images(edges, stored.select("key")), "id", "left_semi")
     return I.plan_backlog(backlog, _sizes(spark, folder), stored)
 
 
@@ -154,8 +153,7 @@ def new_images(spark, folder):
 
 @query("JOI-07", f"WITH {EDGES} SELECT DISTINCT id FROM edges WHERE key NOT IN (SELECT key FROM store)")
 def articles_missing_images(spark, folder):
-    edges = _edges(spark, folder)
-    return I.articles_missing_images(edges, edges.join(_stored(spark, folder).select("key"), "key", "left_semi"))
+    return I.articles_missing_images(_edges(spark, folder), _stored(spark, folder).select("key"))
 
 
 @query("JOI-08", f"WITH {EDGES} SELECT id, pos, e.url, s.key AS stored_key FROM edges e LEFT JOIN store s ON s.url = e.url")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,24 @@ def test_backlog_against_one_pass_in_order(spark, seed):
     assert I.plan_backlog(edges.where("id < 0"), sizes, stored).count() == 0
 
 
+def test_a_backlog_leaves_no_table_per_round(spark, tmp_path, monkeypatch):
+    """A chain of articles that change each other's room takes a round each, and the disk of one."""
+    rows = [(n, i, f"u{k}", f"{k}") for n in range(8) for i, k in enumerate([n, n + 1, n + 2])]
+    edges = spark.createDataFrame(rows, "id bigint, pos int, url string, key string")
+    sizes = spark.createDataFrame([(f"{k}", 5) for k in range(10)], "key string, bytes bigint")
+    monkeypatch.setattr(I, "shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    plan = I.plan_backlog(edges, sizes, spark.createDataFrame([], "key string"), per_image=10, per_article=10)
+    got = {(r["id"], r["pos"]): r["decision"] for r in plan.collect()}
+    want, owned = {}, set()
+    for n in range(8):
+        keys = [n, n + 1, n + 2]
+        for i, d in enumerate(greedy([(k, 5) for k in keys], set(owned), 10, 10)):
+            want[n, i] = d
+        owned |= {k for i, k in enumerate(keys) if want[n, i] == "stored"}
+    assert got == want
+    assert len(list(tmp_path.iterdir())) <= 5
+
+
 def test_picking_and_marking(spark):
     many = "".join(f"<img src='https://i.test/{n}.png'>" for n in range(301))
     html = "<img src='https://i.test/0.png'><img src=\"data:image/png;x\"><img alt='none'>" + many
@@ -158,6 +177,12 @@ def test_picking_and_marking(spark):
     assert I.mark_stored(marked, decided).count() == 0
 
 
+def test_missing_images_against_one_store_for_all(spark):
+    edges = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a"), ("3", "c"), ("3", "c")], "id string, key string")
+    store = spark.createDataFrame([("a",), ("a",), ("x",)], "key string")
+    assert sorted(r["id"] for r in I.articles_missing_images(edges, store).collect()) == ["1", "3"]
+
+
 def test_orphans_count_tombstones(spark):
     images = spark.createDataFrame([("k1", 5), ("k2", 7)], "key string, bytes bigint")
     gone = I.orphans(images, spark.createDataFrame([("k1",)], "key string"))
