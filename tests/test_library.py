@@ -503,3 +503,14 @@ def test_a_stopped_backlog_goes_on(spark, tmp_path):
     total = I.storage_totals(whole).first()
     assert sum(r["articles"] for r in progress) == 60 and sorted(r["part"] for r in progress) == [0, 1, 2]
     assert [sum(r[n] for r in progress) for n in ("stored", "reused", "skipped", "bytes")] == [total[n] for n in ("stored", "reused", "skipped", "bytes")]
+
+
+def test_a_table_streams_from_a_file_or_a_folder(spark, tmp_path):
+    from articlelake.streaming import streams as R
+
+    spark.range(7).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    [part] = spark.range(5).coalesce(1).write.parquet(str(tmp_path / "raw")) or sorted((tmp_path / "raw").glob("part-*.parquet"))
+    part.rename(tmp_path / "one.parquet")
+    for name, n in (("many", 7), ("one", 5)):
+        R.run_available(R.table_stream(spark, str(tmp_path), name), str(tmp_path / f"check-{name}"), path=str(tmp_path / f"out-{name}"))
+        assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / f"out-{name}")).collect()) == list(range(n))
