@@ -186,3 +186,8 @@ def test_heading_skips(spark):
 
 def test_progress_label(spark):
     assert [value(spark, L.progress_label(F.col("p")), p=p) for p in (0.0, 0.004, 0.4, 0.979, 0.98)] == [None, "0%", "40%", "98%", "read"]
+
+
+def test_megabytes_between_two_decimals_go_to_the_even_one(spark):
+    sizes = spark.createDataFrame([(1310720,), (1835008,), (1048576,), (10 * 1048576 + 262144,), (1310721,)], "n bigint")
+    assert [r[0] for r in sizes.select(X.bytes_label(F.col("n"))).collect()] == ["1.2 MB", "1.8 MB", "1.0 MB", "10.2 MB", "1.3 MB"]
