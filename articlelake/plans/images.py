@@ -8,19 +8,27 @@ from articlelake.operators.blocks import blocks, cut_page, pieces_of
 from articlelake.operators.projection import with_settled
 from articlelake.plans import sqltext as Q
 from articlelake.plans.registry import query
+from articlelake.session import shared_folder
 from articlelake.sources import tables as T
 
 # Documents whose words became pictures: one per word, repeated words repeat, every seventh is inline data.
 _WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
 
 
-def _pictures(spark, folder):
+def _markup(text):
     tag = lambda w, i: F.concat(
         F.lit('<p>t</p><img alt="'), w, F.lit('" src="'), F.when(i % 7 == 6, "data:image/png;base64,").otherwise("https://img.example.com/"), F.lower(w),
         F.lit('.jpg" width="'), ((F.length(w) * 37) % 250).cast("string"), F.lit('" height=\''), (F.length(w) * 50).cast("string"), F.lit("'>"),
     )
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    return T.spread(T.table(spark, folder, "documents")).select(F.col("doc_id").alias("id"), F.array_join(F.transform(words, tag), "").alias("content_html"))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), tag), "")
+
+
+def _texts(spark, folder):
+    return T.spread(T.table(spark, folder, "documents")).select(F.col("doc_id").alias("id"), "text")
+
+
+def _pictures(spark, folder):
+    return _texts(spark, folder).select("id", _markup(F.col("text")).alias("content_html"))
 
 
 _SHOWN = f"""shown AS (SELECT id, i, CASE WHEN i % 7 = 6 THEN 'data:image/png;base64,' ELSE 'https://img.example.com/' END || lower(w) || '.jpg' AS url, w FROM (
@@ -201,17 +209,20 @@ def budget_summary(spark, folder):
   kept AS (SELECT p.id, p.key FROM picked p JOIN sizes s ON s.key = p.key)
   SELECT id, count(*) AS keys, min(key) AS first_key, true AS idempotent FROM kept GROUP BY id""")
 def marked_articles(spark, folder):
-    articles = _pictures(spark, folder)
-    edges = I.image_edges(articles)
+    # The pictures of all articles are looked for once; a key is a hash of what is kept.
+    path = shared_folder(spark, "picked")
+    I.image_edges(_pictures(spark, folder)).drop("key").write.parquet(path)
+    edges = spark.read.schema("id bigint, pos int, url string").parquet(path).withColumn("key", content_key(F.col("url")))
     sizes = edges.select("key", (F.length("url") * 4000).cast("bigint").alias("bytes")).distinct()
     none = edges.select("key").where(F.lit(False))
     # Sizes are small here, so every picked picture fits and is marked.
     decided = I.plan_storage(edges, sizes, none, per_image=1 << 30, per_article=1 << 40)
-    marked = with_settled(I.mark_stored(articles, decided), "keys", I.stored_keys(F.col("content_html")))
-    again = I.mark_stored(marked.drop("keys"), decided).select("id", F.lit(False).alias("same"))
-    return marked.join(again, "id", "left").select(
-        "id", F.size("keys").alias("keys"), F.array_min("keys").alias("first_key"), F.coalesce("same", F.lit(True)).alias("idempotent")
-    )
+    # Texts meet their pictures before they become markup, which is many times as long.
+    listed = _texts(spark, folder).join(I.kept_urls(decided), "id")
+    articles = with_settled(listed, "content_html", _markup(F.col("text"))).drop("text")
+    marked = with_settled(I.mark_listed(articles), "keys", I.stored_keys(F.col("content_html")))
+    again = with_settled(marked, "same", I.with_keys(F.col("content_html"), F.col("urls")) == F.col("content_html"))
+    return again.select("id", F.size("keys").alias("keys"), F.array_min("keys").alias("first_key"), F.col("same").alias("idempotent"))
 
 
 @query(

@@ -177,6 +177,15 @@ def test_picking_and_marking(spark):
     assert I.mark_stored(marked, decided).count() == 0
 
 
+def test_marking_joins_texts_not_markup(spark, small):
+    """What is joined with the kept pictures is the text; markup is built behind the join, and only there."""
+    from articlelake.plans import REGISTRY
+
+    plan = REGISTRY["marked_articles"].run(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<p>t</p>") == 1
+    assert plan.index("<p>t</p>") < plan.index("Join")  # parents are printed first
+
+
 def test_missing_images_against_one_store_for_all(spark):
     edges = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a"), ("3", "c"), ("3", "c")], "id string, key string")
     store = spark.createDataFrame([("a",), ("a",), ("x",)], "key string")
