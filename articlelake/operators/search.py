@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from articlelake.functions import patterns as P
 from articlelake.functions.text import text_of, tokenize
+from articlelake.session import stored
 
 META = ("title", "excerpt", "site_name", "author")
 
@@ -31,6 +32,8 @@ def searchable(body: Column) -> Column:
 
 #: Folders of an index, unless its writer says otherwise; the number stays with the column `term`.
 PARTS = 64
+#: Tasks that share a folder when it is written.
+SPREAD = 16
 #: Lengths of beginnings by which a prefix meets the words that start with it.
 BEGINNINGS = (2, 3, 4, 6, 8, 12)
 
@@ -58,9 +61,13 @@ def part_of(term: Column, parts: int = PARTS) -> Column:
 
 
 def _write_parted(table: DataFrame, path: str, parts: int, order: list[str]) -> None:
-    """A folder per part, sorted; ranged, so that a part of any size is spread over many files."""
+    """A folder per part, of files sorted by term; a part is dealt to `SPREAD` tasks, so that none meets it whole.
+
+    Rows are dealt by hash, since ranges would have to be sampled: all terms would be cut twice.
+    """
     parted = table.withColumns({"part": part_of(F.col("term"), parts), "term": F.col("term").alias("term", metadata={"parts": parts})})
-    parted.repartitionByRange("part", *order).sortWithinPartitions("part", *order).write.mode("overwrite").partitionBy("part").parquet(path)
+    dealt = parted.repartition("part", F.pmod(F.xxhash64(*order), F.lit(SPREAD)))
+    dealt.sortWithinPartitions("part", *order).write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def _parted(table: DataFrame) -> tuple[DataFrame, int]:
@@ -74,8 +81,7 @@ def _parted(table: DataFrame) -> tuple[DataFrame, int]:
 def write_index(index: DataFrame, path: str, segment: int | None = None, ids: DataFrame | None = None, parts: int = PARTS) -> None:
     """Write an index in folders by the first letters of a term, sorted by term and id.
 
-    Rows are ranged over term and id together: a term that every article has is
-    spread over many files instead of filling one. A numbered segment joins those
+    A term that every article has is spread over many files instead of filling one. A numbered segment joins those
     already there; without a number the table is whole. Beside a segment stands a small
     table of the ids it speaks for: `ids`, or those that have postings in it. An article
     that lost all its terms is in `ids` alone. Take more `parts` for larger libraries.
@@ -163,83 +169,72 @@ def vocabulary(index: DataFrame) -> DataFrame:
 
 
 def _wanted(planned: DataFrame) -> DataFrame:
-    """`(qid, wanted)`: the finished words of a query, and its prefix with a star behind it."""
-    prefix = F.when(F.col("prefix").isNotNull(), F.array(F.concat("prefix", F.lit("*")))).otherwise(F.array().cast("array<string>"))
-    return planned.select("qid", F.concat(F.array_distinct("terms"), prefix).alias("wanted"))
-
-
-class _Slots:
-    """What a batch looks for, each word and prefix once, and the folders where that can be.
-
-    The folders are asked for when a stored table is met: a job over the queries alone, whose
-    answer has two rows per folder at most, whatever the batch.
-    """
+    """`(qid, words, prefix)`: the finished words of a query, each once, and the word still being typed."""
+    return planned.select("qid", F.array_distinct("terms").alias("words"), "prefix")
 
-    def __init__(self, slots: DataFrame):
-        self.rows, self.found = slots, {}
 
-    @staticmethod
-    def word() -> Column:
-        return F.rtrim(F.col("slot"), F.lit("*"))
-
-    @staticmethod
-    def begins() -> Column:
-        return F.endswith("slot", F.lit("*"))
-
-    def folders(self, parts: int) -> dict[bool, list[int]]:
-        if parts not in self.found:
-            asked = self.rows.select(self.begins().alias("begins"), part_of(self.word(), parts).alias("part")).distinct().collect()
-            self.found[parts] = {begins: [r["part"] for r in asked if r["begins"] == begins] for begins in (True, False)}
-        return self.found[parts]
+def _folders(index: DataFrame, terms: DataFrame) -> Column:
+    """Where a stored table holds these terms: a job over the terms alone, whose answer has a row per folder."""
+    if not index.schema["term"].metadata.get("parts") or "part" not in index.columns:
+        return F.lit(True)
+    rows = terms.select(part_of(F.col("term"), _parted(index)[1]).alias("part")).distinct().collect()
+    return F.col("part").isin([r["part"] for r in rows])
 
 
-def _met(table: DataFrame, slots: _Slots, marked: DataFrame, value: str) -> DataFrame:
-    """`(slot, value)` for rows whose term is a slot's word or begins with its prefix.
+def _meant(slots: DataFrame, index: DataFrame) -> DataFrame:
+    """`(slot, term)`: a word means itself, a prefix every term of the index that begins with it.
 
-    Both meet by equality on folder and letters: a word as a whole, a prefix by as many of
-    its first letters as one of `BEGINNINGS` allows, and what meets so is compared in full.
-    Of a stored table only the folders of these words and prefixes are read.
+    The terms of the folders in question are made distinct before prefixes meet them, so this
+    is as large as the vocabulary and not as the index. They meet by equality on as many of
+    the first letters as one of `BEGINNINGS` allows, and are then compared in full.
     """
-    stored = table.schema["term"].metadata.get("parts") and "part" in table.columns
-    table, parts = _parted(table)
-    asked = marked.select("*", slots.word().alias("word"), part_of(slots.word(), parts).alias("part"))
-    among = {begins: F.col("part").isin(slots.folders(parts)[begins]) if stored else F.lit(True) for begins in (True, False)}
-    whole = asked.where(~slots.begins()).withColumnRenamed("word", "term")
-    exact = table.where(among[False]).join(whole, ["part", "term"]).select(*marked.columns, value)
 
     def cut(text: str) -> Column:
         lengths = F.filter(F.array(*map(F.lit, BEGINNINGS)), lambda n: n <= F.length(text))
         return F.transform(lengths, lambda n: F.substring(F.col(text), F.lit(1), n))
 
-    begun = asked.where(slots.begins()).withColumn("start", F.element_at(cut("word"), -1))
-    starts = table.where(among[True]).select("part", "term", value, F.explode(cut("term")).alias("start"))
-    started = starts.join(begun, ["part", "start"]).where(F.startswith("term", "word")).select(*marked.columns, value)
-    return exact.unionByName(started)
+    whole = slots.where(~F.col("begins")).select("slot", F.col("word").alias("term"))
+    begun = slots.where("begins").select("slot", "word", F.element_at(cut("word"), -1).alias("start"))
+    if begun.isEmpty():
+        return whole
+    terms = index.where(_folders(index, begun.select(F.col("word").alias("term")))).select("term").distinct()
+    starts = terms.select("term", F.explode(cut("term")).alias("start"))
+    return whole.unionByName(starts.join(begun, "start").where(F.startswith("term", "word")).select("slot", "term"))
+
+
+def _held(index: DataFrame, meant: DataFrame, value: str) -> DataFrame:
+    """`(slot, value)` for the rows of a table by term whose term a slot means; other folders are not read."""
+    return index.where(_folders(index, meant)).join(meant, "term").select("slot", value)
 
 
 def _matches(wanted: DataFrame, index: DataFrame, words: DataFrame | None) -> DataFrame:
-    """`(qid, id)` of the articles that hold everything a query wants.
+    """`(qid, id)` of the articles that hold everything a query wants: `(qid, words, prefix)`.
 
-    What is wanted by any query is looked up once, whatever the number of queries. A query's
-    candidates are the articles that hold its rarest slot, its driver; the others are checked
-    on `(slot, id)`, which no frequent word can crowd. Without counts of words the
+    What is wanted by any query is a slot, and looked up once, whatever the number of queries.
+    A query's candidates are the articles that hold its rarest slot, its driver; the others are
+    checked on `(slot, id)`, which no frequent word can crowd. Without counts of words the
     looked-up postings are counted. Counts only choose the driver: if they lag behind the
     index, or miss a word, the answer is the same.
+
+    What is known of the queries alone is written before the index is met. So the plan over
+    the index stays as small as one join, and Spark sees how small the other side is.
     """
-    each = wanted.select("qid", F.explode("wanted").alias("slot"))
-    slots = _Slots(each.select("slot").distinct())
+    each = wanted.select("qid", F.explode("words").alias("word"), F.lit(False).alias("begins"))
+    typed = wanted.where(F.col("prefix").isNotNull()).select("qid", F.col("prefix").alias("word"), F.lit(True).alias("begins"))
+    each = stored(each.unionByName(typed), "wanted")
+    slots = stored(each.select("word", "begins").distinct().withColumn("slot", F.monotonically_increasing_id()), "slots")
+    meant = stored(_meant(slots, index), "meant")
+    held = _held(index, meant, "id").distinct()
     if words is None:
-        costs = _met(index, slots, slots.rows, "id").groupBy("slot").agg(F.count("*").alias("cost"))
+        costs = held.groupBy("slot").agg(F.count("*").alias("cost"))
     else:
-        costs = _met(words, slots, slots.rows, "df").groupBy("slot").agg(F.sum("df").alias("cost"))
-    best = F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "slot"))
-    drivers = each.join(costs, "slot", "left").groupBy("qid").agg(best.alias("best")).select("qid", F.col("best.slot").alias("driver"))
-    marked = slots.rows.join(drivers.select(F.col("driver").alias("slot"), F.lit(True).alias("drives")).distinct(), "slot", "left")
-    held = _met(index, slots, marked, "id").groupBy("slot", "id").agg(F.max("drives").alias("drives"))
-    asked = wanted.join(drivers, "qid").select("qid", "driver", F.array_remove("wanted", F.col("driver")).alias("others"))
-    pairs = held.where("drives").select(F.col("slot").alias("driver"), "id").join(asked, "driver")
+        costs = _held(words, meant, "df").groupBy("slot").agg(F.sum("df").alias("cost"))
+    best = F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "slot"))["slot"]
+    asked = each.join(slots, ["word", "begins"]).join(costs, "slot", "left").groupBy("qid").agg(best.alias("driver"), F.collect_list("slot").alias("slots"))
+    asked = stored(asked.select("qid", "driver", F.array_remove("slots", F.col("driver")).alias("others")), "asked")
+    pairs = held.join(asked, F.col("slot") == F.col("driver")).select("qid", "id", "others")
     alone = pairs.where(F.size("others") == 0).select("qid", "id")
-    rest = pairs.select("qid", "id", F.size("others").alias("n"), F.explode("others").alias("slot")).join(held.select("slot", "id"), ["slot", "id"])
+    rest = pairs.select("qid", "id", F.size("others").alias("n"), F.explode("others").alias("slot")).join(held, ["slot", "id"])
     return alone.unionByName(rest.groupBy("qid", "id", "n").agg(F.count("*").alias("c")).where("c = n").select("qid", "id"))
 
 
@@ -249,7 +244,7 @@ def index_matches(planned: DataFrame, index: DataFrame, words: DataFrame | None
     `words` is the stored vocabulary of the index; see `_matches`.
     """
     wanted = _wanted(planned.where(~F.col("scan_only")))
-    return _matches(wanted.where(F.size("wanted") > 0), index, words)
+    return _matches(wanted, index, words)
 
 
 def _needle() -> Column:
@@ -268,8 +263,8 @@ def substring_matches(queries: DataFrame, articles: DataFrame, body: Column, pie
     `pieces` is what `piece_postings` gives for these articles and this body, `words` its
     vocabulary.
     """
-    wanted = queries.select("qid", _needle().alias("needle"), pieces_of(F.trim("text")).alias("wanted"))
-    matched = _matches(wanted.where(F.size("wanted") > 0).select("qid", "wanted"), pieces, words)
+    wanted = queries.select("qid", _needle().alias("needle"), pieces_of(F.trim("text")).alias("words"))
+    matched = _matches(wanted.select("qid", "words", F.lit(None).cast("string").alias("prefix")), pieces, words)
     text = articles.select("id", "added_at", metadata().alias("meta"), F.lower(body).alias("body"))
     candidates = matched.join(wanted.select("qid", "needle"), "qid").join(text, "id")
     found = candidates.select("qid", "id", _labelled(F.col("meta"), F.col("body"), F.col("needle")).alias("where_found"), "added_at")
@@ -325,14 +320,14 @@ def search(
 
     Words go through the index. What no index can answer (a lone letter, punctuation) and
     articles the index has not seen are scanned; an empty query is the whole live library.
-    `words` and `known` are the stored vocabulary and article ids of the index. One job
-    counts what is to be scanned; branches nothing asks for are left out of the plan.
+    `words` and `known` are the stored vocabulary and article ids of the index. Queries and the
+    ids to be scanned are written and counted; branches nothing asks for are left out of the plan.
     """
-    planned = plan_queries(queries)
+    planned = stored(plan_queries(queries), "planned")
     live = articles.where(~F.col("deleted"))
     body = F.col(html) if raw_scan else text_of(F.col(html))
     asked = planned.where(F.trim("text") != "")
-    missing = live.select("id").join(indexed_ids(index) if known is None else known, "id", "left_anti")
+    missing = stored(live.select("id").join(indexed_ids(index) if known is None else known, "id", "left_anti"), "missing")
     counts = planned.select(F.count_if("scan_only").alias("scans"), F.count_if(F.trim("text") == "").alias("empties"))
     scans, empties, unseen = counts.join(missing.agg(F.count("*").alias("unseen"))).first()
 
@@ -343,7 +338,7 @@ def search(
     if scans:
         hits = hits.unionByName(scan_matches(planned.where("scan_only"), live, body))
     if unseen:
-        only = F.broadcast(missing) if unseen <= BROADCAST_UNSEEN else missing
+        only = F.broadcast(missing) if unseen <= BROADCAST_UNSEEN else missing.hint("merge")
         hits = hits.unionByName(scan_matches(asked.where(~F.col("scan_only")), live.join(only, "id", "left_semi"), body))
     if empties:
         qids = planned.where(F.trim("text") == "").agg(F.collect_list("qid").alias("qids"))
@@ -353,4 +348,5 @@ def search(
 
 
 def newest_first(hits: DataFrame) -> DataFrame:
-    return hits.orderBy("qid", F.desc("added_at"), "id")
+    """Hits in order. They are written first: a sort reads its input twice, and would search twice."""
+    return stored(hits, "hits").orderBy("qid", F.desc("added_at"), "id")

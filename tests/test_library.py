@@ -337,6 +337,26 @@ def test_substrings_through_pieces(spark, tmp_path):
     assert {q for q, _, _ in got} >= {q for q, n in enumerate(needles) if any(n.strip().lower() in t.lower() for t in texts.values())}
 
 
+def test_a_batch_is_a_small_plan(spark, tmp_path):
+    rows = library(spark, {"id": "1", "content_html": "alpha beta"}, {"id": "2", "content_html": "alpine"}, {"id": "3", "content_html": "alpha best"})
+    S.write_index(S.postings(rows.where("id < '3'")), str(tmp_path / "index"))
+    index = S.read_index(spark, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "alpha be"), (2, "alpine "), (3, "alp")], "qid int, text string")
+    hits = S.search(asked, rows, index, S.vocabulary(index), S.indexed_ids(index))
+    # what is known of the queries is written, not planned again at each of its uses
+    assert sum("Join" in line for line in hits._jdf.queryExecution().optimizedPlan().toString().splitlines()) <= 16
+    assert {(r["qid"], r["id"]) for r in hits.collect()} == {(1, "1"), (1, "3"), (2, "2"), (3, "1"), (3, "2"), (3, "3")}
+
+
+def test_pieces_with_stars(spark, tmp_path):
+    rows = library(spark, {"id": "1", "title": "T", "content_html": "a**b"}, {"id": "2", "title": "T", "content_html": "***"})
+    body, path = F.col("content_html"), str(tmp_path / "pieces")
+    S.write_index(S.piece_postings(rows, body), path)
+    asked = spark.createDataFrame([(1, "a**"), (2, "***"), (3, "a**b")], "qid int, text string")
+    got = {(r["qid"], r["id"]) for r in S.substring_matches(asked, rows, body, S.read_index(spark, path)).collect()}
+    assert got == {(1, "1"), (2, "2"), (3, "1")}
+
+
 def test_dictionary_excuses(spark):
     lines = spark.createDataFrame([("settings", 1, "Export as JSON now"), ("home", 2, "Export as JSON"), ("home", 3, "the index, indexing"), ("home", 4, "an engine-room")], "route string, line_no int, line string")
     terms = spark.createDataFrame([("json", "format"), ("index", "structure"), ("as json", "phrase"), ("engine-room", "x"), ("dex", "no")], "word string, reason string")
