@@ -517,6 +517,20 @@ def test_intake_saves_an_address_once(spark, tmp_path):
     assert sorted((r["batch"], r["url"]) for r in found) == [(0, "https://n.test/1"), (1, "https://n.test"), (2, "https://n.test/1?x=1")]
 
 
+def test_new_links_fill_a_folder_by_one_file(spark, tmp_path):
+    from articlelake.streaming import streams as R
+
+    saved = library(spark, {"url": "https://a.test/0", "canonical_url": "https://a.test/0"}).select("url", "canonical_url", "deleted")
+    batch = spark.range(400).select(F.concat(F.lit("https://a.test/"), (F.col("id") % 200).cast("string")).alias("url"), F.timestamp_micros("id").alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        R.save_new_links(str(tmp_path / "out"), lambda: saved, parts=4)(batch, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 199
+    assert all(len(list(folder.glob("*.parquet"))) == 1 for folder in (tmp_path / "out" / "batch=0").glob("part=*"))
+
+
 def test_a_stopped_backlog_goes_on(spark, tmp_path):
     dice = random.Random(2)
     rows = [(n, i, f"u{k}", f"{k}") for n in range(60) for i, k in enumerate(dice.sample(range(40), 5))]
