@@ -322,3 +322,20 @@ def test_furniture_and_gates_of_every_language(spark):
     found = {r["t"] for r in df.where(df.t.rlike(D.furniture_pattern())).collect()}
     assert found >= set(labels) and not found & set(prose)
     assert {r["t"] for r in df.where(df.t.rlike(D.wall_pattern())).collect()} >= set(gates)
+
+
+def test_documents_without_a_line_have_no_table(spark, tmp_path):
+    import duckdb
+
+    from articlelake.plans import REGISTRY
+
+    texts = [None, "", "  ", "\n \n", "a\n\t\nb", "12 %", "5 < 6"]
+    rows = [(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("table_cells", "table_shapes"):
+        found = REGISTRY[name].run(spark, str(tmp_path))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        wanted = con.execute(f"SELECT {', '.join(found.columns)} FROM ({REGISTRY[name].sql})").fetchall()
+        got = [tuple(r) for r in found.collect()]
+        assert sorted(got, key=repr) == sorted(wanted, key=repr) and {r[0] for r in got} == {4, 5, 6}
