@@ -9,21 +9,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from articlelake.llm.common import rows_of, stored
+from articlelake.llm.common import kept_in_worker, rows_of, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Units(dict):
-    """Token ids, as bytes, of a word with the white space before it.
+    """Token ids, as bytes, of a word with the white space before it, and of what stands behind the word.
 
     The vocabulary's splitting rule never crosses from a word into the white space behind
     it, nor from letters into marks, so a text's ids are those of its units one after the
-    other, and those of "word," are those of "word" and ",". Tokens added to the vocabulary
-    are found before that rule applies; each is a unit of its own.
+    other. Tokens added to the vocabulary are found before that rule applies; each is a unit
+    of its own.
+
+    Units that begin with white space are looked up as one line, which is cut again where the
+    bytes of its tokens say. Worker processes keep the table from task to task.
     """
 
-    LIMIT, MARKS = 1_000_000, ".,;:!?#*$%&|<>"
+    LIMIT, MARKS, LINE = 1_000_000, ".,;:!?#*$%&|<>", 1_000
 
     def __init__(self, path: str):
         import os
@@ -35,7 +38,11 @@ class _Units(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = {token.content for token in self.tokenizer.get_added_tokens_decoder().values()}
         self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.unit = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+        blank, other = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+        self.unit = re.compile(rf"{blank}*+(?:[^\W\d_]++(?=[{re.escape(self.MARKS)}]|{blank}|\Z)|{other}++)|{blank}++")
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte is a letter of the vocabulary
+        self.width[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def of(self, text: str) -> list[str]:
         if self.between is None:
@@ -43,19 +50,31 @@ class _Units(dict):
         parts = self.between.split(text)
         return [unit for part in parts for unit in ([part] if part in self.added else self.unit.findall(part))]
 
+    def _each(self, units: list[str]) -> None:
+        for unit, found in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False)):
+            self[unit] = array("I", found.ids).tobytes()
+
+    def _line(self, units: list[str]) -> None:
+        """Look up units that begin with white space and don't end with it."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        reached = np.cumsum(self.width[ids])
+        wanted = np.cumsum(list(map(len, map(str.encode, units))))
+        last = np.searchsorted(reached, wanted)
+        if last[-1] != len(ids) - 1 or (reached[last] != wanted).any():
+            self._each(units)
+            return
+        data, ends = ids.tobytes(), ((last + 1) * 4).tolist()
+        self.update((unit, data[a:b]) for unit, a, b in zip(units, [0, *ends], ends))
+
     def learn(self, units: set[str]) -> None:
         """Look up the units that are new, all at once."""
         if len(self) + len(units) > self.LIMIT:
             self.clear()
-        fresh = [unit for unit in units if unit not in self]
-        stems = {unit: unit.rstrip(self.MARKS) for unit in fresh if unit[-1] in self.MARKS and unit not in self.added}
-        stems = {unit: stem for unit, stem in stems.items() if stem[-1:].isalpha()}
-        parts = [unit for unit in fresh if unit not in stems]
-        parts += {part for unit, stem in stems.items() for part in (stem, unit[len(stem) :]) if part not in self}.difference(parts)
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self[part] = array("I", found.ids).tobytes()
-        for unit, stem in stems.items():
-            self[unit] = self[stem] + self[unit[len(stem) :]]
+        fresh = units.difference(self)
+        lines = [unit for unit in fresh if unit[0] in " \n\t\r" and not unit[-1].isspace()] if self.tokenizer.normalizer is None else []
+        self._each(list(fresh.difference(lines)))
+        for k in range(0, len(lines), self.LINE):
+            self._line(lines[k : k + self.LINE])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -68,7 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _Units(tokenizer)
+        units = kept_in_worker(("token units", tokenizer), lambda: _Units(tokenizer))
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             out: list[list] = [[], [], [], [], []]

@@ -293,3 +293,19 @@ def test_counted_with_many_words():
         narrow = collocations._counted(columns, weights, 5)
         wide = collocations._counted([c << 20 for c in columns], weights, 5 << 20)
         assert [c.tolist() for c in narrow[0]] == [(c >> 20).tolist() for c in wide[0]] and narrow[1].tolist() == wide[1].tolist()
+
+
+ODD = ["Word, word. word## it's 12,5 a²,b x_y, 'll,", "\n\n two  spaces \t.\x1c,\x1dq z　,", "É, é. é, K, ß! 你好, <|endoftext|>, a<|endoftext|>b,", " , ,, a", "İx. don't,' --- ,a a,b.c", ""]
+
+
+def test_words_are_looked_up_without_their_marks():
+    from public_tokenizers import path as vocabulary
+
+    from articlelake.llm import packing
+
+    units = packing._Units(vocabulary("byte_bpe_50k.json"))
+    assert units.of("a word, other.") == ["a", " word", ",", " other", "."]
+    texts = [units.of(text) for text in ODD]
+    units.learn(set().union(*texts))
+    whole = [np.array(e.ids, "<u4").tobytes() for e in units.tokenizer.encode_batch(ODD, add_special_tokens=False)]
+    assert [b"".join(map(units.__getitem__, text)) for text in texts] == whole
