@@ -19,7 +19,7 @@ SPACED = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 
 
 class _Ids(dict):
-    """Ids, as bytes, of the pieces of texts between ASCII white space, up to a fixed number of pieces.
+    """Ids, as bytes, of parts of the pieces of texts between ASCII white space, up to a fixed number of parts.
 
     Right for vocabularies that drop white space before they look words up: then a text's ids
     are those of its pieces, one after the other. Added tokens (`<|endoftext|>`) are found in
@@ -28,10 +28,11 @@ class _Ids(dict):
     Most new pieces are one word, perhaps with marks behind it, which are ids of their own.
     Words are looked up as one line: each ends with an id that stands for a word's end, so the
     ids fall apart again. Where the vocabulary folds case and composes letters, words are
-    folded before, and looked up without what would do that again.
+    folded before, and looked up without what would do that again. Words are kept once, however
+    they are written and whatever marks follow; pieces are put together from them anew.
     """
 
-    LIMIT, MARKS, WORD_END = 400_000, string.punctuation, "</w>"
+    LIMIT, MARKS, WORD_END = 800_000, string.punctuation, "</w>"
 
     def __init__(self, path: str):
         import os
@@ -79,27 +80,25 @@ class _Ids(dict):
         if len(self) > self.LIMIT:
             self.clear()
             self[""] = b""
-        words, others, closed = {}, {}, []
+        words, others, parts = {}, {}, []
         for piece in pieces:
-            if piece not in self:
-                stem = piece.rstrip(self.MARKS) if self.splits else ""
-                word = self._folded(stem) if stem.isalpha() else None
-                if word is None:
+            stem = piece.rstrip(self.MARKS) if self.splits else ""
+            word = self._folded(stem) if stem.isalpha() else None
+            if word is None:
+                word, marks = piece, ""
+                if piece not in self:
                     others[piece] = None
-                    continue
+            else:
                 marks = piece[len(stem) :]
                 if word not in self:
                     words[word] = None
                 if marks not in self:
                     others[marks] = None
-                if word != piece:
-                    closed.append((piece, word, marks))
+            parts.append((word, marks))
         if words:
             self.update(zip(words, self._words(list(words))))
         self.update(zip(others, self._each(list(others))))
-        for piece, word, marks in closed:
-            self[piece] = self[word] + self[marks]
-        return [self[piece] for piece in pieces]
+        return [self[word] + self[marks] if marks else self[word] for word, marks in parts]
 
 
 def _spaced(texts: pa.Array) -> pa.Array:

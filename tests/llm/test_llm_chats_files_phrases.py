@@ -309,3 +309,13 @@ def test_words_are_looked_up_without_their_marks():
     units.learn(set().union(*texts))
     whole = [np.array(e.ids, "<u4").tobytes() for e in units.tokenizer.encode_batch(ODD, add_special_tokens=False)]
     assert [b"".join(map(units.__getitem__, text)) for text in texts] == whole
+
+
+def test_words_are_kept_once_however_written():
+    from public_tokenizers import path as vocabulary
+
+    ids = token_files._Ids(vocabulary("word_bpe_49k.json"))
+    pieces = [text.split(" ") for text in ODD[:1] + ODD[3:5]]
+    whole = [np.array(ids.tokenizer.encode(" ".join(p), add_special_tokens=False).ids, "<i4").tobytes() for p in pieces]
+    assert [b"".join(ids.of(p)) for p in pieces] == whole
+    assert "word" in ids and not {"Word,", "word.", "word##"} & set(ids)
