@@ -191,3 +191,11 @@ def test_progress_label(spark):
 def test_megabytes_between_two_decimals_go_to_the_even_one(spark):
     sizes = spark.createDataFrame([(1310720,), (1835008,), (1048576,), (10 * 1048576 + 262144,), (1310721,)], "n bigint")
     assert [r[0] for r in sizes.select(X.bytes_label(F.col("n"))).collect()] == ["1.2 MB", "1.8 MB", "1.0 MB", "10.2 MB", "1.3 MB"]
+
+
+def test_words_are_counted_in_one_pass(spark):
+    texts = ["", " ", "\n\t ", "one", " one", "one ", " one　two\n\nthree﻿", "é a😀b 漢字 x\u0085y", "a​b c\x1fd", "ab" * 20_000 + " é" * 20_000, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(X.word_count(F.col("text")).alias("n"))
+    assert [r["n"] for r in rows.collect()] == [0, 0, 0, 1, 1, 1, 3, 4, 2, 20_001, None]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
