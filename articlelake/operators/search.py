@@ -10,7 +10,9 @@ Substrings have an index of the same form, whose terms are the three-letter piec
 texts; what it finds is verified in the articles themselves.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, functions as F, types as t
 
 from articlelake.functions import patterns as P
 from articlelake.functions.text import text_of, tokenize
@@ -34,6 +36,8 @@ def searchable(body: Column) -> Column:
 PARTS = 64
 #: Tasks that share a folder when it is written.
 SPREAD = 16
+#: Postings that a task brings to lists at a time.
+LISTED = 2_000_000
 #: Lengths of beginnings by which a prefix meets the words that start with it.
 BEGINNINGS = (2, 3, 4, 6, 8, 12)
 
@@ -60,14 +64,41 @@ def part_of(term: Column, parts: int = PARTS) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(parts)).cast("int")
 
 
-def _write_parted(table: DataFrame, path: str, parts: int, order: list[str]) -> None:
-    """A folder per part, of files sorted by term; a part is dealt to `SPREAD` tasks, so that none meets it whole.
+def _write_parted(table: DataFrame, path: str, parts: int, *deal: Column) -> None:
+    """A folder per part, of files sorted by term; a part is dealt to tasks by `deal`, so that none meets it whole.
 
     Rows are dealt by hash, since ranges would have to be sampled: all terms would be cut twice.
     """
     parted = table.withColumns({"part": part_of(F.col("term"), parts), "term": F.col("term").alias("term", metadata={"parts": parts})})
-    dealt = parted.repartition("part", F.pmod(F.xxhash64(*order), F.lit(SPREAD)))
-    dealt.sortWithinPartitions("part", *order).write.mode("overwrite").partitionBy("part").parquet(path)
+    parted.repartition("part", *deal).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def _listed(index: DataFrame) -> DataFrame:
+    """`(term, ids)`: postings of `LISTED` rows at a time brought to one row per term, so that far fewer are dealt and sorted."""
+
+    def lists(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def grouped(held: list) -> Iterator:
+            by_term = pa.Table.from_batches(held).group_by("term", use_threads=False).aggregate([("id", "list")])
+            yield from by_term.select(["term", "id_list"]).rename_columns(["term", "ids"]).to_batches(max_chunksize=10_000)
+
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= LISTED:
+                yield from grouped(held)
+                held, n = [], 0
+        if held:
+            yield from grouped(held)
+
+    schema = t.StructType([t.StructField("term", t.StringType()), t.StructField("ids", t.ArrayType(index.schema["id"].dataType))])
+    return index.select("term", "id").mapInArrow(lists, schema)
+
+
+def _flat(index: DataFrame) -> DataFrame:
+    """`(term, id)` of an index in lists; any other as it is."""
+    return index.select(*(c for c in index.columns if c != "ids"), F.explode("ids").alias("id")) if "ids" in index.columns else index
 
 
 def _parted(table: DataFrame) -> tuple[DataFrame, int]:
@@ -79,22 +110,25 @@ def _parted(table: DataFrame) -> tuple[DataFrame, int]:
 
 
 def write_index(index: DataFrame, path: str, segment: int | None = None, ids: DataFrame | None = None, parts: int = PARTS) -> None:
-    """Write an index in folders by the first letters of a term, sorted by term and id.
+    """Write an index in folders by the first letters of a term, sorted by term, with lists of ids.
 
-    A term that every article has is spread over many files instead of filling one. A numbered segment joins those
+    A list is as long as `LISTED` at most, and a term that every article has, many of them, is spread over many
+    files instead of filling one. A numbered segment joins those
     already there; without a number the table is whole. Beside a segment stands a small
     table of the ids it speaks for: `ids`, or those that have postings in it. An article
     that lost all its terms is in `ids` alone. Take more `parts` for larger libraries.
     """
-    _write_parted(index.select("term", "id"), path if segment is None else f"{path}/segment={segment}", parts, ["term", "id"])
+    lists = _listed(_flat(index))
+    share = F.pmod(F.xxhash64("term", F.col("ids")[0]), F.lit(SPREAD))
+    _write_parted(lists, path if segment is None else f"{path}/segment={segment}", parts, share)
     if segment is not None:
-        seen = index.select("id") if ids is None else ids.select("id")
+        seen = _flat(index).select("id") if ids is None else ids.select("id")
         seen.distinct().write.mode("overwrite").parquet(f"{path}-ids/segment={segment}")
 
 
 def write_vocabulary(words: DataFrame, path: str, parts: int = PARTS) -> None:
     """Write `(term, df)` in the same folders as the index it belongs to."""
-    _write_parted(words.select("term", "df"), path, parts, ["term"])
+    _write_parted(words.select("term", "df"), path, parts)
 
 
 def compact_index(spark, path: str, target: str) -> None:
@@ -103,23 +137,27 @@ def compact_index(spark, path: str, target: str) -> None:
     write_index(live, target, parts=_parted(live)[1])
 
 
-def read_index(spark, path: str) -> DataFrame:
-    """The live postings: of an article indexed more than once, those of its last segment."""
+def read_index(spark, path: str, lists: bool = False) -> DataFrame:
+    """The live postings: of an article indexed more than once, those of its last segment.
+
+    With `lists`, an index without segments is left as it is stored, `(term, ids, part)`; what
+    takes an index here takes it so too, and opens only the lists of the terms it wants.
+    """
     stored = spark.read.parquet(path)
     if "segment" not in stored.columns:
-        return stored
+        return stored if lists else _flat(stored)
     newest = spark.read.parquet(f"{path}-ids").groupBy("id").agg(F.max("segment").alias("segment"))
-    return stored.join(newest, ["id", "segment"], "left_semi").select("term", "id", "part")
+    return _flat(stored).join(newest, ["id", "segment"], "left_semi").select("term", "id", "part")
 
 
 def replace_postings(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """The index after `changed` ids were indexed again; ids without fresh rows are dropped."""
-    kept = index.join(changed.select("id").distinct(), "id", "left_anti").select("term", "id")
-    return kept.unionByName(fresh.select("term", "id"))
+    kept = _flat(index).join(changed.select("id").distinct(), "id", "left_anti").select("term", "id")
+    return kept.unionByName(_flat(fresh).select("term", "id"))
 
 
 def indexed_ids(index: DataFrame) -> DataFrame:
-    return index.select("id").distinct()
+    return _flat(index).select("id").distinct()
 
 
 def not_indexed(articles: DataFrame, index: DataFrame) -> DataFrame:
@@ -136,11 +174,11 @@ def _folder_of(index: DataFrame, start: str) -> Column:
 
 
 def ids_for_term(index: DataFrame, term: str) -> DataFrame:
-    return index.where(_folder_of(index, term) & (F.col("term") == term)).select("id")
+    return _flat(index.where(_folder_of(index, term) & (F.col("term") == term))).select("id")
 
 
 def ids_for_prefix(index: DataFrame, prefix: str) -> DataFrame:
-    return index.where(_folder_of(index, prefix) & F.col("term").startswith(prefix)).select("id").distinct()
+    return _flat(index.where(_folder_of(index, prefix) & F.col("term").startswith(prefix))).select("id").distinct()
 
 
 def plan_queries(queries: DataFrame) -> DataFrame:
@@ -165,7 +203,8 @@ def plan_queries(queries: DataFrame) -> DataFrame:
 
 def vocabulary(index: DataFrame) -> DataFrame:
     """`(term, df)`: how many articles hold each term. Small beside the index; keep it stored."""
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+    count = F.sum(F.size("ids").cast("long")) if "ids" in index.columns else F.count("*")
+    return index.groupBy("term").agg(count.alias("df"))
 
 
 def _wanted(planned: DataFrame) -> DataFrame:
@@ -204,7 +243,7 @@ def _meant(slots: DataFrame, index: DataFrame) -> DataFrame:
 
 def _held(index: DataFrame, meant: DataFrame, value: str) -> DataFrame:
     """`(slot, value)` for the rows of a table by term whose term a slot means; other folders are not read."""
-    return index.where(_folders(index, meant)).join(meant, "term").select("slot", value)
+    return _flat(index.where(_folders(index, meant)).join(meant, "term")).select("slot", value)
 
 
 def _matches(wanted: DataFrame, index: DataFrame, words: DataFrame | None) -> DataFrame:
@@ -224,7 +263,8 @@ def _matches(wanted: DataFrame, index: DataFrame, words: DataFrame | None) -> Da
     each = stored(each.unionByName(typed), "wanted")
     slots = stored(each.select("word", "begins").distinct().withColumn("slot", F.monotonically_increasing_id()), "slots")
     meant = stored(_meant(slots, index), "meant")
-    held = _held(index, meant, "id").distinct()
+    # Met twice below, by driver and by article. What the joins ask of it is said here, so that both take it from one exchange.
+    held = _held(index, meant, "id").where("slot IS NOT NULL AND id IS NOT NULL").distinct()
     if words is None:
         costs = held.groupBy("slot").agg(F.count("*").alias("cost"))
     else:

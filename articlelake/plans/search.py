@@ -7,7 +7,7 @@ from articlelake.operators import search as S
 from articlelake.operators.dictionary import term_findings
 from articlelake.plans import sqltext as Q
 from articlelake.plans.registry import query
-from articlelake.session import shared_folder
+from articlelake.session import shared_folder, stored
 from articlelake.sources import tables as T
 
 re = Q.re
@@ -31,14 +31,19 @@ def _index(spark, folder):
     return S.postings(T.articles(spark, folder))
 
 
-def _stored(spark, articles):
-    """The index and its vocabulary as a search finds them: written beforehand, sorted by term."""
+def _index_and_words(spark, postings):
+    """An index and its vocabulary as a search finds them: written beforehand, sorted by term."""
     path = shared_folder(spark, "index")
-    S.write_index(S.postings(articles), f"{path}/postings")
-    index = S.read_index(spark, f"{path}/postings")
+    S.write_index(postings, f"{path}/postings")
+    index = S.read_index(spark, f"{path}/postings", lists=True)
     S.write_vocabulary(S.vocabulary(index), f"{path}/words")
-    S.indexed_ids(index).write.parquet(f"{path}/known")
-    return index, spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/known")
+    return index, spark.read.parquet(f"{path}/words")
+
+
+def _stored(spark, articles):
+    """The same with the ids of its articles."""
+    index, words = _index_and_words(spark, S.postings(articles))
+    return index, words, stored(S.indexed_ids(index), "known")
 
 
 @query("SRCH-01", f"SELECT doc_id, unnest(regexp_extract_all(lower(text), {re(Q.P.TERM)})) AS term FROM documents")
@@ -89,7 +94,7 @@ def indexed_ids(spark, folder):
 
 @query("JOI-05 SRCH-07", f"{MATCHES} SELECT qid, id FROM matched")
 def index_matches(spark, folder):
-    return S.index_matches(S.plan_queries(T.query_texts(spark, folder)), *_stored(spark, T.articles(spark, folder))[:2])
+    return S.index_matches(S.plan_queries(T.query_texts(spark, folder)), *_index_and_words(spark, _index(spark, folder)))
 
 
 # A fifth of the library is left out of this index, as if it had been saved since.
@@ -114,14 +119,14 @@ def articles_not_indexed(spark, folder):
 )
 def search_batch(spark, folder):
     library = T.articles(spark, folder)
-    stored = _stored(spark, library.where(F.array_contains("tags", "bench")))
-    return S.newest_first(S.search(T.query_texts(spark, folder), library, *stored))
+    seen = _stored(spark, library.where(F.array_contains("tags", "bench")))
+    return S.newest_first(S.search(T.query_texts(spark, folder), library, *seen))
 
 
 @query("JOI-05 SRCH-07", f"{MATCHES} SELECT qid, id FROM matched")
 def index_matches_stale_words(spark, folder):
     # With a vocabulary that lags behind: it knows no word with an "a".
-    index, words, _ = _stored(spark, T.articles(spark, folder))
+    index, words = _index_and_words(spark, _index(spark, folder))
     return S.index_matches(S.plan_queries(T.query_texts(spark, folder)), index, words.where(~F.col("term").contains("a")))
 
 
@@ -150,11 +155,8 @@ def _scan_queries(spark, folder):
 )
 def substring_scan(spark, folder):
     live = T.articles(spark, folder).where(~F.col("deleted"))
-    body, path = F.col("content_html"), shared_folder(spark, "pieces")
-    S.write_index(S.piece_postings(live, body), f"{path}/postings")
-    pieces = S.read_index(spark, f"{path}/postings")
-    S.write_vocabulary(S.vocabulary(pieces), f"{path}/words")
-    return S.substring_matches(_scan_queries(spark, folder), live, body, pieces, spark.read.parquet(f"{path}/words")).drop("added_at")
+    body = F.col("content_html")
+    return S.substring_matches(_scan_queries(spark, folder), live, body, *_index_and_words(spark, S.piece_postings(live, body))).drop("added_at")
 
 
 @query(

@@ -322,6 +322,23 @@ def test_index_with_other_folders(spark, tmp_path):
     assert got == {(1, "1"), (1, "2"), (2, "1"), (3, "2")}
 
 
+def test_an_index_holds_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "LISTED", 7)  # so that a term has several lists
+    rows = library(spark, *({"id": f"{n}", "content_html": f"common also{n % 5} {'rare' if n == 33 else ''}"} for n in range(40)))
+    S.write_index(S.postings(rows), str(tmp_path / "index"))
+    flat, index = S.read_index(spark, str(tmp_path / "index")), S.read_index(spark, str(tmp_path / "index"), lists=True)
+    pairs = lambda df: sorted((r["term"], r["id"]) for r in df.select("term", "id").collect())
+    assert pairs(flat) == pairs(S.postings(rows)) and index.count() < flat.count()
+    assert sorted(map(tuple, S.vocabulary(index).collect())) == sorted(map(tuple, S.vocabulary(flat).collect()))
+    assert {r["id"] for r in S.indexed_ids(index).collect()} == {str(n) for n in range(40)} == {r["id"] for r in S.ids_for_term(index, "common").collect()}
+    asked = S.plan_queries(spark.createDataFrame([(1, "common also3 "), (2, "common ra"), (3, "als"), (4, "none ")], "qid int, text string"))
+    for words in (None, S.vocabulary(index)):
+        got = sorted((r["qid"], r["id"]) for r in S.index_matches(asked, index, words).collect())
+        assert got == sorted((r["qid"], r["id"]) for r in S.index_matches(asked, S.postings(rows), words).collect()) and len(got) == 8 + 1 + 40
+    S.compact_index(spark, str(tmp_path / "index"), str(tmp_path / "again"))
+    assert pairs(S.read_index(spark, str(tmp_path / "again"))) == pairs(flat)
+
+
 def test_substrings_through_pieces(spark, tmp_path):
     dice = random.Random(8)
     texts = {str(n): "".join(dice.choice("ab\u00e9 <\U0001f600") for _ in range(40)) for n in range(60)}
