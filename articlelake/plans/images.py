@@ -50,8 +50,7 @@ def picked_images(spark, folder):
     WHERE NOT ((length(w) * 37) % 250 BETWEEN 1 AND 99 OR length(w) * 50 < 100)""",
 )
 def prepared_images(spark, folder):
-    shown = with_settled(_pictures(spark, folder), "imgs", I.images_in(F.col("content_html"))).select("id", F.inline("imgs"))
-    return I.drop_decorative(shown).select("id", "pos", "alt", "width", "height", "aspect_ratio", "loading", "decoding")
+    return I.drop_decorative(I.images(_pictures(spark, folder))).select("id", "pos", "alt", "width", "height", "aspect_ratio", "loading", "decoding")
 
 
 # ------------------------------------------------------------------ lineitem as observations

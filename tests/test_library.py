@@ -186,6 +186,33 @@ def test_marking_joins_texts_not_markup(spark, small):
     assert plan.index("<p>t</p>") < plan.index("Join")  # parents are printed first
 
 
+def test_images_as_rows(spark):
+    import re
+
+    from articlelake.operators.extraction import attribute
+
+    dice = random.Random(4)
+    parts = ["\"", "'", " ", "=", "x", "7", "0", "\n", "src", " src=", " SRC = ", " alt='", ' alt="', " width=", ' height="1', "data-src="]
+    tags = [(str(n), "<p>" + "".join("<img" + "".join(dice.choices(parts, k=dice.randrange(1, 14))) + ">" for _ in range(3))) for n in range(300)]
+    tags.append(("x", "<img data-src=\"l.jpg\" src='' alt=\"it's\" width=200 height='100'><img src=\"'a\" width=\"50\"><img src=b data-image-key=k>"))
+    rows = spark.createDataFrame(tags, "id string, content_html string")
+
+    def plain(tag, name):
+        found = re.search(rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", tag)
+        return re.sub(r"^[\"']|[\"']\Z", "", found.group(1)) if found else ""
+
+    for name in ("src", "alt", "width"):
+        assert {(r["id"], r["v"]) for r in rows.select("id", attribute(F.col("content_html"), name).alias("v")).collect()} == {(i, plain(t, name)) for i, t in tags}
+    whole = rows.select("id", F.inline(I.images_in(F.col("content_html"))))
+    got = I.images(rows)
+    assert got.columns == ["id", *(c for c in ("pos", "src", "alt", "width", "height", "key", "aspect_ratio", "loading", "decoding", "decorative"))]
+    assert sorted(map(repr, got.select(*whole.columns).collect())) == sorted(map(repr, whole.collect()))
+    assert [tuple(r)[1:7] for r in got.where("id = 'x'").orderBy("pos").collect()] == [(0, "l.jpg", "it's", 200, 100, ""), (1, "'a", "", 50, None, ""), (2, "b", "", None, None, "k")]
+    # sizes are read once although they are filtered by, and what is not asked for is not read
+    plan = I.drop_decorative(got).select("id", "alt", "width", "height")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 3
+
+
 def test_missing_images_against_one_store_for_all(spark):
     edges = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a"), ("3", "c"), ("3", "c")], "id string, key string")
     store = spark.createDataFrame([("a",), ("a",), ("x",)], "key string")
