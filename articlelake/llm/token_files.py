@@ -109,8 +109,11 @@ def _spaced(texts: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, data], offset=texts.offset)
 
 
-def _slices(batch: pa.RecordBatch, least_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Runs of rows with about so many bytes of text, a longer text alone; and their texts."""
+def _slices(batch: pa.RecordBatch, least_bytes: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Runs of rows with about so many bytes of text, a longer text alone; and their texts.
+
+    Each run's distinct words are looked up once, so larger runs look fewer up; their places take memory.
+    """
     spaced = _spaced(batch["text"])
     behind = np.cumsum(pc.binary_length(spaced).to_numpy() + 1)
     start = 0

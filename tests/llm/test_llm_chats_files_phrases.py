@@ -319,3 +319,12 @@ def test_words_are_kept_once_however_written():
     whole = [np.array(ids.tokenizer.encode(" ".join(p), add_special_tokens=False).ids, "<i4").tobytes() for p in pieces]
     assert [b"".join(ids.of(p)) for p in pieces] == whole
     assert "word" in ids and not {"Word,", "word.", "word##"} & set(ids)
+
+
+def test_runs_of_texts():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(12)), "text": ["w " * (1 << 19)] * 11 + [None]})
+    runs = [(part["doc_id"].to_pylist(), len(spaced)) for part, spaced in token_files._slices(batch)]
+    assert [n for ids, _ in runs for n in ids] == list(range(12)) and all(len(ids) == n for ids, n in runs)
+    assert len(runs) == 3  # about 6 MB each, a look-up of words for each
