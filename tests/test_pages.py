@@ -339,3 +339,25 @@ def test_documents_without_a_line_have_no_table(spark, tmp_path):
         wanted = con.execute(f"SELECT {', '.join(found.columns)} FROM ({REGISTRY[name].sql})").fetchall()
         got = [tuple(r) for r in found.collect()]
         assert sorted(got, key=repr) == sorted(wanted, key=repr) and {r[0] for r in got} == {4, 5, 6}
+
+
+def test_cells_of_odd_lines_are_those_of_sql(spark, tmp_path):
+    import duckdb
+
+    from articlelake.plans import REGISTRY
+
+    texts = [
+        "28.68.191.238 Den.\n1219538112535716 De.\n28.68.191.238 Deneb\n4734663219866878$$$", "12 abcd\n12 abcde\n1'000\n–4 m\n−4 m\n12 km/h\n١٢\n12 a\u0085\n12 abcd\u0085\n7 😀😀😀😀",
+        "a\n\u00a0\nb\n\u2009 \u3000\n \t\n\u200b\nc", "\u00a0\n\u2009",
+    ]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("table_cells", "table_shapes"):
+        found = REGISTRY[name].run(spark, str(tmp_path))
+        wanted = con.execute(f"SELECT {', '.join(found.columns)} FROM ({REGISTRY[name].sql})").fetchall()
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
+    # the operator's own rule still knows units
+    cell = spark.createDataFrame([("1", "<table><tr><td>28.68.191.238 Den.</td><td>12 km/h</td></tr></table>")], "id string, content_html string")
+    assert [r["is_numeric"] for r in QF.table_cells(cell).orderBy("col").collect()] == [False, True]
