@@ -16,9 +16,12 @@ _WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
 
 
 def _markup(text):
+    # What follows from a word's length is written down for all but very long words.
+    end = lambda n: F.concat(F.lit('.jpg" width="'), ((n * 37) % 250).cast("string"), F.lit('" height=\''), (n * 50).cast("string"), F.lit("'>"))
+    ends = F.array(*(F.lit(f".jpg\" width=\"{n * 37 % 250}\" height='{n * 50}'>") for n in range(32)))
     tag = lambda w, i: F.concat(
-        F.lit('<p>t</p><img alt="'), w, F.lit('" src="'), F.when(i % 7 == 6, "data:image/png;base64,").otherwise("https://img.example.com/"), F.lower(w),
-        F.lit('.jpg" width="'), ((F.length(w) * 37) % 250).cast("string"), F.lit('" height=\''), (F.length(w) * 50).cast("string"), F.lit("'>"),
+        F.lit('<p>t</p><img alt="'), w, F.when(i % 7 == 6, '" src="data:image/png;base64,').otherwise('" src="https://img.example.com/'), F.lower(w),
+        F.coalesce(F.get(ends, F.length(w)), end(F.length(w))),
     )
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), tag), "")
 
@@ -219,9 +222,8 @@ def marked_articles(spark, folder):
     # Texts meet their pictures before they become markup, which is many times as long.
     listed = _texts(spark, folder).join(I.kept_urls(decided), "id")
     articles = with_settled(listed, "content_html", _markup(F.col("text"))).drop("text")
-    marked = with_settled(I.mark_listed(articles), "keys", I.stored_keys(F.col("content_html")))
-    again = with_settled(marked, "same", I.with_keys(F.col("content_html"), F.col("urls")) == F.col("content_html"))
-    return again.select("id", F.size("keys").alias("keys"), F.array_min("keys").alias("first_key"), F.col("same").alias("idempotent"))
+    told = with_settled(articles, "told", I.marking(F.col("content_html"), F.col("urls"))).where("told.changed")
+    return told.select("id", F.size("told.keys").alias("keys"), F.array_min("told.keys").alias("first_key"), F.col("told.settled").alias("idempotent"))
 
 
 @query(

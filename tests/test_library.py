@@ -186,6 +186,54 @@ def test_marking_joins_texts_not_markup(spark, small):
     assert plan.index("<p>t</p>") < plan.index("Join")  # parents are printed first
 
 
+def test_marking_reads_different_tags_once(spark, small):
+    """Marking gives what reading tag by tag gives, but no expression of the query looks at each tag."""
+    import hashlib
+    import re
+
+    from articlelake.plans import REGISTRY
+
+    value = """(?:"([^">]*)"|'([^'>]*)'|([^\\s"'>]+))"""
+
+    def read(tag, name):
+        found = re.search(rf"(?is)\s{name}\s*=\s*{value}", tag, re.A)
+        return (found[1] or found[2] or found[3] or "") if found else ""
+
+    def mark(tag, urls):
+        if read(tag, "src") not in urls:
+            return tag
+        bare = re.sub(rf'(?i)\s{I.KEY_ATTRIBUTE}="[^"]*"', "", tag, count=1)
+        key = hashlib.sha256(read(tag, "src").encode()).hexdigest()
+        return re.sub(rf"(?is)\ssrc\s*=\s*{value}", lambda m: f'{m[0]} {I.KEY_ATTRIBUTE}="{key}"', bare, count=1)
+
+    dice = random.Random(8)
+    urls = [f"https://i.test/{n}.png" for n in range(5)]
+
+    def tag():
+        names = dice.choices(["src", "SRC", "data-src", "alt", I.KEY_ATTRIBUTE, "Data-Image-Key"], [5, 1, 1, 2, 2, 1], k=dice.randrange(5))
+        written = [dice.choice([" ", "\n"]) + n + dice.choice(["=", " = "]) + dice.choice(['"%s"', "'%s'"]) % dice.choice([*urls, "data:x", "", "k", "é b"]) for n in names]
+        return dice.choice(["<img", "<img", "<img", "<IMG", "<imgs"]) + "".join(written) + ">"
+
+    rows = [(str(n), "".join(dice.choice([tag, lambda: "<p>t</p>", lambda: "a > b é"])() for _ in range(dice.randrange(8))), dice.sample(urls, dice.randrange(4))) for n in range(1500)]
+    rows += [("none", None, urls), ("no urls", f"<img src='{urls[0]}'>", None), ("unclosed", f"<img src='{urls[0]}' <img src='{urls[1]}'", urls), ("long", "".join(f"<img src='{u}'>" for u in urls * 900), urls)]
+    html, shown = F.col("content_html"), F.col("urls")
+    df = spark.createDataFrame(rows, "id string, content_html string, urls array<string>")
+    got = {r["id"]: r for r in df.select("id", I.with_keys(html, shown).alias("new"), I.stored_keys(html).alias("keys"), I.marking(html, shown).alias("told"), I.picked_urls(html, 3).alias("picked")).collect()}
+    once = lambda found: list(dict.fromkeys(found))
+    for i, text, kept in rows:
+        if text is None:
+            assert got[i]["new"] is None and got[i]["keys"] is None and got[i]["told"] is None
+            continue
+        tags = re.findall(r"(?i)<img\b[^>]*>", text)
+        marked = lambda text: re.sub(r"(?i)<img\b[^>]*>", lambda m: mark(m[0], kept or []), text)
+        keys = lambda text: once(k for k in (read(t, I.KEY_ATTRIBUTE) for t in re.findall(r"(?i)<img\b[^>]*>", text)) if k)
+        assert got[i]["new"] == marked(text) and got[i]["keys"] == keys(text)
+        assert tuple(got[i]["told"]) == (marked(text) != text, keys(marked(text)), marked(marked(text)) == marked(text))
+        assert got[i]["picked"] == once(u for u in (read(t, "src") for t in tags) if u.startswith("https:"))[:3]
+    plan = REGISTRY["marked_articles"].run(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(" not in plan and "regexp_replace(" not in plan and "(?=<img" not in plan
+
+
 def test_images_as_rows(spark):
     import re
 
